@@ -103,7 +103,7 @@ def fingerprint_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: st
     fingerprints. An empty table gives no rows. Other columns are ignored. part_bytes: input bytes a task
     sorts.
     """
-    parts = parts_for(docs, part_bytes)
+    parts = max(parts_for(docs, part_bytes), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     dealt = with_following(rows, parts).sortWithinPartitions("part_", "halo_", "key_", "text").select("doc_id", "text", "halo_")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

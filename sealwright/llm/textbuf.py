@@ -170,3 +170,22 @@ def window_minima(h: np.ndarray, width: int, usable: np.ndarray) -> np.ndarray:
     padded[width - 1 : width - 1 + len(low)] = low
     high = ~sliding_min(~padded, width)  # the largest minimum of the runs that hold i
     return np.flatnonzero((high == h) & (high > 0))
+
+
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions that stand for the values of h, which of them stands for each entry).
+
+    Sorts the upper bits with the position in the lower ones, so a value may get more than one
+    standing position where upper bits collide; entries of one position are always equal.
+    """
+    bits = np.uint64(max(1, int(len(h)).bit_length()))
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    packed = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+    packed.sort()
+    order = (packed & low).astype(np.int64)
+    ordered = h[order]
+    new = np.ones(len(h), dtype=bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    which = np.empty(len(h), dtype=np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which

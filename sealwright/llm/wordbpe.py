@@ -13,7 +13,7 @@ import json
 
 import numpy as np
 
-from sealwright.llm.textbuf import LOWER, gather_ranges, words
+from sealwright.llm.textbuf import LOWER, distinct, gather_ranges, words
 
 _INF = np.int32(1 << 30)
 _LATIN = 0xC3  # first byte of the letters from U+00C0 to U+00FF in UTF-8
@@ -174,18 +174,7 @@ class WordBpe:
         starts, ends, hashes, first = words(data, off, lower=False)
         if not len(starts):
             return np.zeros(0, np.uint16), np.zeros(len(off), np.int64)
-        bits = np.uint64(max(1, int(len(hashes)).bit_length()))
-        low = (np.uint64(1) << bits) - np.uint64(1)
-        packed = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
-        packed.sort()  # by the hash's upper bits; a word may get two entries below, which does no harm
-        order = (packed & low).astype(np.int64)
-        ordered = hashes[order]
-        new = np.empty(len(order), dtype=bool)
-        new[0] = True
-        np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
-        which = np.empty(len(order), dtype=np.int64)
-        which[order] = np.cumsum(new) - 1
-        sample = order[new]
+        sample, which = distinct(hashes)
         vocab, size = self._vocabulary(data, starts[sample], (ends - starts)[sample])
         begin = np.cumsum(size) - size
         length = size[which]
