@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sealwright.llm.archive import convert
 from sealwright.llm.learn import fold
+from sealwright.llm.mixing import mix_rows
+from sealwright.llm.mtree import top_products
 from sealwright.llm.packing import pack
 from sealwright.llm.quality import score_quality, train_quality
+from sealwright.llm.scratch import shared_path
 from sealwright.llm.simhash import fingerprint_with_edits
 from sealwright.llm.toxicity import score_toxicity, train_toxicity
 
@@ -39,6 +43,21 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mix_rows(docs, budget=None, max_repeats=1.5)
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = convert(table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_products(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0))
@@ -54,8 +73,33 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op6_packing": op6_packing, "op8_quality": op8_quality, "op9_simhash": op9_simhash}
+    found = [op1_toxicity, op2_mixing, op4_warc, op5_mtree, op6_packing, op8_quality, op9_simhash]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": OP4_SQL, "op5_mtree": OP5_SQL}
+
+
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages WHERE page_id IS NOT NULL),
+g AS (SELECT payload_digest, max(page_id) AS newest FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN newest > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN newest > page_id THEN newest END AS refers_to
+FROM p LEFT JOIN g USING (payload_digest)
+"""
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
