@@ -15,3 +15,19 @@ def join_salted(rows: DataFrame, small: DataFrame, keys: list[str], spread: str,
     left = rows.withColumn("salt_", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = small.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "salt_"], how).drop("salt_")
+
+
+def hot_keys(counts: DataFrame, key: str, count: str = "n", share: int = 200, least: int = 300) -> list:
+    """Keys with more than 1/share of all rows (and at least `least`): never more than `share` of them."""
+    total = counts.agg(F.sum(count)).first()[0] or 0
+    return [r[0] for r in counts.where(F.col(count) > max(least, total // share)).select(key).collect()]
+
+
+def join_hot(rows: DataFrame, small: DataFrame, key: str, spread: str, hot: list, how: str = "inner", salts: int = 64) -> DataFrame:
+    """Joins rows with `small` (one row for each key); only the keys in hot are dealt over `salts` tasks."""
+    if not hot:
+        return rows.join(small, key, how)
+    is_hot = F.col(key).isin(hot)
+    left = rows.withColumn("salt_", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0))
+    right = small.withColumn("salt_", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [key, "salt_"], how).drop("salt_")

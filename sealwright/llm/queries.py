@@ -14,6 +14,7 @@ from sealwright.llm.mtree import top_products
 from sealwright.llm.packing import pack
 from sealwright.llm.quality import score_quality, train_quality
 from sealwright.llm.scratch import shared_path
+from sealwright.llm.setsketch import near_duplicates
 from sealwright.llm.simhash import fingerprint_with_edits
 from sealwright.llm.toxicity import score_toxicity, train_toxicity
 
@@ -58,6 +59,10 @@ def op5_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0))
@@ -73,7 +78,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op2_mixing, op4_warc, op5_mtree, op6_packing, op8_quality, op9_simhash]
+    found = [op1_toxicity, op2_mixing, op4_warc, op5_mtree, op6_packing, op7_near_dedup, op8_quality, op9_simhash]
     return {f.__name__: f for f in found}
 
 
