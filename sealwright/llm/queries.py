@@ -13,6 +13,7 @@ from sealwright.llm.mixing import mix_rows
 from sealwright.llm.mtree import top_products
 from sealwright.llm.packing import pack
 from sealwright.llm.quality import score_quality, train_quality
+from sealwright.llm.repeats import cut_repeats
 from sealwright.llm.scratch import shared_path
 from sealwright.llm.setsketch import near_duplicates
 from sealwright.llm.simhash import fingerprint_with_edits
@@ -49,6 +50,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_rows(docs, budget=None, max_repeats=1.5)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = convert(table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -78,7 +83,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op2_mixing, op4_warc, op5_mtree, op6_packing, op7_near_dedup, op8_quality, op9_simhash]
+    found = [op1_toxicity, op2_mixing, op3_suffix_dedup, op4_warc, op5_mtree, op6_packing, op7_near_dedup, op8_quality, op9_simhash]
     return {f.__name__: f for f in found}
 
 
