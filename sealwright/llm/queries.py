@@ -12,6 +12,7 @@ from sealwright.llm.learn import fold
 from sealwright.llm.mixing import mix_rows
 from sealwright.llm.mtree import top_products
 from sealwright.llm.packing import pack
+from sealwright.llm.passages import near_passages
 from sealwright.llm.quality import score_quality, train_quality
 from sealwright.llm.repeats import cut_repeats
 from sealwright.llm.scratch import shared_path
@@ -82,8 +83,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_passages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op2_mixing, op3_suffix_dedup, op4_warc, op5_mtree, op6_packing, op7_near_dedup, op8_quality, op9_simhash]
+    found = [op1_toxicity, op2_mixing, op3_suffix_dedup, op4_warc, op5_mtree, op6_packing, op7_near_dedup, op8_quality, op9_simhash, op10_passages]
     return {f.__name__: f for f in found}
 
 
