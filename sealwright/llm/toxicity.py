@@ -297,9 +297,10 @@ def _spans(data, begin, starts, ends, p, least):
 SCORED = "doc_id long, score double, toxic_words double, spans array<struct<begin:long,end:long,marginal:double>>"
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, keep_rows: bool = False, below: float | None = None) -> DataFrame:
     """doc_id, score (0 to 1), toxic_words (the marginals' sum) and spans (offsets in code points) of every whole text.
 
+    keep_rows: instead, the rows of docs whose score is under `below`, with their own columns.
     A null text is empty; empty texts have a score like any other. Null ids stay null, repeated
     rows are scored once each, an empty table gives no rows, other columns are ignored.
     least: the marginal from which a word is part of a span.
@@ -316,4 +317,13 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
                 spans = [_spans(raw, int(o[i]), starts[x:y], ends[x:y], p[x:y], least) if total[i] >= least else [] for i, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(score), pa.array(total), pa.array(spans, kind)], ["doc_id", "score", "toxic_words", "spans"])
 
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = buffers(batch.column(text_at))
+            score = [model.tag(data[off[a] : off[b]], off[a : b + 1] - off[a])[0] for a, b in _chunks(off, 4 << 20)]
+            yield batch.filter(pa.array(np.concatenate(score) < below)) if score else batch
+
+    if keep_rows:
+        text_at = docs.columns.index(text_col)
+        return docs.mapInArrow(sift, docs.schema)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCORED)
