@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from sealwright.llm.hot import hot_keys, join_hot
 from sealwright.llm.scratch import kept
 
+FEW = 500_000  # edges that one task can hold whatever node they belong to
+
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of edges (columns a, b): component is the smallest node reachable.
 
     Each round moves every edge towards its nodes' smallest neighbours: all larger neighbours of
     a node, then all its smaller ones, are joined to the smallest. Nodes meet their smallest
-    neighbour by a grouped minimum and a join, in which nodes of many edges are salted. Rounds
+    neighbour by a grouped minimum and a join, in which nodes of many edges
+    are salted once there are more than FEW edges. Rounds
     end when no edge changes; they number about the logarithm of a component's size. No edges,
     no rows; an edge from a node to itself gives the node its own component.
     """
@@ -29,12 +32,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not last[0]:
             break
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hot = hot_keys(both.groupBy("u").agg(F.count("*").alias("n")), "u")
+        hot = hot_keys(both.groupBy("u").agg(F.count("*").alias("n")), "u") if last[0] > FEW else []
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = join_hot(both.where("v > u"), low, "u", "v", hot).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = join_hot(both.where("v > u"), low, "u", "v", hot).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(small_low, "u")
-        small = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).union(pairs.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).union(pairs.select("u", F.col("m").alias("v"))).where("u <> v")
         now = kept(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
         mark_ = mark(now)
         if mark_ == last:

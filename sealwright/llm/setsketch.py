@@ -122,20 +122,22 @@ class _Members:
 
 
 def _resolve(m: _Members, percent: int) -> list[tuple[int, int]]:
-    """Links that join the documents of a group as all their links would: each document in turn
+    """(smallest id of its component, id) of each document of a group that is linked to another: each document in turn
     meets those not reached yet, newly reached ones first."""
     left = np.arange(len(m.ids))
-    links, todo = [], []
+    found, todo, own = [], [], []
     while len(left) or todo:
         if not todo:
+            found.append(own)
             todo, left = [int(left[0])], left[1:]
+            own = [m.ids[todo[0]]]
         i = todo.pop()
         if len(left):
             hit = m.near(m, i, left, percent)
-            links += [(m.ids[i], m.ids[k]) for k in hit]
+            own += [m.ids[k] for k in hit]
             todo += hit
             left = left[~np.isin(left, hit)]
-    return links
+    return [(min(c), x) for c in [*found, own] if len(c) > 1 for x in c]
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id", text_col: str = "text", chunk: int = 512) -> DataFrame:
@@ -215,12 +217,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str
     def table_of(links):
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (zip(*links) if links else ((), ()))], schema=link_schema)
 
-    within = cand.select(columns).union(pivots.select(columns)).groupBy("cluster", "chunk").applyInArrow(lambda t: table_of(_resolve(_Members(t), percent)), "a long, b long")
-    links = kept(within, "links")
+    resolve = lambda t: table_of(_resolve(_Members(t), percent))
+    final = kept(cand.where("chunks = 1").select(columns).groupBy("cluster", "chunk").applyInArrow(resolve, "a long, b long"), "links").select(F.col("b").alias("rep"), F.col("a").alias("component"))
 
     # classes of a divided cluster that aren't joined with its pivot meet the other chunks
-    if split.limit(1).count():
-        joined = components(links)
+    if sizes.where("chunks > 1").limit(1).count():
+        links = kept(split.select(columns).union(pivots.select(columns)).groupBy("cluster", "chunk").applyInArrow(resolve, "a long, b long"), "links")
+        joined = kept(components(links), "joined")
         own = split.select(*columns, "chunks", "pivot").join(joined, F.col("doc_id") == F.col("node"), "left").drop("node")
         main = joined.select(F.col("node").alias("pivot"), F.col("component").alias("main"))
         hot = hot_keys(sizes.where("chunks > 1").select("pivot", "n"), "pivot")
@@ -234,9 +237,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str
                 found += [(guests.ids[i], mine.ids[x]) for x in mine.near(guests, i, np.arange(len(mine.ids)), percent)]
             return table_of(found)
 
-        more = split.select(columns).groupBy("cluster", "chunk").cogroup(sent.groupBy("cluster", "chunk")).applyInArrow(across, "a long, b long")
-        links = links.union(kept(more, "links"))
-    final = components(links).select(F.col("node").alias("rep"), "component")
+        more = kept(split.select(columns).groupBy("cluster", "chunk").cogroup(sent.groupBy("cluster", "chunk")).applyInArrow(across, "a long, b long"), "links")
+        # over components instead of documents the new links are few
+        of = joined.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+        of_b = joined.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+        lifted = more.join(of, "a", "left").join(of_b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
+        merged = kept(components(lifted), "merged")
+        whole = joined.union(lifted.select(F.col("a").alias("node"), F.col("a").alias("component")).union(lifted.select("b", "b")).distinct().join(joined.select("node"), "node", "left_anti"))
+        whole = whole.join(merged.select(F.col("node").alias("component"), F.col("component").alias("above")), "component", "left")
+        final = final.union(whole.select(F.col("node").alias("rep"), F.coalesce("above", "component").alias("component")))
 
     # every row of docs
     several = classes.where("copies > 1").drop("copies")
