@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sealwright.llm.blobs import active, by_part, is_prime, pack, table_of, unpack
 from sealwright.llm.scratch import kept
 from sealwright.llm.sizing import parts_for
 from sealwright.llm.suffixes import common_prefixes, suffix_array
-from sealwright.llm.textbuf import BYTE_CODE, U64, buffers, gather_ranges, mix, powers, window_minima
+from sealwright.llm.textbuf import BYTE_CODE, U64, buffers, distinct, gather_ranges, mix, pieces, powers, window_minima
 
 SEED = 24
 _STRIP = 1 << 18
+PIECE = 6 << 20  # bytes of text searched at once
 _INTERVALS, _REQUESTS = 1, 2
 _FINE = 4
 
@@ -57,19 +59,6 @@ def anchors(data: np.ndarray, off: np.ndarray, width: int):
     return [np.concatenate(v) if v else np.zeros(0, k) for v, k in zip(out, kinds)]
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return b"".join([np.int64(len(arrays[0])).tobytes(), *(np.ascontiguousarray(x).tobytes() for x in arrays)])
-
-
-def _unpack(blob: bytes, kinds: list) -> list[np.ndarray]:
-    n, at, out = int(np.frombuffer(blob, np.int64, 1)[0]), 8, []
-    for k in kinds:
-        size = np.dtype(k).itemsize * n
-        out.append(np.frombuffer(blob[at : at + size], k))
-        at += size
-    return out
-
-
 _SPAN_KINDS = [np.int64, np.int32, np.int32]
 _ANCHOR_KINDS = [np.int64, np.int32, np.uint8, np.dtype("V5"), np.dtype("V5")]
 
@@ -101,26 +90,9 @@ def _merge(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
     return doc[at], start[at], reach[last] - shift[last]
 
 
-def _by_part(doc, parts, kind, *arrays):
-    """Rows (kind, part, blob) of arrays dealt by their document's part."""
-    part = doc % parts
-    order = np.argsort(part, kind="stable")
-    part = part[order]
-    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
-    return [(kind, int(part[a]), _pack(*(x[order[a:b]] for x in arrays))) for a, b in zip(cuts, [*cuts[1:], len(part)])]
-
-
 def _spans(doc, start, end, parts):
     doc, start, end = _merge(doc, start, end)
-    return _by_part(doc, parts, _INTERVALS, doc.astype(np.int64), start.astype(np.int32), end.astype(np.int32))
-
-
-def _table(rows, names, kinds):
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names=names)
-
-
-def _is_prime(n: int) -> bool:
-    return n > 1 and all(n % d for d in range(2, int(n**0.5) + 1))
+    return by_part(doc, parts, _INTERVALS, doc.astype(np.int64), start.astype(np.int32), end.astype(np.int32))
 
 
 def cut_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, part_bytes: int = 8 << 20, hot_classes: int = 20_000) -> DataFrame:
@@ -137,54 +109,50 @@ def cut_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_c
     on, a seed's strings are sorted string by string in many tasks instead of in one.
     """
     parts = max(parts_for(docs, part_bytes), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    while not _is_prime(parts):  # so that ids of regular steps spread
+    while not is_prime(parts):  # so that ids of regular steps spread
         parts += 1
     buckets = parts
     want = [c for c in docs.columns if c not in (id_col, text_col)] if with_text else []
     base = docs.select(F.col(id_col).cast("long").alias("id__"), F.col(text_col).cast("string").alias("text__"), *(F.col(c).alias(f"own_{i}") for i, c in enumerate(want)))
     repeated = base.where("id__ IS NOT NULL").groupBy("id__").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
-    active = F.col("id__").isNotNull()
+    takes_part = F.col("id__").isNotNull()
     if repeated:
         base = base.withColumn("rank__", F.dense_rank().over(Window.partitionBy("id__").orderBy(F.coalesce("text__", F.lit("")))))
-        active = active & (F.col("rank__") == 1)
-    base = base.withColumn("active__", active).withColumn("part__", F.pmod(F.coalesce("id__", F.lit(0)), F.lit(parts)).cast("int"))
+        takes_part = takes_part & (F.col("rank__") == 1)
+    base = base.withColumn("active__", takes_part).withColumn("part__", F.pmod(F.coalesce("id__", F.lit(0)), F.lit(parts)).cast("int"))
 
     def find(batches):
         for batch in batches:
             batch = batch.take(pa.compute.array_sort_indices(batch.column(0)))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            doc, pos, low, high, h, c = anchors(*buffers(batch.column(1)), width)
-            # equal contexts inside the batch: the smallest id stands for them
-            key = mix(h * U64(0x9E3779B97F4A7C15) + c)
-            bits = U64(max(1, int(len(key)).bit_length()))
-            mask = (U64(1) << bits) - U64(1)
-            packed = (key & ~mask) | np.arange(len(key), dtype=np.uint64)
-            packed.sort()
-            order = (packed & mask).astype(np.int64)
-            run = np.ones(len(key), dtype=bool)
-            run[1:] = key[order][1:] != key[order][:-1]
-            owner = ids[doc[order[np.flatnonzero(run)]]][np.cumsum(run) - 1] if len(key) else np.zeros(0, np.int64)
-            follows = np.zeros(len(key), dtype=bool)
-            follows[order] = ids[doc[order]] != owner
-            f = np.flatnonzero(follows)
-            rows = [(k, parts * _FINE + p, b) for k, p, b in _spans(ids[doc[f]], low[f], high[f], parts)]
-            left = np.flatnonzero(~follows)
-            bucket = ((h[left] >> U64(40)) % U64(buckets)).astype(np.int64)
-            left = left[np.argsort(bucket, kind="stable")]
-            bucket.sort()
-            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(left) else []
-            for a, b in zip(cuts, [*cuts[1:], len(left)]):
-                x = left[a:b]
-                rows.append((0, int(bucket[a]), _pack(ids[doc[x]].astype(np.int64), pos[x].astype(np.int32), (high[x] - pos[x]).astype(np.uint8), _five(h[x]), _five(c[x]))))
-            yield from _table(rows, ["kind", "key", "blob"], [pa.int32(), pa.int32(), pa.binary()]).to_batches()
+            data, off = buffers(batch.column(1))
+            for a, b in pieces(off, PIECE):
+                yield from search_piece(ids[a:b], data[off[a] : off[b]], off[a : b + 1] - off[a])
+
+    def search_piece(ids, data, off):
+        doc, pos, low, high, h, c = anchors(data, off, width)
+        # equal contexts inside the piece: the smallest id stands for them
+        sample, which = distinct(mix(h * U64(0x9E3779B97F4A7C15) + c))
+        follows = ids[doc] != ids[doc[sample]][which]
+        f = np.flatnonzero(follows)
+        rows = [(k, parts * _FINE + p, b) for k, p, b in _spans(ids[doc[f]], low[f], high[f], parts)]
+        left = np.flatnonzero(~follows)
+        bucket = ((h[left] >> U64(40)) % U64(buckets)).astype(np.int64)
+        left = left[np.argsort(bucket, kind="stable")]
+        bucket.sort()
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(left) else []
+        for a, b in zip(cuts, [*cuts[1:], len(left)]):
+            x = left[a:b]
+            rows.append((0, int(bucket[a]), pack(ids[doc[x]].astype(np.int64), pos[x].astype(np.int32), (high[x] - pos[x]).astype(np.uint8), _five(h[x]), _five(c[x]))))
+        return table_of(rows, ["kind", "key", "blob"], [pa.int32(), pa.int32(), pa.binary()]).to_batches()
 
     def meet(key, t):
         names, kinds = ["kind", "key", "bucket", "blob"], [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         kind, blobs = t.column("kind").to_pylist(), t.column("blob").to_pylist()
         if kind[0] == _INTERVALS:  # from the batches: merged per document on their way
             doc, start, end = _gather_spans(blobs)
-            return _table([(k, p, 0, b) for k, p, b in _spans(doc, start, end, parts)], names, kinds)
-        doc, pos, right, h, c = (np.concatenate(v) for v in zip(*(_unpack(b, _ANCHOR_KINDS) for b in blobs)))
+            return table_of([(k, p, 0, b) for k, p, b in _spans(doc, start, end, parts)], names, kinds)
+        doc, pos, right, h, c = (np.concatenate(v) for v in zip(*(unpack(b, _ANCHOR_KINDS) for b in blobs)))
         h, c = _eight(h), _eight(c)
         order = np.argsort(h, kind="stable")
         start = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
@@ -193,7 +161,7 @@ def cut_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_c
         shared = np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start)
         at = order[np.repeat(shared, size)]
         if not len(at):
-            return _table([], names, kinds)
+            return table_of([], names, kinds)
         at = at[np.lexsort((pos[at], doc[at], c[at], h[at]))]
         doc, pos, right, h, c = doc[at], pos[at].astype(np.int64), right[at], h[at], c[at]
         new_h = np.ones(len(h), dtype=bool)
@@ -210,8 +178,8 @@ def cut_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_c
         hot = classes[group[ask]] > hot_classes
         for sub in range(_FINE):
             x = ask[fine == sub]
-            rows += [(k, p, int(key[0].as_py()) * _FINE + sub, b) for k, p, b in _by_part(doc[x], parts, _REQUESTS, doc[x], pos[x].astype(np.int32), hot[fine == sub].astype(np.uint8))]
-        return _table(rows, names, kinds)
+            rows += [(k, p, int(key[0].as_py()) * _FINE + sub, b) for k, p, b in by_part(doc[x], parts, _REQUESTS, doc[x], pos[x].astype(np.int32), hot[fine == sub].astype(np.uint8))]
+        return table_of(rows, names, kinds)
 
     search = base.where("active__").select("id__", "text__").mapInArrow(find, "kind int, key int, blob binary")
     met = kept(search.groupBy("key").applyInArrow(meet, "kind int, key int, bucket int, blob binary"), "repeats").withColumnRenamed("key", "part__")
@@ -220,9 +188,9 @@ def cut_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_c
         """The bytes around asked anchors, by bucket: ids, where they begin in their text, lengths, bytes."""
         rows = []
         if left.num_rows and right.num_rows:
-            ids, data, off = _active(left)
+            ids, data, off = active(left)
             for bucket, blob in zip(right.column("bucket").to_pylist(), right.column("blob").to_pylist()):
-                doc, pos, hot = _unpack(blob, [np.int64, np.int32, np.uint8])
+                doc, pos, hot = unpack(blob, [np.int64, np.int32, np.uint8])
                 row = np.searchsorted(ids, doc)
                 begin, stop = off[row], off[row + 1]
                 low, high = np.maximum(begin + pos - (width - SEED), begin), np.minimum(begin + pos + width, stop)
@@ -249,7 +217,7 @@ def cut_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_c
                     for v in np.unique(to).tolist():
                         y = lead[to == v]
                         rows.append((0, v, _ctx(data, doc[own[y]], start[y], at[y], np.full(len(y), width))))
-        return _table(rows, ["kind", "key", "blob"], [pa.int32(), pa.int32(), pa.binary()])
+        return table_of(rows, ["kind", "key", "blob"], [pa.int32(), pa.int32(), pa.binary()])
 
     def sort_bucket(t: pa.Table) -> pa.Table:
         blobs = t.column("blob").to_pylist()
@@ -270,7 +238,7 @@ def cut_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_c
             hit = np.flatnonzero(doc[of] > least[run]) if len(order) else np.zeros(0, np.int64)
             at = order[hit] - begin[of[hit]] + start[of[hit]]
             doc, start, end = doc[of[hit]], at, at + width
-        return _table([(k, p, b) for k, p, b in _spans(doc, start, end, parts)], ["kind", "part__", "blob"], [pa.int32(), pa.int32(), pa.binary()])
+        return table_of([(k, p, b) for k, p, b in _spans(doc, start, end, parts)], ["kind", "part__", "blob"], [pa.int32(), pa.int32(), pa.binary()])
 
     dealt = base.groupBy("part__")
     ctx = dealt.cogroup(met.where(F.col("kind") == _REQUESTS).groupBy("part__")).applyInArrow(contexts, "kind int, key int, blob binary")
@@ -316,27 +284,14 @@ def cut_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_c
 
 
 def _gather_spans(blobs):
-    found = [_unpack(b, _SPAN_KINDS) for b in blobs]
+    found = [unpack(b, _SPAN_KINDS) for b in blobs]
     return [np.concatenate(v) for v in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
 
 
-def _active(t: pa.Table):
-    """Ids in ascending order, and the bytes and offsets of the texts that take part, one for each id."""
-    t = t.select(["id__", "text__", "active__"]).filter(t.column("active__")).sort_by("id__")
-    ids = t.column("id__").to_numpy()
-    data, off = buffers(t.column("text__"))
-    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
-    if len(first) < len(ids):  # equal rows
-        t = t.take(pa.array(first))
-        ids = ids[first]
-        data, off = buffers(t.column("text__"))
-    return ids, data, off
-
-
 def _ctx(data, doc, start, at, size) -> bytes:
-    return _pack(doc.astype(np.int64), start.astype(np.int64), size.astype(np.int64)) + data[gather_ranges(at, size)].tobytes()
+    return pack(doc.astype(np.int64), start.astype(np.int64), size.astype(np.int64)) + data[gather_ranges(at, size)].tobytes()
 
 
 def _read_ctx(blob: bytes):
-    doc, start, size = _unpack(blob, [np.int64, np.int64, np.int64])
+    doc, start, size = unpack(blob, [np.int64, np.int64, np.int64])
     return doc, start, size, np.frombuffer(blob, np.uint8, offset=8 + 24 * len(doc))

@@ -172,6 +172,15 @@ def window_minima(h: np.ndarray, width: int, usable: np.ndarray) -> np.ndarray:
     return np.flatnonzero((high == h) & (high > 0))
 
 
+def pieces(off: np.ndarray, most_bytes: int):
+    """Ranges of texts of about most_bytes together, one text at least."""
+    a, n = 0, len(off) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(off, off[a] + most_bytes, side="right")) - 1)
+        yield a, b
+        a = b
+
+
 def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(positions that stand for the values of h, which of them stands for each entry).
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sealwright.llm.learn import labelled_sample, logistic, sigmoid
-from sealwright.llm.textbuf import LOWER, buffers, distinct, shingles, words
+from sealwright.llm.textbuf import LOWER, buffers, distinct, pieces, shingles, words
 
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _IS_SIGN = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
@@ -186,14 +186,6 @@ def doc_features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(n), np.log1p(total), 1 - none, np.clip(1 - none - none * np.minimum(odds, 1e12), 0, 1)])
 
 
-def _chunks(off: np.ndarray, most_bytes: int):
-    a, n = 0, len(off) - 1
-    while a < n:
-        b = max(a + 1, int(np.searchsorted(off, off[a] + most_bytes, side="right")) - 1)
-        yield a, b
-        a = b
-
-
 def _unlike(w: np.ndarray, first: np.ndarray, kept: int = 8, shared: int = 3) -> list[int]:
     """The texts that don't share `shared` of their `kept` smallest shingle hashes with those before: copies would count a word again and again."""
     h, at = shingles(w, first)
@@ -262,7 +254,7 @@ def train(data: np.ndarray, off: np.ndarray, y: np.ndarray, chain_docs: int = 10
         weights = {f: float(theta[i]) for f, i in marked.items()}
     model = ToxicityModel(chain, weights, np.zeros(4))
     x = []
-    for a, b in _chunks(off, 4 << 20):
+    for a, b in pieces(off, 4 << 20):
         _, _, _, p, fw = model.tag(data[off[a] : off[b]], off[a : b + 1] - off[a])
         x.append(doc_features(p, fw))
     if x and 0 < y.sum() < len(y):
@@ -310,7 +302,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = buffers(batch.column(1))
-            for a, b in _chunks(off, 4 << 20):
+            for a, b in pieces(off, 4 << 20):
                 raw, o = data[off[a] : off[b]], off[a : b + 1] - off[a]
                 score, starts, ends, p, first = model.tag(raw, o)
                 total = np.bincount(np.repeat(np.arange(b - a), np.diff(first)), weights=p, minlength=b - a)
@@ -320,7 +312,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = buffers(batch.column(text_at))
-            score = [model.tag(data[off[a] : off[b]], off[a : b + 1] - off[a])[0] for a, b in _chunks(off, 4 << 20)]
+            score = [model.tag(data[off[a] : off[b]], off[a : b + 1] - off[a])[0] for a, b in pieces(off, 4 << 20)]
             yield batch.filter(pa.array(np.concatenate(score) < below)) if score else batch
 
     if keep_rows:
