@@ -264,7 +264,7 @@ def train(data: np.ndarray, off: np.ndarray, y: np.ndarray, chain_docs: int = 10
     return model
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic", most: int = 8_000) -> ToxicityModel:
+def train_toxicity(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic", most: int = 4_000) -> ToxicityModel:
     """Fits on at most `most` labelled documents that pass keep (a condition on doc_id); without labels of both kinds all scores are equal."""
     sample = labelled_sample(docs, labels, label, keep, most, most_chars=8_000)
     return train(*buffers(sample.column("text")), sample.column("y").to_numpy())
