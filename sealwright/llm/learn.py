@@ -13,21 +13,25 @@ def fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, most: int, id_col: str = "doc_id", text_col: str = "text", most_chars: int = 20_000) -> pa.Table:
-    """At most `most` labelled texts (column text, and y 0 or 1), the same ones at any partitioning.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, keep: Column, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text (whole) and y (0 or 1) of at most `most` labelled ids, the same ones at any partitioning.
 
-    keep: a condition on column doc_id; rows that fail it are never read into the sample. The
-    ids are chosen first, those of smallest hash, so that only chosen texts reach the driver; a
-    chosen text's first most_chars characters stand for it. Ids that several label rows name
-    count once if the rows agree, and not at all otherwise.
+    keep: a condition on column doc_id; rows that fail it are never chosen. The ids are chosen
+    first, those of smallest hash. Ids that several label rows name count once if the rows
+    agree, and not at all otherwise. Rows of docs that share an id are all given.
     """
     y = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(keep & F.col("y").isin(0, 1))
     y = y.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2 AND doc_id IS NOT NULL").drop("y2")
     # the bound makes the broadcast safe
     chosen = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, most_chars).alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    return found.select("doc_id", "text", "y").toArrow().sort_by("doc_id")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, most: int, id_col: str = "doc_id", text_col: str = "text", most_chars: int = 20_000) -> pa.Table:
+    """One text of each id of labelled_rows, on the driver; a text's first most_chars characters stand for it."""
+    found = labelled_rows(docs, labels, label, keep, most, id_col, text_col).withColumn("text", F.substring("text", 1, most_chars))
+    return found.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sealwright.llm.learn import labelled_sample, logistic, sigmoid
+from sealwright.llm.learn import labelled_rows, logistic, sigmoid
 from sealwright.llm.textbuf import IS_SPACE, buffers, words
 
 _SIGNS = [b for b in range(33, 127) if not chr(b).isalnum()]
@@ -91,13 +91,21 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, pairs_each: int = 8, ridge: float =
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality", most: int = 6_000, drop_share: float = 0.1) -> QualityModel:
-    """Fits on at most `most` labelled documents that pass keep (a condition on doc_id).
+    """Fits on at most `most` labelled documents that pass keep (a condition on doc_id), each with its whole text.
 
-    The first 8,000 characters of a sampled text stand for it in the fit only. Without labels
+    Features are taken in the tasks, so only their rows reach the driver. Without labels
     of both kinds the model gives every document the same score.
     """
-    sample = labelled_sample(docs, labels, label, keep, most, most_chars=8_000)
-    return fit_pairs(features(*buffers(sample.column("text"))), sample.column("y").to_numpy().astype(float), drop_share=drop_share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = features(*buffers(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+
+    rows = labelled_rows(docs, labels, label, keep, most).mapInArrow(run, "doc_id long, y int, x array<double>")
+    sample = rows.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    x = np.array(sample.column("x").to_pylist()).reshape(-1, len(FEATURES))
+    return fit_pairs(x, sample.column("y").to_numpy().astype(float), drop_share=drop_share)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from sealwright.llm.learn import fold, labelled_sample
-from sealwright.llm.quality import fit_pairs, keep_best, score_quality, train_quality
+from sealwright.llm.quality import features, fit_pairs, keep_best, score_quality, train_quality
 from sealwright.llm.queries import op1_toxicity, op8_quality
 from sealwright.llm.textbuf import buffers
 from sealwright.llm.toxicity import Chain, fit_chain, score_toxicity, train
@@ -109,3 +109,11 @@ def test_quality_edges(spark):
     assert len(rows) == 62 and all((r.score > 0.5) == bool(r.doc_id % 2) for r in rows if r.doc_id is not None and r.doc_id < 60)
     assert keep_best(scored, 0.5).count() >= 31
     assert keep_best(scored.limit(0), 0.5).count() == 0
+
+
+def test_quality_fits_whole_texts(spark):
+    texts = [("good words here " if i % 2 else "$$$ ### %%% ") * (3000 + i) + "end " * (i % 7) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    got = train_quality(docs, labels, fold("doc_id", 5) != 9)
+    assert np.allclose(got.mean, features(*buffers(pa.array(texts))).mean(axis=0))
