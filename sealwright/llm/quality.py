@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sealwright.llm.learn import labelled_rows, logistic, sigmoid
+from sealwright.llm.scratch import kept
 from sealwright.llm.textbuf import IS_SPACE, buffers, words
 
 _SIGNS = [b for b in range(33, 127) if not chr(b).isalnum()]
@@ -65,16 +66,15 @@ class QualityModel:
     weights: np.ndarray
     slope: float
     base: float
-    cut: float
 
     def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         return sigmoid(self.slope * (((features(data, off) - self.mean) / self.scale) @ self.weights) + self.base)
 
 
-def fit_pairs(x: np.ndarray, y: np.ndarray, pairs_each: int = 8, ridge: float = 1.0, drop_share: float = 0.1) -> QualityModel:
+def fit_pairs(x: np.ndarray, y: np.ndarray, pairs_each: int = 8, ridge: float = 1.0) -> QualityModel:
     """x: features, y: 1 for good. Each document of the rarer kind meets pairs_each of the other."""
     mean, scale = (x.mean(axis=0), x.std(axis=0) + 0.02) if len(x) else (np.zeros(len(FEATURES)), np.ones(len(FEATURES)))
-    weights, slope, base, cut = np.zeros(len(FEATURES)), 0.0, 0.0, 0.0
+    weights, slope, base = np.zeros(len(FEATURES)), 0.0, 0.0
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if len(good) and len(bad):
         z = (x - mean) / scale
@@ -84,13 +84,12 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, pairs_each: int = 8, ridge: float =
         weights = logistic(z[draw(good)] - z[draw(bad)], np.ones(n), ridge)
         s = z @ weights
         slope, base = logistic(np.column_stack([s, np.ones(len(s))]), y, 1e-2).tolist()
-        cut = float(np.quantile(sigmoid(slope * s + base), drop_share))
     elif len(y):
         base = 4.0 if len(good) else -4.0
-    return QualityModel(mean, scale, weights, slope, base, cut)
+    return QualityModel(mean, scale, weights, slope, base)
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality", most: int = 6_000, drop_share: float = 0.1) -> QualityModel:
+def train_quality(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality", most: int = 6_000) -> QualityModel:
     """Fits on at most `most` labelled documents that pass keep (a condition on doc_id), each with its whole text.
 
     Features are taken in the tasks, so only their rows reach the driver. Without labels
@@ -105,11 +104,11 @@ def train_quality(docs: DataFrame, labels: DataFrame, keep: Column, label: str =
     rows = labelled_rows(docs, labels, label, keep, most).mapInArrow(run, "doc_id long, y int, x array<double>")
     sample = rows.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
     x = np.array(sample.column("x").to_pylist()).reshape(-1, len(FEATURES))
-    return fit_pairs(x, sample.column("y").to_numpy().astype(float), drop_share=drop_share)
+    return fit_pairs(x, sample.column("y").to_numpy().astype(float))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score (0 to 1, higher: better) and above_cut (at or above the model's quantile) of every whole text.
+    """doc_id and score (0 to 1, higher: better) of every whole text.
 
     A null text is empty; empty texts are scored like any other. Null ids stay null, repeated
     rows are scored once each, an empty table gives no rows, other columns are ignored.
@@ -118,12 +117,24 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = model.score(*buffers(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(score >= model.cut)], ["doc_id", "score", "above_cut"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, above_cut boolean")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+
+
+def quantile_cut(scored: DataFrame, drop_share: float, accuracy: int = 10_000) -> float | None:
+    """The drop_share quantile of all scores (approximate to 1/accuracy of the rows); None without rows."""
+    return scored.agg(F.percentile_approx("score", drop_share, accuracy)).first()[0]
+
+
+def mark_best(scored: DataFrame, drop_share: float = 0.1) -> DataFrame:
+    """scored with above_cut: at or above the drop_share quantile of all its scores. Scored texts are read once."""
+    scored = kept(scored, "scores")
+    cut = quantile_cut(scored, drop_share)
+    return scored.withColumn("above_cut", F.col("score") >= F.lit(cut).cast("double"))
 
 
 def keep_best(scored: DataFrame, drop_share: float, accuracy: int = 10_000) -> DataFrame:
     """Rows of score at or above the drop_share quantile of all scores (approximate to 1/accuracy)."""
-    cut = scored.agg(F.percentile_approx("score", drop_share, accuracy)).first()[0]
+    cut = quantile_cut(scored, drop_share, accuracy)
     return scored if cut is None else scored.where(F.col("score") >= cut)

@@ -13,7 +13,7 @@ from sealwright.llm.mixing import mix_rows
 from sealwright.llm.mtree import top_products
 from sealwright.llm.packing import pack
 from sealwright.llm.passages import near_passages
-from sealwright.llm.quality import score_quality, train_quality
+from sealwright.llm.quality import mark_best, score_quality, train_quality
 from sealwright.llm.repeats import cut_repeats
 from sealwright.llm.scratch import shared_path
 from sealwright.llm.setsketch import near_duplicates
@@ -71,7 +71,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0))
+    scored = mark_best(score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)))
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"), "above_cut")
 
 

@@ -117,3 +117,15 @@ def test_quality_fits_whole_texts(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
     got = train_quality(docs, labels, fold("doc_id", 5) != 9)
     assert np.allclose(got.mean, features(*buffers(pa.array(texts))).mean(axis=0))
+
+
+def test_cut_is_a_quantile_of_all_scores(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    kinds = ["good words here and there ", "$$$ ### %%% ", "short unlike text, never labelled; "]
+    rows = [(i, " ".join([kinds[i % 2 if i < 100 else 2]] * int(rng.integers(2, 30))) + str(i)) for i in range(1000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = op8_quality(spark, str(tmp_path)).collect()
+    cut = np.quantile([r.score for r in got], 0.1, method="inverted_cdf")
+    assert sum(not r.above_cut for r in got) < 100 <= sum(r.score <= cut + 1e-3 for r in got)
+    assert all(r.above_cut == (r.score >= cut) for r in got if abs(r.score - cut) > 1e-3) and 0 < sum(r.doc_id >= 100 and not r.above_cut for r in got)
