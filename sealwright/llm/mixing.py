@@ -104,7 +104,10 @@ def plan_mix(docs: DataFrame, budget: float | None, target_entropy: float | None
     mix = solve([(r["share"], r["n"]) for r in binned.orderBy("b").collect()], total, budget, target_entropy, max_repeats)
     weight = F.when(F.col("source_tokens") > 0, F.pow(share, F.lit(mix.exponent)) / F.lit(mix.normaliser)).otherwise(0.0)
     ratio = F.when(F.col("source_tokens") > 0, weight * F.lit(mix.budget) / F.col("source_tokens")).otherwise(1.0)
-    quotas = sources.withColumn("repeats", F.round(ratio, 9)).withColumn("passes", F.ceil("repeats").cast("int"))
+    repeats = F.round(ratio, 9)
+    if budget is None:  # shares are known to a bin's width only; no source may fall under one pass for that
+        repeats = F.greatest(repeats, F.lit(1.0))
+    quotas = sources.withColumn("repeats", repeats).withColumn("passes", F.ceil("repeats").cast("int"))
     by_pass = sums.join(quotas, "source_key").withColumn("pass", F.explode(F.sequence(F.lit(0), F.greatest(F.col("passes"), F.lit(1)) - 1)))
     order = Window.partitionBy("source_key", "pass").orderBy(_order_hash(F.col("pass"), seed, F.col("source_key"), F.col("block")), "block")
     placed = by_pass.withColumn("before", F.sum("tokens").over(order) - F.col("tokens"))

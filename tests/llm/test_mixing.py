@@ -77,3 +77,9 @@ def test_empty_and_query(spark, docs):
     got = op2_mixing(spark, "/root/testdata/sf0.001")
     ids = {r.doc_id for r in got.collect()}
     assert ids == {r.doc_id for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+
+
+def test_sources_of_almost_equal_share_stay_whole(spark):
+    rows = [(i, "w " * (1001 if i == 0 else 1000), "ab"[i % 2]) for i in range(800)] + [(900 + i, "w " * 50, "c") for i in range(20)]
+    near = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    assert {r.doc_id for r in mix_rows(near, max_repeats=1.5).collect()} == {r[0] for r in rows}
