@@ -4,15 +4,16 @@ Every byte covered by a string of `width` bytes that also starts in a document o
 Sorting all suffixes of a corpus would move it many times over, so only places that may repeat are
 sorted. An anchor is the seed (a string of SEED bytes) of smallest hash in some string of width
 bytes: equal strings have equal anchors, and a string lies within its anchor's context, the
-width - SEED bytes before and width bytes from the anchor on. Anchors meet by their seed's hash.
-Where a seed has only equal contexts, or contexts are copies of one in a smaller id, the smaller id decides at once. The
-different contexts of a seed are suffix-sorted together, and runs of common prefixes of at least width bytes
-show which of their strings stand in a smaller id.
+width - SEED bytes before and width bytes from the anchor on. Seeds' hashes only choose what is sorted: the contexts of
+seeds that several documents hold are suffix-sorted, first inside each piece of the input, then, for strings that no
+smaller id of the piece holds, seed by seed over all pieces. Common prefixes of at least width bytes, which compare
+bytes, show which strings stand in a smaller id; nothing is removed for equal hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +25,19 @@ from sealwright.llm.blobs import active, by_part, is_prime, pack, table_of, unpa
 from sealwright.llm.scratch import kept
 from sealwright.llm.sizing import parts_for
 from sealwright.llm.suffixes import common_prefixes, suffix_array
-from sealwright.llm.textbuf import BYTE_CODE, U64, buffers, distinct, gather_ranges, mix, pieces, powers, window_minima
+from sealwright.llm.textbuf import BYTE_CODE, U64, buffers, gather_ranges, mix, pieces, powers, window_minima
 
 SEED = 24
 _STRIP = 1 << 18
 PIECE = 6 << 20  # bytes of text searched at once
-_INTERVALS, _REQUESTS = 1, 2
+_ANCHORS, _INTERVALS, _REQUESTS, _STRINGS = 0, 1, 2, 3
 _FINE = 4
+SAMPLE_DOCS, HOT_SHARE = 1 << 15, 1024  # seeds in over 1/HOT_SHARE of the sampled documents are dealt string by string
 
 
 def anchors(data: np.ndarray, off: np.ndarray, width: int):
-    """(text index, position in text, context begin and end in text, seed hash, context hash) of all anchors, in text order."""
-    out = [[], [], [], [], [], []]
+    """(text index, position in text, context begin and end in text, seed hash) of all anchors, in text order."""
+    out = [[], [], [], [], []]
     n, a = len(off) - 1, 0
     while a < n:
         b = max(a + 1, int(np.searchsorted(off, off[a] + _STRIP, side="right")) - 1)
@@ -51,16 +53,54 @@ def anchors(data: np.ndarray, off: np.ndarray, width: int):
             sel = window_minima(h, width - SEED + 1, usable)
             doc = np.searchsorted(o, sel, side="right") - 1
             low, high = np.maximum(sel - (width - SEED), o[doc]), np.minimum(sel + width, o[doc + 1])
-            c = mix((total[high] - total[low]) * inv[low] + (sel - low).astype(np.uint64))
-            for store, v in zip(out, (doc + a, sel - o[doc], low - o[doc], high - o[doc], h[sel], c)):
+            for store, v in zip(out, (doc + a, sel - o[doc], low - o[doc], high - o[doc], h[sel])):
                 store.append(v)
         a = b
-    kinds = (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64)
+    kinds = (np.int64, np.int64, np.int64, np.int64, np.uint64)
     return [np.concatenate(v) if v else np.zeros(0, k) for v, k in zip(out, kinds)]
 
 
+def in_smaller(data: np.ndarray, begin: np.ndarray, size: np.ndarray, owner: np.ndarray, width: int):
+    """(segment, position in it) of every string of `width` bytes of the segments that a segment of smaller owner holds too.
+
+    The segments data[begin[i] : begin[i] + size[i]] are suffix-sorted together; strings are equal where
+    neighbours in that order have width bytes in common.
+    """
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(begin) < 2:
+        return none
+    upto = np.cumsum(size + 1)
+    at = upto - size - 1
+    flat = np.zeros(int(upto[-1]), dtype=np.uint8)
+    flat[gather_ranges(at, size)] = np.minimum(data[gather_ranges(begin, size)], 254) + 1
+    order = suffix_array(flat, width)
+    lcp = common_prefixes(flat, order, width)
+    new = lcp < width
+    one = new.copy()
+    one[:-1] &= new[1:]
+    order, new = order[~one], new[~one]  # strings that stand alone need no owner
+    if not len(order):
+        return none
+    of = np.searchsorted(upto, order, side="right")
+    least = np.minimum.reduceat(owner[of], np.flatnonzero(new))[np.cumsum(new) - 1]
+    hit = np.flatnonzero(owner[of] > least)
+    return of[hit], order[hit] - at[of[hit]]
+
+
+def _shared(h: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which entries have a hash that entries of another id have too."""
+    order = np.argsort(h, kind="stable")
+    start = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]])) if len(h) else np.zeros(0, np.int64)
+    d = ids[order]
+    out = np.zeros(len(h), dtype=bool)
+    if len(h):
+        several = np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start)
+        out[order] = np.repeat(several, np.diff(np.append(start, len(h))))
+    return out
+
+
 _SPAN_KINDS = [np.int64, np.int32, np.int32]
-_ANCHOR_KINDS = [np.int64, np.int32, np.uint8, np.dtype("V5"), np.dtype("V5")]
+_ANCHOR_KINDS = [np.int64, np.int32, np.dtype("V5")]
 
 
 def _five(x: np.ndarray) -> np.ndarray:
@@ -95,7 +135,31 @@ def _spans(doc, start, end, parts):
     return by_part(doc, parts, _INTERVALS, doc.astype(np.int64), start.astype(np.int32), end.astype(np.int32))
 
 
-def cut_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, part_bytes: int = 8 << 20, hot_classes: int = 20_000) -> DataFrame:
+def hot_seeds(texts: DataFrame, width: int, share: int = HOT_SHARE) -> np.ndarray:
+    """Hashes of the seeds that stand in over 1/share of a sample of at most about 2 * SAMPLE_DOCS documents (id__, text__).
+
+    They decide only how the work is dealt, not its result; there are fewer than share times the anchors of a mean document.
+    """
+    n = texts.count()
+    step = max(1, n // SAMPLE_DOCS)
+
+    def count(batches):
+        for batch in batches:
+            doc, _, _, _, h = anchors(*buffers(batch.column(0)), width)
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
+            new = np.ones(len(h), dtype=bool)
+            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            seed, times = np.unique(h[new], return_counts=True)
+            often = times > 1
+            yield pa.RecordBatch.from_arrays([pa.array(seed[often].view(np.int64)), pa.array(times[often], pa.int64())], ["seed", "n"])
+
+    sample = texts.where(F.pmod(F.xxhash64("id__"), F.lit(step)) == 0).select("text__").repartition(4)
+    found = sample.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).where(F.col("n") > max(16, n // step // share))
+    return np.sort(found.select("seed").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
+def cut_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, part_bytes: int = 8 << 20, hash_bits: int = 40, hot_share: int = HOT_SHARE) -> DataFrame:
     """Removes each byte of a text (as UTF-8) that a string of `width` bytes covers which also starts in a document of smaller id.
 
     Strings never cross documents and are judged on the input. Rows: doc_id, n_bytes, n_removed,
@@ -105,13 +169,15 @@ def cut_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_c
     A null text is empty (and stays null in with_text). Rows of null id stay whole and cover
     nothing. Equal rows cover each other's successors alike. Of rows that share an id but not the text,
     that of smallest text takes part, the others stay whole. An empty table gives no rows.
-    part_bytes: input bytes of a group of documents that one task holds. hot_classes: from so many different contexts
-    on, a seed's strings are sorted string by string in many tasks instead of in one.
+    part_bytes: input bytes of a group of documents that one task holds. hash_bits: bits of a seed's hash, beside those
+    that name its bucket, by which seeds meet; fewer bits only mean more sorting. hot_share: see hot_seeds; the
+    strings of hot seeds meet one by one, in groups of pieces first, so that no task gathers a hot seed.
     """
     parts = max(parts_for(docs, part_bytes), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     while not is_prime(parts):  # so that ids of regular steps spread
         parts += 1
-    buckets = parts
+    buckets, salts = parts, math.isqrt(parts) + 1
+    mask = U64((1 << hash_bits) - 1)
     want = [c for c in docs.columns if c not in (id_col, text_col)] if with_text else []
     base = docs.select(F.col(id_col).cast("long").alias("id__"), F.col(text_col).cast("string").alias("text__"), *(F.col(c).alias(f"own_{i}") for i, c in enumerate(want)))
     repeated = base.where("id__ IS NOT NULL").groupBy("id__").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
@@ -120,130 +186,103 @@ def cut_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_c
         base = base.withColumn("rank__", F.dense_rank().over(Window.partitionBy("id__").orderBy(F.coalesce("text__", F.lit("")))))
         takes_part = takes_part & (F.col("rank__") == 1)
     base = base.withColumn("active__", takes_part).withColumn("part__", F.pmod(F.coalesce("id__", F.lit(0)), F.lit(parts)).cast("int"))
+    texts = base.where("active__").select("id__", "text__")
+    hot = hot_seeds(texts, width, hot_share)
 
     def find(batches):
+        from pyspark import TaskContext
+
+        turn = TaskContext.get().partitionId()
         for batch in batches:
             batch = batch.take(pa.compute.array_sort_indices(batch.column(0)))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, off = buffers(batch.column(1))
             for a, b in pieces(off, PIECE):
-                yield from search_piece(ids[a:b], data[off[a] : off[b]], off[a : b + 1] - off[a])
-
-    def search_piece(ids, data, off):
-        doc, pos, low, high, h, c = anchors(data, off, width)
-        # equal contexts inside the piece: the smallest id stands for them
-        sample, which = distinct(mix(h * U64(0x9E3779B97F4A7C15) + c))
-        follows = ids[doc] != ids[doc[sample]][which]
-        f = np.flatnonzero(follows)
-        rows = [(k, parts * _FINE + p, b) for k, p, b in _spans(ids[doc[f]], low[f], high[f], parts)]
-        left = np.flatnonzero(~follows)
-        bucket = ((h[left] >> U64(40)) % U64(buckets)).astype(np.int64)
-        left = left[np.argsort(bucket, kind="stable")]
-        bucket.sort()
-        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(left) else []
-        for a, b in zip(cuts, [*cuts[1:], len(left)]):
-            x = left[a:b]
-            rows.append((0, int(bucket[a]), pack(ids[doc[x]].astype(np.int64), pos[x].astype(np.int32), (high[x] - pos[x]).astype(np.uint8), _five(h[x]), _five(c[x]))))
-        return table_of(rows, ["kind", "key", "blob"], [pa.int32(), pa.int32(), pa.binary()]).to_batches()
+                yield from search_piece(ids[a:b], data[off[a] : off[b]], off[a : b + 1] - off[a], turn % salts)
+                turn += 1
+
+    def search_piece(ids, data, off, salt):
+        doc, pos, low, high, h = anchors(data, off, width)
+        x = np.flatnonzero(_shared(h, ids[doc]))
+        d, s, e = _merge(doc[x], low[x], high[x])
+        of, start = in_smaller(data, off[d] + s, e - s, ids[d], width)
+        start = start + s[of]
+        rows = [(_INTERVALS, p, b) for _, p, b in _spans(ids[d[of]], start, start + width, parts)]
+        # contexts with a string that no smaller id of the piece holds go on
+        gone = np.zeros(len(data) + 1, dtype=np.int64)
+        gone[off[d[of]] + start + 1] = 1
+        np.cumsum(gone, out=gone)
+        begin, stop = off[doc] + low, off[doc] + high - width + 1
+        left = gone[stop] - gone[begin] < stop - begin
+        hot_one = np.isin(h, hot) & left
+        if hot_one.any():
+            at = np.unique(gather_ranges(begin[hot_one], (stop - begin)[hot_one]))
+            at = at[gone[at + 1] == gone[at]]
+            code = mix((BYTE_CODE[data[at[:, None] + np.arange(width)]] * powers(width)[0][:width]).sum(axis=1, dtype=np.uint64))
+            key = (code % U64(buckets * _FINE)).astype(np.int64)
+            own = np.searchsorted(off, at, side="right") - 1
+            for k, y in _grouped(key):
+                rows.append((_STRINGS, k * salts + salt, _ctx(data, ids[own[y]], at[y] - off[own[y]], at[y], np.full(len(y), width))))
+        left = np.flatnonzero(left & ~hot_one)
+        for k, y in _grouped(((h[left] >> U64(40)) % U64(buckets)).astype(np.int64)):
+            x = left[y]
+            rows.append((_ANCHORS, k, pack(ids[doc[x]].astype(np.int64), pos[x].astype(np.int32), _five(h[x] & mask))))
+        return table_of(rows, ["kind", "key", "blob"], [pa.int32(), pa.int64(), pa.binary()]).to_batches()
 
     def meet(key, t):
-        names, kinds = ["kind", "key", "bucket", "blob"], [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-        kind, blobs = t.column("kind").to_pylist(), t.column("blob").to_pylist()
-        if kind[0] == _INTERVALS:  # from the batches: merged per document on their way
-            doc, start, end = _gather_spans(blobs)
-            return table_of([(k, p, 0, b) for k, p, b in _spans(doc, start, end, parts)], names, kinds)
-        doc, pos, right, h, c = (np.concatenate(v) for v in zip(*(unpack(b, _ANCHOR_KINDS) for b in blobs)))
-        h, c = _eight(h), _eight(c)
-        order = np.argsort(h, kind="stable")
-        start = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-        d = doc[order]
-        size = np.diff(np.append(start, len(d)))
-        shared = np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start)
-        at = order[np.repeat(shared, size)]
-        if not len(at):
-            return table_of([], names, kinds)
-        at = at[np.lexsort((pos[at], doc[at], c[at], h[at]))]
-        doc, pos, right, h, c = doc[at], pos[at].astype(np.int64), right[at], h[at], c[at]
-        new_h = np.ones(len(h), dtype=bool)
-        new_h[1:] = h[1:] != h[:-1]
-        new_c = new_h.copy()
-        new_c[1:] |= c[1:] != c[:-1]
-        owner = doc[np.flatnonzero(new_c)][np.cumsum(new_c) - 1]
-        follows = np.flatnonzero(doc != owner)
-        rows = [(k, p, 0, b) for k, p, b in _spans(doc[follows], np.maximum(pos[follows] - (width - SEED), 0), pos[follows] + right[follows], parts)]
-        group = np.cumsum(new_h) - 1
-        classes = np.bincount(group, weights=new_c)
-        ask = np.flatnonzero((doc == owner) & (classes[group] > 1))
-        fine = ((h[ask] >> U64(16)) % U64(_FINE)).astype(np.int64)
-        hot = classes[group[ask]] > hot_classes
+        """Anchors of a bucket: those whose seed another document has too, by their document's part. Spans: joined. Strings: sorted."""
+        names, kinds = ["kind", "part__", "bucket", "blob"], [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        kind, blobs = t.column("kind")[0].as_py(), t.column("blob").to_pylist()
+        if kind == _INTERVALS:
+            return table_of([(k, p, 0, b) for k, p, b in _spans(*_gather_spans(blobs), parts)], names, kinds)
+        if kind == _STRINGS:
+            bucket = key[1].as_py() // salts
+            doc, start, at, size, data = _read_all(blobs)
+            of, _ = in_smaller(data, at, size, doc, width)
+            first = np.ones(len(doc), dtype=bool)
+            first[of] = False
+            y = np.flatnonzero(first)
+            rows = [(k, p, 0, b) for k, p, b in _spans(doc[of], start[of], start[of] + width, parts)]
+            return table_of([*rows, (_STRINGS, 0, bucket, _ctx(data, doc[y], start[y], at[y], size[y]))], names, kinds)
+        doc, pos, h = (np.concatenate(v) for v in zip(*(unpack(b, _ANCHOR_KINDS) for b in blobs)))
+        h = _eight(h)
+        ask = np.flatnonzero(_shared(h, doc))
+        rows = []
+        fine = ((h[ask] >> U64(1)) % U64(_FINE)).astype(np.int64)
         for sub in range(_FINE):
             x = ask[fine == sub]
-            rows += [(k, p, int(key[0].as_py()) * _FINE + sub, b) for k, p, b in by_part(doc[x], parts, _REQUESTS, doc[x], pos[x].astype(np.int32), hot[fine == sub].astype(np.uint8))]
+            rows += [(k, p, key[1].as_py() * _FINE + sub, b) for k, p, b in by_part(doc[x], parts, _REQUESTS, doc[x], pos[x].astype(np.int32))]
         return table_of(rows, names, kinds)
 
-    search = base.where("active__").select("id__", "text__").mapInArrow(find, "kind int, key int, blob binary")
-    met = kept(search.groupBy("key").applyInArrow(meet, "kind int, key int, bucket int, blob binary"), "repeats").withColumnRenamed("key", "part__")
+    search = texts.mapInArrow(find, "kind int, key long, blob binary").repartition(parts, "kind", "key")
+    met = kept(search.groupBy("kind", "key").applyInArrow(meet, "kind int, part__ int, bucket long, blob binary"), "repeats")
 
     def contexts(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The bytes around asked anchors, by bucket: ids, where they begin in their text, lengths, bytes."""
+        """The bytes around asked anchors, by bucket: ids, where they begin in their text, lengths, bytes. Contexts that overlap are one."""
         rows = []
         if left.num_rows and right.num_rows:
             ids, data, off = active(left)
-            for bucket, blob in zip(right.column("bucket").to_pylist(), right.column("blob").to_pylist()):
-                doc, pos, hot = unpack(blob, [np.int64, np.int32, np.uint8])
+            bucket = right.column("bucket").to_numpy()
+            blobs = right.column("blob").to_pylist()
+            for k, y in _grouped(bucket):
+                doc, pos = (np.concatenate(v) for v in zip(*(unpack(blobs[i], [np.int64, np.int32]) for i in y.tolist())))
                 row = np.searchsorted(ids, doc)
-                begin, stop = off[row], off[row + 1]
-                low, high = np.maximum(begin + pos - (width - SEED), begin), np.minimum(begin + pos + width, stop)
-                cool = hot == 0
-                if cool.any():
-                    x = np.flatnonzero(cool)
-                    rows.append((0, bucket, _ctx(data, doc[x], low[x] - begin[x], low[x], high[x] - low[x])))
-                if not cool.all():
-                    x = np.flatnonzero(~cool)
-                    count = high[x] - low[x] - width + 1
-                    at = gather_ranges(low[x], count)
-                    own = np.repeat(x, count)
-                    text = data[at[:, None] + np.arange(width)]
-                    _, which = np.unique(text, axis=0, return_inverse=True)
-                    which = which.reshape(-1)
-                    least = np.full(which.max() + 1, np.iinfo(np.int64).max)
-                    np.minimum.at(least, which, doc[own])
-                    follow = doc[own] > least[which]
-                    start = at - begin[own]
-                    rows += [(_INTERVALS, parts * _FINE + p, b) for _, p, b in _spans(doc[own][follow], start[follow], start[follow] + width, parts)]
-                    lead = np.flatnonzero(~follow)
-                    code = mix((BYTE_CODE[text[lead]] * powers(width)[0][:width]).sum(axis=1, dtype=np.uint64))
-                    to = (code % U64(buckets * _FINE)).astype(np.int64)
-                    for v in np.unique(to).tolist():
-                        y = lead[to == v]
-                        rows.append((0, v, _ctx(data, doc[own[y]], start[y], at[y], np.full(len(y), width))))
-        return table_of(rows, ["kind", "key", "blob"], [pa.int32(), pa.int32(), pa.binary()])
+                row, low, high = _merge(row, np.maximum(pos - (width - SEED), 0), np.minimum(pos + width, off[row + 1] - off[row]))
+                rows.append((_STRINGS, k, _ctx(data, ids[row], low, off[row] + low, high - low)))
+        return table_of(rows, ["kind", "bucket", "blob"], [pa.int32(), pa.int64(), pa.binary()])
 
     def sort_bucket(t: pa.Table) -> pa.Table:
-        blobs = t.column("blob").to_pylist()
-        if t.column("kind")[0].as_py() == _INTERVALS:
-            doc, start, end = _gather_spans(blobs)
-        else:
-            doc, start, size, text = (np.concatenate(v) for v in zip(*(_read_ctx(b) for b in blobs)))
-            upto = np.cumsum(size + 1)
-            flat = np.zeros(int(upto[-1]), dtype=np.uint8)
-            begin = upto - size - 1
-            flat[gather_ranges(begin, size)] = np.minimum(text, 254) + 1
-            longest = int(size.max())
-            order = suffix_array(flat, longest)
-            lcp = common_prefixes(flat, order, longest)
-            run = np.cumsum(lcp < width) - 1
-            of = np.searchsorted(upto, order, side="right")
-            least = np.minimum.reduceat(doc[of], np.flatnonzero(lcp < width)) if len(order) else np.zeros(0, np.int64)
-            hit = np.flatnonzero(doc[of] > least[run]) if len(order) else np.zeros(0, np.int64)
-            at = order[hit] - begin[of[hit]] + start[of[hit]]
-            doc, start, end = doc[of[hit]], at, at + width
-        return table_of([(k, p, b) for k, p, b in _spans(doc, start, end, parts)], ["kind", "part__", "blob"], [pa.int32(), pa.int32(), pa.binary()])
-
-    dealt = base.groupBy("part__")
-    ctx = dealt.cogroup(met.where(F.col("kind") == _REQUESTS).groupBy("part__")).applyInArrow(contexts, "kind int, key int, blob binary")
-    sorted_ = ctx.groupBy("key").applyInArrow(sort_bucket, "kind int, part__ int, blob binary")
-    spans = met.where(F.col("kind") == _INTERVALS).select("kind", "part__", "blob").union(sorted_)
+        doc, start, at, size, data = _read_all(t.column("blob").to_pylist())
+        of, p = in_smaller(data, at, size, doc, width)
+        p = start[of] + p
+        return table_of([(k, p, b) for k, p, b in _spans(doc[of], p, p + width, parts)], ["kind", "part__", "blob"], [pa.int32(), pa.int32(), pa.binary()])
+
+    dealt = base.repartition(parts, "part__").groupBy("part__")
+    asked = met.where(F.col("kind") == _REQUESTS).repartition(parts, "part__").groupBy("part__")
+    ctx = dealt.cogroup(asked).applyInArrow(contexts, "kind int, bucket long, blob binary")
+    ctx = ctx.union(met.where(F.col("kind") == _STRINGS).select("kind", "bucket", "blob"))
+    sorted_ = ctx.repartition(parts, "bucket").groupBy("bucket").applyInArrow(sort_bucket, "kind int, part__ int, blob binary")
+    spans = met.where(F.col("kind") == _INTERVALS).select("kind", "part__", "blob").union(sorted_).repartition(parts, "part__")
 
     digest = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     if with_text:
@@ -283,6 +322,14 @@ def cut_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_c
     return out.withColumnRenamed("c0", "doc_id")
 
 
+def _grouped(key: np.ndarray):
+    """(value, positions) of each value of key."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    cuts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else []
+    return [(int(k[a]), order[a:b]) for a, b in zip(cuts, [*cuts[1:], len(k)])]
+
+
 def _gather_spans(blobs):
     found = [unpack(b, _SPAN_KINDS) for b in blobs]
     return [np.concatenate(v) for v in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
@@ -292,6 +339,8 @@ def _ctx(data, doc, start, at, size) -> bytes:
     return pack(doc.astype(np.int64), start.astype(np.int64), size.astype(np.int64)) + data[gather_ranges(at, size)].tobytes()
 
 
-def _read_ctx(blob: bytes):
-    doc, start, size = unpack(blob, [np.int64, np.int64, np.int64])
-    return doc, start, size, np.frombuffer(blob, np.uint8, offset=8 + 24 * len(doc))
+def _read_all(blobs: list[bytes]):
+    """(document, where it begins there, where in the bytes, length) of all segments of _ctx blobs, and their bytes."""
+    doc, start, size = (np.concatenate(v) for v in zip(*(unpack(b, [np.int64] * 3) for b in blobs)))
+    data = np.concatenate([np.frombuffer(b, np.uint8, offset=8 + 24 * int(np.frombuffer(b, np.int64, 1)[0])) for b in blobs])
+    return doc, start, np.cumsum(size) - size, size, data

@@ -67,7 +67,8 @@ def _direct_sort(text: np.ndarray, at: np.ndarray, longest: int) -> np.ndarray:
 def suffix_array(text: np.ndarray, longest: int) -> np.ndarray:
     """Suffixes in ascending order, without those that begin with the segments' 0 byte.
 
-    text: uint8 bytes 1 to 255, segments each ended by 0. longest: the longest segment.
+    text: uint8 bytes 1 to 255, segments each ended by 0. longest: the longest segment, or how many bytes
+    decide: suffixes that agree in so many may stand in any order.
     """
     n = len(text)
     padded = np.concatenate([text, np.zeros(longest + 16, np.uint8)])
@@ -111,13 +112,13 @@ def suffix_array(text: np.ndarray, longest: int) -> np.ndarray:
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, longest: int) -> np.ndarray:
-    """Length of the common prefix of each suffix with the one before it, within segments; the first has 0."""
+    """Length of the common prefix of each suffix with the one before it, within segments; the first has 0. Counted to about `longest`."""
     out = np.zeros(len(order), dtype=np.int64)
     if len(order) < 2:
         return out
     padded = np.concatenate([text, np.zeros(longest + 16, np.uint8)])
     live, depth = np.arange(1, len(order)), 0
-    while len(live):
+    while len(live) and depth < longest:
         a, b = order[live - 1] + depth, order[live] + depth
         x, y = _word_keys(padded, a, 0), _word_keys(padded, b, 0)
         differ = x ^ y

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from sealwright.llm.queries import op3_suffix_dedup
-from sealwright.llm.repeats import cut_repeats
+from sealwright.llm.repeats import cut_repeats, in_smaller
 from sealwright.llm.suffixes import common_prefixes, suffix_array
 
 
@@ -64,15 +64,39 @@ def corpus(n=220):
     return rows + [(9000, None), (9001, ""), (9002, "short"), (9003, rows[3][1] * 30), (None, rows[5][1]), (9004, "q" * 49), (9005, "q" * 49), (9006, "é" * 30), (9007, "é" * 31)]
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_matches_brute_force(spark, hot):
+@pytest.mark.parametrize("how", [{}, {"hash_bits": 3}, {"hot_share": 10**9}, {"hot_share": 10**9, "hash_bits": 0, "part_bytes": 2000}])
+def test_matches_brute_force(spark, how):
     rows = corpus()
     order = np.random.default_rng(1).permutation(len(rows))
     df = spark.createDataFrame([(*rows[i], "k") for i in order], "doc_id long, text string, key string").repartition(5)
-    got = sorted((tuple(r) for r in cut_repeats(df, hot_classes=hot).collect()), key=repr)
+    got = sorted((tuple(r) for r in cut_repeats(df, **how).collect()), key=repr)
     assert got == brute(rows)
 
 
+def test_truncated_sort_groups_equal_strings():
+    rng = np.random.default_rng(1)
+    for width in (3, 8, 11):
+        for _ in range(60):
+            segments = [bytes(rng.integers(97, 97 + rng.integers(1, 4), rng.integers(0, 60)).astype(np.uint8)) for _ in range(rng.integers(1, 6))]
+            owner = rng.integers(0, 4, len(segments))
+            size = np.array([len(x) for x in segments])
+            of, p = in_smaller(np.frombuffer(b"".join(segments), np.uint8), np.cumsum(size) - size, size, owner, width)
+            least = {}
+            for x, d in zip(segments, owner.tolist()):
+                for i in range(len(x) - width + 1):
+                    least[x[i : i + width]] = min(d, least.get(x[i : i + width], d))
+            want = sorted((j, i) for j, x in enumerate(segments) for i in range(len(x) - width + 1) if least[x[i : i + width]] < owner[j])
+            assert sorted(zip(of.tolist(), p.tolist())) == want
+
+
+def test_equal_hashes_remove_nothing(spark):
+    # two texts of one seed whose contexts once had equal hashes
+    a, b = "on9bimarnrxhytlo42i6ge1i2jza3kz4whx2usxkspboaho9xw", "ddhmtb9ijffvdtlo42i6ge1i2jza3kz4whx2utoivso1edp76q"
+    df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string").repartition(2, "doc_id")
+    assert {(r.doc_id, r.n_removed) for r in cut_repeats(df).collect()} == {(1, 0), (2, 0)}
+    assert {(r.doc_id, r.n_removed) for r in cut_repeats(df, hash_bits=0).collect()} == {(1, 0), (2, 0)}
+
+
 def test_repeated_rows_and_text(spark):
     p = "a passage of more than fifty bytes that stands in two texts, ends."
     rows = [(1, "x " + p), (1, "x " + p), (2, p + " yé"), (2, p + " yé"), (3, "zz")]
