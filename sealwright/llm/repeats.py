@@ -32,11 +32,14 @@ _STRIP = 1 << 18
 PIECE = 6 << 20  # bytes of text searched at once
 _ANCHORS, _INTERVALS, _REQUESTS, _STRINGS = 0, 1, 2, 3
 _FINE = 4
-SAMPLE_DOCS, HOT_SHARE = 1 << 15, 1024  # seeds in over 1/HOT_SHARE of the sampled documents are dealt string by string
+SAMPLE_DOCS, HOT_DOCS = 1 << 15, 1 << 17  # seeds that a sample puts in more than HOT_DOCS documents are dealt string by string
 
 
 def anchors(data: np.ndarray, off: np.ndarray, width: int):
-    """(text index, position in text, context begin and end in text, seed hash) of all anchors, in text order."""
+    """(text index, position in text, context begin and end in text, seed hash) of all anchors, in text order.
+
+    A context holds just the strings whose smallest seed this is; of equal hashes all are anchors.
+    """
     out = [[], [], [], [], []]
     n, a = len(off) - 1, 0
     while a < n:
@@ -52,7 +55,15 @@ def anchors(data: np.ndarray, off: np.ndarray, width: int):
             usable = np.repeat(o[1:], np.diff(o)) - np.arange(m) >= width
             sel = window_minima(h, width - SEED + 1, usable)
             doc = np.searchsorted(o, sel, side="right") - 1
-            low, high = np.maximum(sel - (width - SEED), o[doc]), np.minimum(sel + width, o[doc + 1])
+            v, reach = h[sel], width - SEED
+            # an anchor's strings begin where the smaller one before it has left, and end before a smaller one comes
+            low, high = np.maximum(sel - reach, o[doc]), np.minimum(sel + width, o[doc + 1])
+            near = np.flatnonzero(doc[1:] == doc[:-1])
+            after = near + 1
+            x = after[v[near] < v[after]]
+            low[x] = np.maximum(low[x], sel[x - 1] + 1)
+            x = near[v[after] < v[near]]
+            high[x] = np.minimum(high[x], sel[x + 1] - reach - 1 + width)
             for store, v in zip(out, (doc + a, sel - o[doc], low - o[doc], high - o[doc], h[sel])):
                 store.append(v)
         a = b
@@ -64,8 +75,43 @@ def in_smaller(data: np.ndarray, begin: np.ndarray, size: np.ndarray, owner: np.
     """(segment, position in it) of every string of `width` bytes of the segments that a segment of smaller owner holds too.
 
     The segments data[begin[i] : begin[i] + size[i]] are suffix-sorted together; strings are equal where
-    neighbours in that order have width bytes in common.
+    neighbours in that order have width bytes in common. Of segments that are equal byte by byte, the one
+    of smallest owner is sorted; all strings of the others are in it.
     """
+    whole = np.flatnonzero(size >= width)
+    if len(whole) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    copies = _copies(data, begin[whole], size[whole], owner[whole])
+    sort, follows = whole[~copies], whole[copies]
+    count = size[follows] - width + 1
+    of, p = _sorted_hits(data, begin[sort], size[sort], owner[sort], width)
+    return np.concatenate([sort[of], np.repeat(follows, count)]), np.concatenate([p, gather_ranges(np.zeros(len(count), np.int64), count)])
+
+
+def _copies(data: np.ndarray, begin: np.ndarray, size: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which segments equal, byte by byte, one of smaller owner. Hashes only choose with which one a segment is compared."""
+    raw = data[gather_ranges(begin, size)]
+    end = np.cumsum(size)
+    at = end - size
+    pw, inv = powers(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(BYTE_CODE[raw] * pw[: len(raw)], out=total[1:])
+    code = mix((total[end] - total[at]) * inv[at] + size.astype(np.uint64))
+    order = np.lexsort((owner, code))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = code[order][1:] != code[order][:-1]
+    rep = np.empty(len(order), dtype=np.int64)
+    rep[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    out = (owner > owner[rep]) & (size == size[rep])
+    x = np.flatnonzero(out)
+    if len(x):
+        same = raw[gather_ranges(at[x], size[x])] == raw[gather_ranges(at[rep[x]], size[x])]
+        upto = np.cumsum(size[x])
+        out[x] = np.add.reduceat(same, upto - size[x], dtype=np.int64) == size[x]
+    return out
+
+
+def _sorted_hits(data: np.ndarray, begin: np.ndarray, size: np.ndarray, owner: np.ndarray, width: int):
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(begin) < 2:
         return none
@@ -74,6 +120,8 @@ def in_smaller(data: np.ndarray, begin: np.ndarray, size: np.ndarray, owner: np.
     flat = np.zeros(int(upto[-1]), dtype=np.uint8)
     flat[gather_ranges(at, size)] = np.minimum(data[gather_ranges(begin, size)], 254) + 1
     order = suffix_array(flat, width)
+    ends = np.repeat(upto - 1, size + 1)
+    order = order[ends[order] - order >= width]
     lcp = common_prefixes(flat, order, width)
     new = lcp < width
     one = new.copy()
@@ -100,17 +148,7 @@ def _shared(h: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 _SPAN_KINDS = [np.int64, np.int32, np.int32]
-_ANCHOR_KINDS = [np.int64, np.int32, np.dtype("V5")]
-
-
-def _five(x: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).view("V5").reshape(-1)
-
-
-def _eight(x: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(x), 8), dtype=np.uint8)
-    out[:, :5] = x.view(np.uint8).reshape(-1, 5)
-    return out.view("<u8").reshape(-1)
+_ANCHOR_KINDS = [np.int64, np.int32, np.uint8, np.uint8, np.uint32]  # document, position, context before and after it, hash
 
 
 def _merge(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
@@ -135,13 +173,13 @@ def _spans(doc, start, end, parts):
     return by_part(doc, parts, _INTERVALS, doc.astype(np.int64), start.astype(np.int32), end.astype(np.int32))
 
 
-def hot_seeds(texts: DataFrame, width: int, share: int = HOT_SHARE) -> np.ndarray:
-    """Hashes of the seeds that stand in over 1/share of a sample of at most about 2 * SAMPLE_DOCS documents (id__, text__).
+def hot_seeds(texts: DataFrame, width: int, docs: int = HOT_DOCS) -> np.ndarray:
+    """Hashes of the seeds in more than `docs` documents (id__, text__), as a sample of about SAMPLE_DOCS of them tells.
 
-    They decide only how the work is dealt, not its result; there are fewer than share times the anchors of a mean document.
+    They decide only how the work is dealt, not its result. A seed counts if it stands in over 16 of the sample's
+    documents, so there are at most a 16th of the sample's anchors.
     """
-    n = texts.count()
-    step = max(1, n // SAMPLE_DOCS)
+    step = max(1, texts.count() // SAMPLE_DOCS)
 
     def count(batches):
         for batch in batches:
@@ -155,11 +193,11 @@ def hot_seeds(texts: DataFrame, width: int, share: int = HOT_SHARE) -> np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array(seed[often].view(np.int64)), pa.array(times[often], pa.int64())], ["seed", "n"])
 
     sample = texts.where(F.pmod(F.xxhash64("id__"), F.lit(step)) == 0).select("text__").repartition(4)
-    found = sample.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).where(F.col("n") > max(16, n // step // share))
+    found = sample.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).where(F.col("n") > max(16, docs // step))
     return np.sort(found.select("seed").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
-def cut_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, part_bytes: int = 8 << 20, hash_bits: int = 40, hot_share: int = HOT_SHARE) -> DataFrame:
+def cut_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, part_bytes: int = 8 << 20, hash_bits: int = 32, hot_docs: int = HOT_DOCS) -> DataFrame:
     """Removes each byte of a text (as UTF-8) that a string of `width` bytes covers which also starts in a document of smaller id.
 
     Strings never cross documents and are judged on the input. Rows: doc_id, n_bytes, n_removed,
@@ -170,7 +208,7 @@ def cut_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_c
     nothing. Equal rows cover each other's successors alike. Of rows that share an id but not the text,
     that of smallest text takes part, the others stay whole. An empty table gives no rows.
     part_bytes: input bytes of a group of documents that one task holds. hash_bits: bits of a seed's hash, beside those
-    that name its bucket, by which seeds meet; fewer bits only mean more sorting. hot_share: see hot_seeds; the
+    that name its bucket, by which seeds meet; fewer bits only mean more sorting. hot_docs: see hot_seeds; the
     strings of hot seeds meet one by one, in groups of pieces first, so that no task gathers a hot seed.
     """
     parts = max(parts_for(docs, part_bytes), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -187,7 +225,7 @@ def cut_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_c
         takes_part = takes_part & (F.col("rank__") == 1)
     base = base.withColumn("active__", takes_part).withColumn("part__", F.pmod(F.coalesce("id__", F.lit(0)), F.lit(parts)).cast("int"))
     texts = base.where("active__").select("id__", "text__")
-    hot = hot_seeds(texts, width, hot_share)
+    hot = hot_seeds(texts, width, hot_docs)
 
     def find(batches):
         from pyspark import TaskContext
@@ -226,7 +264,7 @@ def cut_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_c
         left = np.flatnonzero(left & ~hot_one)
         for k, y in _grouped(((h[left] >> U64(40)) % U64(buckets)).astype(np.int64)):
             x = left[y]
-            rows.append((_ANCHORS, k, pack(ids[doc[x]].astype(np.int64), pos[x].astype(np.int32), _five(h[x] & mask))))
+            rows.append((_ANCHORS, k, pack(ids[doc[x]].astype(np.int64), pos[x].astype(np.int32), (pos[x] - low[x]).astype(np.uint8), (high[x] - pos[x]).astype(np.uint8), (h[x] & mask).astype(np.uint32))))
         return table_of(rows, ["kind", "key", "blob"], [pa.int32(), pa.int64(), pa.binary()]).to_batches()
 
     def meet(key, t):
@@ -244,14 +282,13 @@ def cut_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_c
             y = np.flatnonzero(first)
             rows = [(k, p, 0, b) for k, p, b in _spans(doc[of], start[of], start[of] + width, parts)]
             return table_of([*rows, (_STRINGS, 0, bucket, _ctx(data, doc[y], start[y], at[y], size[y]))], names, kinds)
-        doc, pos, h = (np.concatenate(v) for v in zip(*(unpack(b, _ANCHOR_KINDS) for b in blobs)))
-        h = _eight(h)
+        doc, pos, before, after, h = (np.concatenate(v) for v in zip(*(unpack(b, _ANCHOR_KINDS) for b in blobs)))
         ask = np.flatnonzero(_shared(h, doc))
         rows = []
-        fine = ((h[ask] >> U64(1)) % U64(_FINE)).astype(np.int64)
+        fine = h[ask] % np.uint32(_FINE)
         for sub in range(_FINE):
             x = ask[fine == sub]
-            rows += [(k, p, key[1].as_py() * _FINE + sub, b) for k, p, b in by_part(doc[x], parts, _REQUESTS, doc[x], pos[x].astype(np.int32))]
+            rows += [(k, p, key[1].as_py() * _FINE + sub, b) for k, p, b in by_part(doc[x], parts, _REQUESTS, doc[x], pos[x], before[x], after[x])]
         return table_of(rows, names, kinds)
 
     search = texts.mapInArrow(find, "kind int, key long, blob binary").repartition(parts, "kind", "key")
@@ -265,9 +302,8 @@ def cut_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_c
             bucket = right.column("bucket").to_numpy()
             blobs = right.column("blob").to_pylist()
             for k, y in _grouped(bucket):
-                doc, pos = (np.concatenate(v) for v in zip(*(unpack(blobs[i], [np.int64, np.int32]) for i in y.tolist())))
-                row = np.searchsorted(ids, doc)
-                row, low, high = _merge(row, np.maximum(pos - (width - SEED), 0), np.minimum(pos + width, off[row + 1] - off[row]))
+                doc, pos, before, after = (np.concatenate(v) for v in zip(*(unpack(blobs[i], _ANCHOR_KINDS[:4]) for i in y.tolist())))
+                row, low, high = _merge(np.searchsorted(ids, doc), pos - before, pos + after)
                 rows.append((_STRINGS, k, _ctx(data, ids[row], low, off[row] + low, high - low)))
         return table_of(rows, ["kind", "bucket", "blob"], [pa.int32(), pa.int64(), pa.binary()])
 

@@ -26,41 +26,46 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def _word_keys(text: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-    """Bytes 8k to 8k+7 of the suffixes at `at` as one big-endian number."""
-    out = np.zeros(len(at), dtype=np.uint64)
-    for i in range(8):
-        out = (out << np.uint64(8)) | text[at + 8 * k + i].astype(np.uint64)
+def _words_at(text: np.ndarray, room: int) -> np.ndarray:
+    """The 8 bytes from each place on as one big-endian number; what follows a 0 byte, a segment's end, is 0. `room` zeros stand after the end."""
+    n = len(text)
+    out = np.zeros(n + room + 8, dtype=np.uint64)
+    out[:n] = text
+    for k in (1, 2, 4):
+        ended = (out & np.uint64(0xFF)) == 0
+        after = np.zeros_like(out)
+        after[:-k] = out[k:]
+        after[ended] = 0
+        out = (out << np.uint64(8 * k)) | after
     return out
 
 
-def _direct_sort(text: np.ndarray, at: np.ndarray, longest: int) -> np.ndarray:
-    """Sorts suffixes by their bytes up to their segment's end; text has longest + 8 zeros after its end."""
-    at = at.copy()
+def _direct_sort(words: np.ndarray, at: np.ndarray, longest: int) -> np.ndarray:
+    """Sorts suffixes by their bytes up to their segment's end, or to about `longest` bytes."""
+    order = np.argsort(words[at])
+    at = at[order]
     group = np.zeros(len(at), dtype=np.int64)  # rank of the prefix seen so far
     live = np.arange(len(at))  # positions of at whose prefix isn't unique and hasn't ended
+    key = words[at]
     k = 0
-    while len(live) and 8 * k < longest + 1:
-        own, g = at[live], group[live]
-        key = _word_keys(text, own, k)
-        ended = (key & np.uint64(0xFF)) == 0
-        # a 0 byte ends the segment: what follows it must not decide
-        for i in range(7):
-            stop = (key >> np.uint64(56 - 8 * i)) & np.uint64(0xFF)
-            cut = stop == 0
-            if cut.any():
-                key[cut] &= ~((np.uint64(1) << np.uint64(56 - 8 * i)) - np.uint64(1))
-                ended |= cut
-        order = np.lexsort((key, g))
-        at[live], key, g, ended = own[order], key[order], g[order], ended[order]
+    while len(live):
         new = np.ones(len(live), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (g[1:] != g[:-1])
+        new[1:] = (key[1:] != key[:-1]) | (group[live[1:]] != group[live[:-1]])
         start = np.flatnonzero(new)
         size = np.diff(np.append(start, len(live)))
-        rank = live[start]
-        group[live] = np.repeat(rank, size)
-        live = live[np.repeat(size > 1, size) & ~ended]
+        group[live] = np.repeat(live[start], size)
+        live = live[np.repeat(size > 1, size) & ((key & np.uint64(0xFF)) != 0)]
         k += 1
+        if 8 * k > longest:
+            break
+        own, g = at[live], group[live]
+        key = words[own + 8 * k]
+        by_key = np.argsort(key)
+        rank = np.empty(len(key), dtype=np.int64)
+        ordered = key[by_key]
+        rank[by_key] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]])) if len(key) else []
+        order = np.argsort((g << 32) | rank)
+        at[live], key = own[order], key[order]
     return at
 
 
@@ -71,11 +76,9 @@ def suffix_array(text: np.ndarray, longest: int) -> np.ndarray:
     decide: suffixes that agree in so many may stand in any order.
     """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(longest + 16, np.uint8)])
     small = smaller_than_next(text)
     small[text == 0] = False
-    first = np.flatnonzero(small)
-    first = _direct_sort(padded, first, longest)
+    first = _direct_sort(_words_at(text, longest + 8), np.flatnonzero(small), longest)
     counts = np.bincount(text, minlength=256)
     begin = np.concatenate([[0], np.cumsum(counts)])
     out = np.empty(n, dtype=np.int64)
@@ -116,18 +119,19 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, longest: int) -> np.nda
     out = np.zeros(len(order), dtype=np.int64)
     if len(order) < 2:
         return out
-    padded = np.concatenate([text, np.zeros(longest + 16, np.uint8)])
+    words = _words_at(text, longest + 8)
     live, depth = np.arange(1, len(order)), 0
     while len(live) and depth < longest:
-        a, b = order[live - 1] + depth, order[live] + depth
-        x, y = _word_keys(padded, a, 0), _word_keys(padded, b, 0)
+        x, y = words[order[live - 1] + depth], words[order[live] + depth]
         differ = x ^ y
-        same = np.full(len(live), 8)
-        for i in range(8):  # bytes that agree before the first that differs or ends a segment
-            shift = np.uint64(56 - 8 * i)
-            stop = ((differ >> shift) & np.uint64(0xFF) != 0) | ((x >> shift) & np.uint64(0xFF) == 0)
-            same[stop & (same == 8)] = i
-        out[live] += same
-        live = live[same == 8]
+        on = (differ == 0) & ((x & np.uint64(0xFF)) != 0)
+        out[live[on]] += 8
+        x, differ, ended = x[~on], differ[~on], live[~on]
+        # bytes before the first that differs; of equal words, before the segment's end
+        same = (differ.byteswap().view(np.uint8).reshape(-1, 8) != 0).argmax(axis=1)
+        whole = np.flatnonzero(differ == 0)
+        same[whole] = np.count_nonzero(x[whole].view(np.uint8).reshape(-1, 8), axis=1)
+        out[ended] += same
+        live = live[on]
         depth += 8
     return out

@@ -64,7 +64,7 @@ def corpus(n=220):
     return rows + [(9000, None), (9001, ""), (9002, "short"), (9003, rows[3][1] * 30), (None, rows[5][1]), (9004, "q" * 49), (9005, "q" * 49), (9006, "é" * 30), (9007, "é" * 31)]
 
 
-@pytest.mark.parametrize("how", [{}, {"hash_bits": 3}, {"hot_share": 10**9}, {"hot_share": 10**9, "hash_bits": 0, "part_bytes": 2000}])
+@pytest.mark.parametrize("how", [{}, {"hash_bits": 3}, {"hot_docs": 0}, {"hot_docs": 0, "hash_bits": 0, "part_bytes": 2000}])
 def test_matches_brute_force(spark, how):
     rows = corpus()
     order = np.random.default_rng(1).permutation(len(rows))
