@@ -8,17 +8,18 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealwright.config import AUDIT_GENESIS, SEGMENT_GENESIS, Settings
+from sealwright.config import AUDIT_GENESIS, SEGMENT_GENESIS, load_settings
 from sealwright.errors import AuditError, ChainBreak, LineageMismatch, ManifestMismatch, SegmentError, TimestampError
 from sealwright.operators import chain, evidence, segments
 from sealwright.plans.packs import load_pack
 from sealwright.plans.signing import Signers, keygen, sign
-from sealwright.sources.logs import read_log, read_manifests, read_stamps
+from sealwright.sources.logs import publish, read_log, read_manifests, read_stamps
 
 
 def _as_one_log(df: DataFrame) -> DataFrame:
@@ -72,7 +73,7 @@ def check_stamps(found: DataFrame, stamps: DataFrame, segment_id: int | None) ->
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> dict:
-    s = Settings()
+    s = load_settings()
     out: dict = {"status": "ok"}
     if args.command == "keygen":
         return out | {"public_key": keygen(spark, args.out, args.signer, args.trusted_signers)}
@@ -82,18 +83,19 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict:
     if args.command in ("replay", "verify", "proof"):
         log = load_log(spark, args.log)
     if args.command == "replay":
-        out["entries"], out["head_chain_hash"] = check_chain(log)
+        out["entries"], out["head_chain_hash"] = check_chain(log, s.audit_genesis)
         if args.verify_lineage:
-            signers = None if args.no_signature_verify else Signers.load(args.trusted_signers)
+            signers = None if args.no_signature_verify or not s.enforce_signatures else Signers.load(args.trusted_signers)
             out["verified_lineage"] = check_lineage(spark, log, args.policies_dir, signers)
         if args.verify_segments:
             found = _as_one_log(read_manifests(spark, args.segments))
-            out["segments"], out["head_segment_chain_hash"] = check_segments(found)
+            out["segments"], out["head_segment_chain_hash"] = check_segments(found, s.segment_genesis)
             check_manifests(found, log)
         return out
     found = _as_one_log(read_manifests(spark, args.segments))
     if args.command == "proof":
-        got = segments.proofs(log, found).where(F.col("entry_seq") == args.seq).drop("log_id").first()
+        own = found.where(F.lit(args.seq).between(F.col("first_seq"), F.col("last_seq"))).orderBy("segment_id").limit(1)
+        got = segments.proofs(log, own).where(F.col("entry_seq") == args.seq).drop("log_id").first()
         if not got:
             raise AuditError(f"no segment holds entry {args.seq}")
         return got.asDict(recursive=True)
@@ -101,15 +103,16 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict:
         return out | check_stamps(found, _as_one_log(read_stamps(spark, args.segments)), args.segment_id)
     if args.command == "verify":
         out["entries"] = log.count()
-    out["segments"], out["head_segment_chain_hash"] = check_segments(found)
+    out["segments"], out["head_segment_chain_hash"] = check_segments(found, s.segment_genesis)
     if args.command == "verify":
         check_manifests(found, log)
     return out
 
 
 def parser() -> argparse.ArgumentParser:
-    s = Settings()
+    s = load_settings()
     p = argparse.ArgumentParser(prog="sealwright", description=__doc__)
+    p.add_argument("--report", help="also write what is printed to this file")
     sub = p.add_subparsers(dest="command", required=True)
     log, seg = {"default": s.audit_log_path}, {"default": s.segments_dir}
     r = sub.add_parser("replay")
@@ -143,11 +146,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("sealwright").getOrCreate()
     try:
-        print(json.dumps(run(spark, args)))
-        return 0
+        out, code = run(spark, args), 0
     except AuditError as e:
-        print(json.dumps({"status": "failed", "code": e.code, "error": str(e)}), file=sys.stderr)
-        return e.code
+        out, code = {"status": "failed", "code": e.code, "error": str(e)}, e.code
+    print(json.dumps(out), file=sys.stderr if code else sys.stdout)
+    if args.report:
+        publish(os.path.dirname(os.path.abspath(args.report)), os.path.basename(args.report), json.dumps(out, indent=2).encode())
+    return code
 
 
 if __name__ == "__main__":

@@ -17,6 +17,12 @@ class LogParseError(AuditError):
     code = 1
 
 
+class LogHalted(AuditError):
+    """A log takes no more entries."""
+
+    code = 1
+
+
 class ChainBreak(AuditError):
     code = 2
 

@@ -20,11 +20,12 @@ def rule_fires(rule: Rule, context: Column, text: Column) -> Column:
     Later matches are not tried, as the first one decides.
     """
     pattern = compile_pattern(rule.pattern)
-    hit = text.rlike(pattern)
+    if rule.validator is None:
+        hit = text.rlike(pattern)
+    else:  # the match is bound once; no validator passes the empty text that stands for no match
+        hit = F.exists(F.array(F.regexp_extract(text, pattern, 0)), VALIDATORS[rule.validator])
     if rule.context is not None:
         hit = context.rlike(compile_pattern(rule.context)) & hit
-    if rule.validator is not None:
-        hit = F.when(hit, VALIDATORS[rule.validator](F.regexp_extract(text, pattern, 0))).otherwise(False)
     return F.coalesce(hit, F.lit(False))
 
 
@@ -84,5 +85,8 @@ def decision_counts(df: DataFrame) -> DataFrame:
 
 
 def rule_hits(df: DataFrame) -> DataFrame:
-    """Hits of each rule, over the array of violations."""
-    return df.select("policy_set", F.explode("violations").alias("v")).groupBy("policy_set", F.col("v.rule").alias("rule"), F.col("v.action").alias("action")).agg(F.count("*").alias("n"))
+    """Hits of each rule, over the array of violations.
+
+    The outer explode keeps Spark from evaluating all rules once more in a filter on the array's size.
+    """
+    return df.select("policy_set", F.explode_outer("violations").alias("v")).where("v IS NOT NULL").groupBy("policy_set", F.col("v.rule").alias("rule"), F.col("v.action").alias("action")).agg(F.count("*").alias("n"))

@@ -1,8 +1,8 @@
 """Merkle trees over ordered leaves: roots, inclusion proofs, and their verification.
 
 A tree's left part is the largest power of two below its size, which is the same as pairing
-neighbours level by level and carrying an odd last node up unchanged. Segments of bounded size are
-computed inside one array; `deep_roots` builds trees of any size with one shuffle a level.
+neighbours level by level and carrying an odd last node up unchanged. A segment's tree is computed
+inside one array, as many levels as its leaves need; `deep_roots` builds trees that no one task should hold, with one shuffle a level.
 """
 
 from __future__ import annotations
@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from sealwright.functions.hashing import EMPTY_ROOT, node_hash, to_hex
 
-MOST_LEVELS = 40
+
+def _steps(n: Column) -> Column:
+    """One entry for each level above n leaves: as many as n - 1 has binary digits."""
+    return F.sequence(F.lit(1), F.length(F.bin(n.cast("long") - 1)))
 
 
 def _next_level(nodes: Column) -> Column:
@@ -20,10 +23,10 @@ def _next_level(nodes: Column) -> Column:
     return F.transform(pairs, lambda i: F.when(2 * i + 1 < F.size(nodes), node_hash(F.get(nodes, 2 * i), F.get(nodes, 2 * i + 1))).otherwise(F.get(nodes, 2 * i)))
 
 
-def levels(leaves: Column, most: int = 16) -> Column:
-    """All levels of a tree of up to 2**most leaves, from the leaves to the root."""
+def levels(leaves: Column) -> Column:
+    """All levels of a tree, from the leaves to the root."""
     grow = lambda acc, _: F.when(F.size(F.element_at(acc, -1)) > 1, F.concat(acc, F.array(_next_level(F.element_at(acc, -1))))).otherwise(acc)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.array(leaves), grow)
+    return F.aggregate(_steps(F.size(leaves)), F.array(leaves), grow)
 
 
 def ordered(leaf: Column, order: Column) -> Column:
@@ -31,15 +34,15 @@ def ordered(leaf: Column, order: Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), leaf.alias("l")))), lambda x: x["l"])
 
 
-def root(leaves: Column, most: int = 16) -> Column:
+def root(leaves: Column) -> Column:
     """The root's bytes; no leaves give the hash of nothing."""
-    return F.when(F.size(leaves) == 0, F.unhex(F.lit(EMPTY_ROOT))).otherwise(F.get(F.element_at(levels(leaves, most), -1), F.lit(0)))
+    return F.when(F.size(leaves) == 0, F.unhex(F.lit(EMPTY_ROOT))).otherwise(F.get(F.element_at(levels(leaves), -1), F.lit(0)))
 
 
-def roots(leaves: DataFrame, keys: list[str], order: str, leaf: str = "leaf", most: int = 16) -> DataFrame:
-    """(keys, n, merkle_root in hex) of trees of up to 2**most leaves."""
+def roots(leaves: DataFrame, keys: list[str], order: str, leaf: str = "leaf") -> DataFrame:
+    """(keys, n, merkle_root in hex) of trees whose leaves fit one task; see deep_roots for others."""
     grouped = leaves.groupBy(*keys).agg(ordered(F.col(leaf), F.col(order)).alias("leaves"))
-    return grouped.select(*keys, F.size("leaves").cast("long").alias("n"), to_hex(root(F.col("leaves"), most)).alias("merkle_root"))
+    return grouped.select(*keys, F.size("leaves").cast("long").alias("n"), to_hex(root(F.col("leaves"))).alias("merkle_root"))
 
 
 def deep_roots(leaves: DataFrame, keys: list[str], index: str, leaf: str = "leaf") -> DataFrame:
@@ -74,6 +77,6 @@ def verify_path(leaf: Column, index: Column, size: Column, path: Column, root_he
         h = F.when((n > 1) & paired, F.when(i % 2 == 1, node_hash(other, acc["h"])).otherwise(node_hash(acc["h"], other))).otherwise(acc["h"])
         return F.struct(h.alias("h"), F.when(n > 1, F.floor(i / 2)).otherwise(i).cast("long").alias("i"), F.when(n > 1, F.floor((n + 1) / 2)).otherwise(n).cast("long").alias("n"), F.when((n > 1) & paired, used + 1).otherwise(used).alias("used"))
 
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_LEVELS)), start, step)
+    end = F.aggregate(_steps(size), start, step)
     good = (index >= 0) & (index < size) & (end["used"] == F.size(path)) & (to_hex(end["h"]) == root_hex)
     return F.coalesce(good, F.lit(False))

@@ -11,7 +11,9 @@ from sealwright.functions.hashing import chain_digest, from_hex, sha256_hex, sta
 from sealwright.functions.normalize import shadow
 from sealwright.functions.validators import iban, luhn, pesel
 from sealwright.operators import chain, decide, evidence, merkle, segments
+from sealwright.model import ENTRY
 from sealwright.plans.packs import compile_pattern, load_packs
+from sealwright.sources.logs import LogWriter, read_log
 
 SIZE = 50  # entries of a segment
 SEALED_AT = "2024-01-01T00:00:00Z"
@@ -21,13 +23,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, core_bytes: int = 32 << 20) -> DataFrame:
+    """Deals a table of less than core_bytes a core over all cores, as its few row groups would keep only some busy; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * core_bytes else df
+
+
 def b6_shadow_normalize(spark, sf_dir):
     """Texts with hidden and look-alike characters put in, as shadows."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = F.concat(F.lit("P​L­61 АBC Ρx ё "), F.coalesce("text", F.lit("")))
     return d.select("doc_id", shadow(text).alias("s")).select("doc_id", F.substring("s", 1, 20).alias("head"), sha256_hex(F.col("s")).alias("shadow_hash"))
 
 
+# Texts and their shadows: compatibility forms, composed letters, hidden and look-alike characters.
+NFKC_TEXTS = [("ﬁx Ρ", "fix p"), ("ＰＬ６１", "pl61"), ("cafe\u0301", "café"), ("Å \u212b", "å å"), ("x\u00b2 \u2460", "x2 1"), ("A\u200bB", "ab"), ("\u0410BC", "abc"), ("\u1e9b\u0323", "\u1e69"), ("plain", "plain")]
+
+
+def b2_nfkc_shadow(spark, sf_dir):
+    """Texts that NFKC changes, as shadows."""
+    rows = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, (t, _) in enumerate(NFKC_TEXTS)))
+    d = table(spark, sf_dir, "nation").select("n_nationkey", F.explode(rows).alias("x"))
+    return d.select("n_nationkey", "x.i", shadow(F.col("x.t")).alias("s"))
+
+
 def c4_interaction_hashes(spark, sf_dir):
     """A user's turn with the turn after it."""
     from pyspark.sql import Window
@@ -40,7 +60,7 @@ def c4_interaction_hashes(spark, sf_dir):
 
 def finance_rows(spark, sf_dir) -> DataFrame:
     """Documents as interactions; some contexts open the finance gate."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     context = F.when(F.col("lang").isin("en", "de"), "Finance Bot").otherwise("Help Bot")
     rows = d.select("doc_id", context.alias("context"), F.coalesce("text", F.lit("")).alias("prompt"), F.lit("").alias("response"), F.lit(None).cast("string").alias("policy_set"))
     return decide.evaluate(rows, load_packs())
@@ -56,7 +76,7 @@ def e7_decide_finance(spark, sf_dir):
 
 def e5_violations_finance(spark, sf_dir):
     """Violations in rule order, one row each."""
-    rows = finance_rows(spark, sf_dir).select("doc_id", F.posexplode("violations").alias("ord", "v"))
+    rows = finance_rows(spark, sf_dir).select("doc_id", F.posexplode_outer("violations").alias("ord", "v")).where("v IS NOT NULL")
     return rows.select("doc_id", F.col("ord").cast("int").alias("ord"), "v.rule", "v.action", F.round(F.col("v.confidence").cast("double"), 3).alias("confidence"), "v.validator")
 
 
@@ -154,6 +174,23 @@ def f3_chain_build(spark, sf_dir):
     return chained(spark, sf_dir).select("log_id", "seq", "prev_hash", "chain_hash")
 
 
+def shared_folder(spark, name: str) -> str:
+    """A new path in the folder that all machines share."""
+    import uuid
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def a1_log_round_trip(spark, sf_dir):
+    """One log's entries appended as JSON lines, and read back."""
+    one = chained(spark, sf_dir).where("log_id = '3'")
+    full = one.select(F.lit("audit.v1").alias("schema"), "*", F.concat(F.lit("id-"), F.col("seq").cast("string")).alias("audit_id"), F.array().cast(ENTRY["violations"].dataType).alias("violations"))
+    path = shared_folder(spark, "log")
+    LogWriter(path).append(full)
+    return read_log(spark, path).select("seq", "audit_id", "decision", "context", "timestamp", "chain_hash")
+
+
 def i1_chain_verify(spark, sf_dir):
     return chain.verify_chain(tampered(spark, sf_dir)).select("log_id", "pos", "status")
 
@@ -214,6 +251,14 @@ def i6_inclusion_proofs(spark, sf_dir):
     return p.select("log_id", "entry_seq", "segment_id", "leaf_index", "tree_size", "merkle_root", F.array_join("audit_path", ",").alias("audit_path"), "verified")
 
 
+def j7_sealing_resumed(spark, sf_dir):
+    """Logs sealed up to a point, then taken up again from log and manifests: the same manifests as in one go."""
+    c = chained(spark, sf_dir)
+    first = segments.manifests(c.where("seq < 125"), SIZE, SEALED_AT, keep_open=True)
+    both = first.unionByName(segments.manifests(c, SIZE, SEALED_AT, after=first))
+    return both.select("log_id", "segment_id", "first_seq", "last_seq", "entry_count", "merkle_root", "prev_merkle_root", "prev_segment_chain_hash", "segment_chain_hash")
+
+
 def e14_unsealed_tail(spark, sf_dir):
     c = chained(spark, sf_dir)
     return segments.unsealed(c, segments.manifests(c, SIZE, SEALED_AT, keep_open=True)).select("log_id", "seq")
@@ -254,12 +299,10 @@ def c21_stamp_requests(spark, sf_dir):
 def j5_stream_seal(spark, sf_dir):
     """The same logs through the streaming sealer, read back as manifests."""
     import os
-    import uuid
 
     from sealwright.streaming.sealing import seal_stream
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "stream")
     rows = entry_rows(spark, sf_dir).withColumnRenamed("event_id", "order_key").drop("seq")
     rows.write.parquet(os.path.join(folder, "in"))
     out = seal_stream(spark.readStream.schema(rows.schema).parquet(os.path.join(folder, "in")), SIZE, 0, SEALED_AT)
@@ -270,7 +313,7 @@ def j5_stream_seal(spark, sf_dir):
 
 
 _ALL = [
-    b6_shadow_normalize, c4_interaction_hashes, d2_pesel_check, d3_iban_check, e2_first_match, e5_violations_finance, e7_decide_finance, e7_decide_medtech, e7_decide_hr,
+    b2_nfkc_shadow, b6_shadow_normalize, a1_log_round_trip, j7_sealing_resumed, c4_interaction_hashes, d2_pesel_check, d3_iban_check, e2_first_match, e5_violations_finance, e7_decide_finance, e7_decide_medtech, e7_decide_hr,
     e11_unknown_packs, f5_decision_counts, f9_rule_hits, f3_chain_build, i1_chain_verify, h4_first_breaks, a2_heads, f4_segment_summary, f1_merkle_roots, f1_deep_merkle_roots,
     c18_segment_chain, i3_segment_verify, i4_manifest_vs_log, i6_inclusion_proofs, e14_unsealed_tail, f6_seal_counts, i2_lineage, i9_verify_stamps, f8_stamp_summary, c21_stamp_requests, j5_stream_seal,
 ]

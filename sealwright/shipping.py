@@ -1,4 +1,4 @@
-"""Makes this package importable on executors that don't find it by themselves."""
+"""Sends this package to the executors, which needn't find it by themselves."""
 
 from __future__ import annotations
 
@@ -12,15 +12,10 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _done: set[str] = set()
 
 
-def _on_path() -> bool:
-    places = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    return any(p and os.path.realpath(p) == os.path.realpath(_ROOT) for p in places)
-
-
 def ship(spark: SparkSession) -> None:
-    """Adds the package to the session's files, once for each application, unless workers inherit its folder."""
+    """Adds the package to the session's files, once for each application."""
     app = spark.sparkContext.applicationId
-    if app in _done or _on_path():
+    if app in _done:
         return
     path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "sealwright.zip")
     with zipfile.ZipFile(path, "w") as z:

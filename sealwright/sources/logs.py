@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealwright.errors import LogParseError
+from sealwright.errors import LogHalted, LogParseError
 from sealwright.model import ENTRY, ENTRY_REQUIRED, MANIFEST
 
 
@@ -62,6 +62,22 @@ def append_log(entries: DataFrame, path: str) -> None:
     ordered.select(F.to_json(F.struct(*names)).alias("value")).write.mode("append").text(path)
 
 
+class LogWriter:
+    """Appends to one log, and takes no more once an append has failed: what came after it would hide the gap."""
+
+    def __init__(self, path: str):
+        self.path, self.halted = path, False
+
+    def append(self, entries: DataFrame) -> None:
+        if self.halted:
+            raise LogHalted(f"{self.path} takes no more entries: an append failed")
+        try:
+            append_log(entries, self.path)
+        except Exception:
+            self.halted = True
+            raise
+
+
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     """Manifests of a folder in order of segment_id; a folder that isn't there has none."""
     from pyspark.errors import AnalysisException

@@ -6,7 +6,7 @@ from sealwright.config import AUDIT_GENESIS, SEGMENT_GENESIS
 from sealwright.functions.hashing import EMPTY_ROOT
 from sealwright.functions.normalize import FOLD_FROM, FOLD_TO, HIDDEN
 from sealwright.model import SEGMENT_SCHEMA
-from sealwright.queries import HR_TEXTS, SEALED_AT, SIZE
+from sealwright.queries import HR_TEXTS, NFKC_TEXTS, SEALED_AT, SIZE
 
 _B, _E = r"(?:^|[^\p{L}\p{M}\p{N}_])", r"(?:$|[^\p{L}\p{M}\p{N}_])"  # Unicode word edges for RE2
 
@@ -175,6 +175,9 @@ FROM q JOIN m USING (log_id, segment_id) LEFT JOIN w ON w.log_id = q.log_id AND
         "f1_merkle_roots": f"{_R}{_CHAIN}, {_levels(f'(seq // {SIZE})')} SELECT a.log_id, a.segment, a.n, lower(hex(b.h)) AS merkle_root FROM lv a JOIN lv b ON a.log_id = b.log_id AND a.segment = b.segment AND b.n = 1 WHERE a.lvl = 0 AND a.idx = 0",
         "f1_deep_merkle_roots": f"{_R}{_CHAIN}, {_levels('0')} SELECT a.log_id, a.n, lower(hex(b.h)) AS merkle_root FROM lv a JOIN lv b ON a.log_id = b.log_id AND b.n = 1 WHERE a.lvl = 0 AND a.idx = 0",
         "c18_segment_chain": f"{_R}{_MANIFESTS} SELECT log_id, segment_id, first_seq, last_seq, entry_count, merkle_root, prev_merkle_root, prev_segment_chain_hash, segment_chain_hash FROM m",
+        "j7_sealing_resumed": f"{_R}{_MANIFESTS} SELECT log_id, segment_id, first_seq, last_seq, entry_count, merkle_root, prev_merkle_root, prev_segment_chain_hash, segment_chain_hash FROM m",
+        "b2_nfkc_shadow": "SELECT n_nationkey, i, s FROM nation CROSS JOIN (VALUES " + ", ".join(f"({i}, '{want}')" for i, (_, want) in enumerate(NFKC_TEXTS)) + ") AS v(i, s)",
+        "a1_log_round_trip": f"{_R}{_CHAIN} SELECT seq, 'id-' || seq AS audit_id, decision, context, timestamp, chain_hash FROM c JOIN e USING (log_id, seq) WHERE log_id = '3'",
         "i3_segment_verify": _R + segment_verify,
         "i4_manifest_vs_log": _R + manifest_vs_log,
         "i6_inclusion_proofs": _R + proofs,

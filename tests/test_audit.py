@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from sealwright.cli import main
 from sealwright.config import load_settings, origins
-from sealwright.errors import LogParseError, PackError
+from sealwright.errors import LogHalted, LogParseError, PackError
 from sealwright.functions.hashing import contains_imprint, der_length, from_hex, stamp_request
 from sealwright.functions.normalize import shadow
 from sealwright.functions.validators import iban, luhn, pesel
 from sealwright.model import ENTRY
 from sealwright.operators import chain, decide, segments
-from sealwright.operators.merkle import audit_path, levels, verify_path
+from sealwright.operators.merkle import audit_path, deep_roots, levels, roots, verify_path
 from sealwright.plans.packs import compile_pattern, load_pack, load_packs, parse_pack, rules_frame
 from sealwright.plans.signing import Signers, keygen, sign, verify
-from sealwright.sources.logs import append_log, read_log, read_manifests, read_stamps, submit_stamps, write_manifest
+from sealwright.sources.logs import LogWriter, append_log, read_log, read_manifests, read_stamps, submit_stamps, write_manifest
 from sealwright.streaming.sealing import LogState, fold_root
 
 
@@ -123,6 +123,47 @@ def test_trees_of_small_sizes(spark):
         assert r.ok and not r.wrong and not r.outside and not r.long and not r.short
 
 
+def test_trees_beyond_65536_leaves(spark):
+    from sealwright.functions.hashing import leaf_hash
+
+    n = 65_537
+    df = spark.range(n).select(F.lit("a").alias("k"), "id", leaf_hash(F.col("id").cast("string").cast("binary")).alias("leaf"))
+    want = fold_root([hashlib.sha256(b"\0" + str(i).encode()).digest() for i in range(n)])
+    assert roots(df, ["k"], "id").first().merkle_root == deep_roots(df, ["k"], "id").first().merkle_root == want
+    entries = df.select(F.col("k").alias("log_id"), F.col("id").alias("seq"), F.sha2(F.col("id").cast("string"), 256).alias("chain_hash"))
+    m = segments.manifests(entries, 70_000, "t")
+    assert m.first().merkle_root == fold_root([hashlib.sha256(b"\0" + hashlib.sha256(str(i).encode()).digest()).digest() for i in range(n)])
+    p = segments.proofs(entries, m).where("entry_seq in (0, 65536)").orderBy("entry_seq").collect()
+    assert [(r.verified, len(r.audit_path)) for r in p] == [(True, 17), (True, 1)]
+
+
+def test_forged_ranges_are_cut(spark):
+    c = chain.build_chain(spark.createDataFrame(log_rows(7), FIELDS))
+    m = segments.manifests(c, 3, "t").withColumn("last_seq", F.when(F.col("segment_id") == 3, F.lit(2**62)).otherwise(F.col("last_seq")))
+    assert sorted((r.seq, r.segment_id) for r in segments.covering(c, m).collect()) == [(i, i // 3 + 1) for i in range(7)]
+
+
+def test_sealing_goes_on_after_any_stop(spark):
+    c = chain.build_chain(spark.createDataFrame(log_rows(11), FIELDS))
+    whole = segments.manifests(c, 3, "t")
+    for held in (0, 2, 3, 7, 11):
+        first = segments.manifests(c.where(F.col("seq") < held), 3, "t", keep_open=True)
+        both = first.unionByName(segments.manifests(c, 3, "t", after=first))
+        assert sorted(map(repr, both.collect())) == sorted(map(repr, whole.collect()))
+    other = segments.manifests(c, 3, "t", schema="x.v2")
+    assert {r.status for r in segments.verify_segment_chain(other).collect()} == {"BAD_SCHEMA"} and {r.status for r in segments.verify_segment_chain(other, schema="x.v2").collect()} == {"OK"}
+
+
+def test_halted_log_takes_no_more(spark, tmp_path):
+    (tmp_path / "file").write_text("x")
+    w = LogWriter(str(tmp_path / "file" / "log"))
+    df = spark.createDataFrame([(1,)], "seq long")
+    for error in (Exception, LogHalted):
+        with pytest.raises(error):
+            w.append(df)
+    assert w.halted
+
+
 def log_rows(n):
     return [("a", i, ["ALLOW", "DENY", "REVIEW"][i % 3], "finance-v1", "h", f"ctx | {i}", "i", "s", f"2024-01-01T00:00:0{i % 10}.123456789Z") for i in range(n)]
 
@@ -130,7 +171,7 @@ def log_rows(n):
 FIELDS = "log_id string, seq long, decision string, policy_set string, policy_hash string, context string, input_hash string, shadow_hash string, timestamp string"
 
 
-def test_files_and_commands(spark, tmp_path, capsys):
+def test_files_and_commands(spark, tmp_path, capsys, monkeypatch):
     d = str(tmp_path)
     c = chain.build_chain(spark.createDataFrame(log_rows(7), FIELDS))
     full = c.withColumn("schema", F.lit("audit.v1")).withColumn("audit_id", F.lit("u")).withColumn("violations", F.array().cast(ENTRY["violations"].dataType)).cache()
@@ -147,7 +188,11 @@ def test_files_and_commands(spark, tmp_path, capsys):
         write_manifest(f"{d}/seg", m.asDict())
     assert read_manifests(spark, f"{d}/seg").count() == 3 and read_manifests(spark, f"{d}/none").count() == 0
     assert main(["replay", "--log", one_file, "--segments", f"{d}/seg", "--verify-segments"], spark) == 0
-    assert main(["verify", "--log", one_file, "--segments", f"{d}/seg"], spark) == 0
+    assert main(["--report", f"{d}/report.json", "verify", "--log", one_file, "--segments", f"{d}/seg"], spark) == 0
+    assert json.load(open(f"{d}/report.json"))["status"] == "ok"
+    monkeypatch.setenv("SEALWRIGHT_AUDIT_LOG_PATH", one_file)
+    monkeypatch.setenv("SEALWRIGHT_SEGMENTS_DIR", f"{d}/seg")
+    assert main(["verify"], spark) == 0
     assert main(["verify-chain", "--segments", f"{d}/seg"], spark) == 0
     capsys.readouterr()
     assert main(["proof", "--log", one_file, "--segments", f"{d}/seg", "--seq", "4"], spark) == 0
