@@ -1,9 +1,11 @@
+import gzip
 import hashlib
+import os
 
 import pytest
 from oracle import same
 
-from sealwright.llm.archive import ARC_FIELDS, arc_file_header, arc_record, convert, number_of, parse_arc, parse_warc, record_uuid, warc_record, warc_time
+from sealwright.llm.archive import ARC_FIELDS, arc_file_header, arc_record, convert, gzip_members, number_of, parse_arc, parse_warc, record_uuid, warc_record, warc_time
 from sealwright.llm.queries import OP4_SQL, op4_warc
 
 
@@ -24,11 +26,31 @@ def test_warc_records():
     for n in (0, 1, -5, 2**63 - 1, -(2**63)):
         assert number_of(f"<urn:uuid:{record_uuid(n)}>") == n
     assert warc_time("2009") == "2009-01-01T00:00:00Z" and warc_time("20090102030405") == "2009-01-02T03:04:05Z"
-    text = "".join(warc_record(i, "http://a/", "2009", "text/html", p, refers_to=r) + "\r\n\r\n" for i, p, r in [(1, b"", None), (2, b"\r\n\r\nx\r\n\r\n", None), (3, b"q", 2)])
-    got = list(parse_warc(text.encode()))
+    text = b"".join(warc_record(i, "http://a/", "2009", "text/html", p, refers_to=r) for i, p, r in [(1, b"", None), (2, b"\r\n\r\nx\r\n\r\n", None), (3, b"q", 2)])
+    got = list(parse_warc(text))
     assert [f["WARC-Type"] for f, _ in got] == ["response", "response", "revisit"] and got[1][1].endswith(b"\r\n\r\nx\r\n\r\n")
     with pytest.raises(ValueError):
-        list(parse_warc(text.encode()[:-2]))
+        list(parse_warc(text[:-2]))
+
+
+def test_gzip_members():
+    parts = [b"", b"a" * 200_000, b"\0\0", bytes(range(256)) * 1000]
+    data = b"".join(gzip.compress(p) + b"\0" * (i % 3) for i, p in enumerate(parts))
+    assert list(gzip_members(data)) == parts
+    with pytest.raises(ValueError):
+        list(gzip_members(data[:-20]))
+
+
+def test_hostile_urls_and_large_pages(spark, tmp_path):
+    urls = ["filedesc://evil", "filedesc:", "http://a\tb\x00\x01\x0b\u2028", "a: b\r\nWARC/1.0", " ", "", "x" * 100_000, "WARC/1.0"]
+    rows = [(i, u, "p") for i, u in enumerate(urls)] + [(100, "big", "z" * (17 << 20)), (101, "big", "z" * (17 << 20)), (102, "odd", "\0" * 5000)]
+    path = str(tmp_path / "w")
+    got = {r.page_id: r for r in convert(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path).collect()}
+    assert {i: r.payload_digest for i, r in got.items()} == {i: hashlib.sha1(h.encode()).hexdigest() for i, _, h in rows} and len(got) == len(rows)
+    assert got[100].refers_to == 101 and got[101].record_type == "response"
+    files = [f for f in os.listdir(path) if f.startswith("part-")]
+    whole = b"".join(gzip.decompress(open(os.path.join(path, f), "rb").read()) for f in files)  # any gzip reader reads them
+    assert len(list(parse_warc(whole))) == len(rows)
 
 
 def test_pages_with_odd_rows(spark, tmp_path):
