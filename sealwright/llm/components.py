@@ -8,16 +8,12 @@ from pyspark.sql import functions as F
 from sealwright.llm.hot import hot_keys, join_hot
 from sealwright.llm.scratch import kept
 
-FEW = 500_000  # edges that one task can hold whatever node they belong to
-
-
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of edges (columns a, b): component is the smallest node reachable.
 
     Each round moves every edge towards its nodes' smallest neighbours: all smaller neighbours of
     a node, then all its larger ones, are joined to the smallest. Nodes meet their smallest
-    neighbour by a grouped minimum and a join, in which nodes of many edges
-    are salted once there are more than FEW edges. Rounds
+    neighbour by a grouped minimum and a join, in which nodes of many edges are salted. Rounds
     end when no edge changes; they number about the logarithm of a component's size. No edges,
     no rows; an edge from a node to itself gives the node its own component.
     """
@@ -31,14 +27,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not last[0]:
             break
-        few = last[0] <= FEW
         low = now.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        met = join_hot(now, low.drop("n"), "u", "v", [] if few else hot_keys(low, "u"))
+        met = join_hot(now, low.drop("n"), "u", "v", hot_keys(low, "u", total=last[0]))
         small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         small = kept(small.where("u <> v").distinct(), "edges")
         both = small.union(small.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = join_hot(both.where("v > u"), low.drop("n"), "u", "v", [] if few else hot_keys(low, "u"))
+        large = join_hot(both.where("v > u"), low.drop("n"), "u", "v", hot_keys(low, "u", total=2 * last[0]))
         now = kept(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
         mark_ = mark(now)
         if mark_ == last:

@@ -6,20 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def join_salted(rows: DataFrame, small: DataFrame, keys: list[str], spread: str, how: str = "inner", salts: int = 32) -> DataFrame:
-    """Joins rows with `small` (one row for each key), each key's rows going to `salts` tasks.
-
-    spread: the column of rows whose hash picks the task. `small` is repeated `salts` times, so
-    it should hold only keys that need it.
-    """
-    left = rows.withColumn("salt_", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = small.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "salt_"], how).drop("salt_")
-
-
-def hot_keys(counts: DataFrame, key: str, count: str = "n", share: int = 200, least: int = 300) -> list:
-    """Keys with more than 1/share of all rows (and at least `least`): never more than `share` of them."""
-    total = counts.agg(F.sum(count)).first()[0] or 0
+def hot_keys(counts: DataFrame, key: str, count: str = "n", share: int = 200, least: int = 300, total: int | None = None) -> list:
+    """Keys with more than 1/share of all rows (and at least `least`): never more than `share` of them. total: about all rows, if known."""
+    if total is None:
+        total = counts.agg(F.sum(count)).first()[0] or 0
     return [r[0] for r in counts.where(F.col(count) > max(least, total // share)).select(key).collect()]
 
 

@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sealwright.llm.components import components
-from sealwright.llm.hot import hot_keys, join_hot, join_salted
+from sealwright.llm.hot import hot_keys, join_hot
 from sealwright.llm.scratch import kept
 from sealwright.llm.textbuf import U64, buffers, shingles, words
 
 BASE, RATE, LIMIT = 1.02, 20.0, 4095
 REGISTERS, ROWS = 200, 4
+BLOCK = 4096  # classes of a band that meet in one task
 _STRIP = 1 << 16
 _rng = np.random.Generator(np.random.PCG64(7))
 _MUL = _rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -72,15 +73,15 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 _GRID = np.concatenate([np.arange(0.02, 0.5, 0.04), np.arange(0.5, 1.0, 0.01), [0.9999]])
 
 
-def estimate(a: np.ndarray, na: int, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Maximum likelihood Jaccard similarity of one set (registers a, size na) with each row of b (sizes nb).
+def estimate(a: np.ndarray, na: int | np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Maximum likelihood Jaccard similarity of one set (registers a, size na), or of each row of a, with the rows of b (sizes nb).
 
     How many registers are larger, smaller and equal is multinomial, with chances that follow from
     the sizes and the similarity.
     """
     more, less = (a > b).sum(axis=1), (a < b).sum(axis=1)
     same = REGISTERS - more - less
-    u = na / (na + nb)[:, None]
+    u = (na / (na + nb))[:, None]
     v = 1 - u
     j = np.minimum(_GRID[None, :], np.minimum(u / v, v / u) * 0.9999)
     p = lambda x: -np.log1p(-np.clip(x, 1e-9, 1) * (BASE - 1) / BASE) / math.log(BASE)
@@ -121,6 +122,47 @@ class _Members:
         return [k for k in among.tolist() if _linked(other.sets[i], self.sets[k], percent)]
 
 
+def might_link(reg: np.ndarray, size: np.ndarray, component: np.ndarray, rest: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs (two columns of positions) of different components, one of them `rest` at least, whose registers allow a link.
+
+    A linked pair agrees in all but REGISTERS * (1 - threshold + slack) registers. So of each one's registers, rarest
+    values first, so many and one more hold a value they share: what a whole group has in common makes no pairs.
+    """
+    floor = percent / 100 - slack(percent / 100)
+    first = REGISTERS - math.ceil(REGISTERS * floor) + 1
+    token = (np.arange(REGISTERS, dtype=np.int64) << 16) | reg.astype(np.int64)
+    _, which, times = np.unique(token, return_inverse=True, return_counts=True)
+    which = which.reshape(token.shape)
+    rare = np.sort((times[which].astype(np.int64) << 32) | which, axis=1)[:, :first] & 0xFFFFFFFF
+    row = np.repeat(np.arange(len(reg)), first)
+    order = np.argsort(rare.reshape(-1), kind="stable")
+    row, value = row[order], rare.reshape(-1)[order]
+    cut = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+    pairs = [np.zeros(0, np.int64)]
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(row)]):
+        own = row[a:b]
+        left = own[rest[own]]
+        for i in left.tolist() if b - a > 1 else []:
+            other = own[component[own] != component[i]]
+            pairs.append(np.minimum(i, other) * len(reg) + np.maximum(i, other))
+        if len(pairs) > 10_000:
+            pairs = [np.unique(np.concatenate(pairs))]
+    code = np.unique(np.concatenate(pairs))
+    i, j = code // max(1, len(reg)), code % max(1, len(reg))
+    fit = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
+    i, j = i[fit], j[fit]
+    good = [np.zeros(0, bool)]
+    for a in range(0, len(i), 4096):
+        x, y = i[a : a + 4096], j[a : a + 4096]
+        good.append(estimate(reg[x], size[x], reg[y], size[y]) >= floor)
+    keep = np.concatenate(good)
+    return np.column_stack([i[keep], j[keep]])
+
+
+def _band_keys(registers: str = "registers"):
+    return F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda i: F.xxhash64(F.col(registers).substr(i * (2 * ROWS) + 1, F.lit(2 * ROWS)), i))
+
+
 def _resolve(m: _Members, percent: int) -> list[tuple[int, int]]:
     """(smallest id of its component, id) of each document of a group that is linked to another: each document in turn
     meets those not reached yet, newly reached ones first."""
@@ -151,8 +193,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str
     Equal sets are one class from the start. Candidate clusters are the components of sharing a
     band of ROWS registers; two sets of similarity 0.75 miss each other in all bands with chance
     6e-9. A cluster of more than `chunk` classes is dealt into chunks that all hold the cluster's
-    most central class; classes of a chunk that don't come to be joined with it then meet every other chunk, so no
-    pair of the cluster that could join two components goes unseen.
+    most central class. Classes that don't come to be joined with it then meet, band by band, the classes of other
+    components that share the band, by registers only; pairs whose registers allow a link are confirmed on the full sets.
+    So no pair of the cluster that could join two components goes unseen. A band of more than BLOCK classes of other components is met block by block.
 
     A null text is empty. Null ids have a null component_id and are kept. Rows of equal id are
     one document. An empty table gives no rows. Other columns are ignored.
@@ -184,8 +227,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str
     alone = full.join(classes.select(F.col("rep").alias("doc_id"), "n", "set_a", "set_b"), ["doc_id", "n", "set_a", "set_b"], "left_semi").dropDuplicates(["doc_id"])
 
     # candidate clusters
-    bands = alone.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda i: F.xxhash64(F.expr("registers").substr(i * (2 * ROWS) + 1, F.lit(2 * ROWS)), i))).alias("band", "key"))
-    bands = bands.select("doc_id", "key")
+    bands = alone.select("doc_id", F.explode(_band_keys()).alias("key"))
     shared = kept(bands.groupBy("key").agg(F.min("doc_id").alias("center"), F.count("*").alias("n")).where("n > 1"), "bands")
     edges = kept(join_hot(bands, shared, "key", "doc_id", hot_keys(shared, "key")).select("doc_id", "center", "n"), "band-edges")
     clusters = components(edges.select(F.col("doc_id").alias("a"), F.col("center").alias("b")).where("a <> b").distinct())
@@ -224,20 +266,35 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str
     if sizes.where("chunks > 1").limit(1).count():
         links = kept(split.select(columns).union(pivots.select(columns)).groupBy("cluster", "chunk").applyInArrow(resolve, "a long, b long"), "links")
         joined = kept(components(links), "joined")
-        own = split.select(*columns, "chunks", "pivot").join(joined, F.col("doc_id") == F.col("node"), "left").drop("node")
-        main = joined.select(F.col("node").alias("pivot"), F.col("component").alias("main"))
-        hot = hot_keys(sizes.where("chunks > 1").select("pivot", "n"), "pivot")
-        rest = join_hot(own, main, "pivot", "doc_id", hot, "left").where("main IS NULL OR component IS NULL OR component <> main")
-        sent = kept(rest.withColumn("to", F.explode(F.array_remove(F.sequence(F.lit(0), F.col("chunks") - 1), F.col("chunk")))).drop("chunk").withColumnRenamed("to", "chunk").select(columns), "sent")
-
-        def across(a: pa.Table, b: pa.Table) -> pa.Table:
-            mine, guests = _Members(a), _Members(b)
-            found = []
-            for i in range(len(guests.ids)):
-                found += [(guests.ids[i], mine.ids[x]) for x in mine.near(guests, i, np.arange(len(mine.ids)), percent)]
-            return table_of(found)
-
-        more = kept(split.select(columns).groupBy("cluster", "chunk").cogroup(sent.groupBy("cluster", "chunk")).applyInArrow(across, "a long, b long"), "links")
+        hot = hot_keys(sizes.where("chunks > 1"), "cluster")
+        own = split.select("doc_id", "cluster", "pivot", "registers").join(joined, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id"))
+        own = kept(own.select("doc_id", "cluster", "pivot", "registers", "component"), "joined-classes")
+        main = own.where("doc_id = pivot").select("cluster", F.col("component").alias("main"))
+        marked = join_hot(own.select("doc_id", "cluster", "registers", "component"), main, "cluster", "doc_id", hot)
+        met = kept(marked.select("doc_id", "component", (F.col("component") != F.col("main")).alias("rest"), F.explode(_band_keys()).alias("key")), "band-classes")
+        asked = met.groupBy("key").agg(F.count("*").alias("n"), F.max("rest").alias("any"), F.min("component").alias("low"), F.max("component").alias("high"))
+        asked = kept(asked.where("any AND low <> high").select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "asked-bands")
+        rows = join_hot(met, asked.select("key", "blocks"), "key", "doc_id", hot_keys(asked, "key"))
+        block, other = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        rows = rows.select("doc_id", "component", "rest", "key", block.alias("own"), other.alias("other")).select("doc_id", "component", "rest", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        across = kept(rows.join(cand.select("doc_id", "registers", (F.length("members") / 8).cast("long").alias("n")), "doc_id"), "across")
+
+        def suspects(t: pa.Table) -> pa.Table:
+            ids = t.column("doc_id").to_numpy()
+            reg = np.stack([np.frombuffer(x, np.uint16) for x in t.column("registers").to_pylist()])
+            pairs = ids[might_link(reg, t.column("n").to_numpy(), t.column("component").to_numpy(), t.column("rest").to_numpy(zero_copy_only=False), percent)]
+            return pa.Table.from_arrays([pa.array(pairs[:, k], pa.int64()) for k in (0, 1)], schema=link_schema)
+
+        def confirm(batches):
+            for batch in batches:
+                sets = [[np.frombuffer(x, np.uint64) for x in c.to_pylist()] for c in batch.columns[2:]]
+                yield batch.select(["a", "b"]).filter(pa.array([_linked(x, y, percent) for x, y in zip(*sets)], pa.bool_()))
+
+        pairs = kept(across.groupBy("key", "i", "j").applyInArrow(suspects, "a long, b long").distinct(), "suspects")
+        of = lambda end: cand.select(F.col("doc_id").alias(end), F.col("members").alias(f"set_{end}"))
+        hot_in = lambda end: hot_keys(pairs.groupBy(end).agg(F.count("*").alias("n")), end)
+        with_sets = join_hot(join_hot(pairs, of("a"), "a", "b", hot_in("a")), of("b"), "b", "a", hot_in("b"))
+        more = kept(with_sets.select("a", "b", "set_a", "set_b").mapInArrow(confirm, "a long, b long"), "links")
         # over components instead of documents the new links are few
         of = joined.select(F.col("node").alias("a"), F.col("component").alias("ca"))
         of_b = joined.select(F.col("node").alias("b"), F.col("component").alias("cb"))
@@ -248,8 +305,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str
         final = final.union(whole.select(F.col("node").alias("rep"), F.coalesce("above", "component").alias("component")))
 
     # every row of docs
-    several = classes.where("copies > 1").drop("copies")
-    copies = join_salted(full.select("doc_id", "n", "set_a", "set_b"), several, ["n", "set_a", "set_b"], "doc_id").where("doc_id <> rep").select("doc_id", "rep").distinct()
+    names = ["n", "set_a", "set_b"]
+    several = classes.where("copies > 1").select(F.xxhash64(*names).alias("set"), *(F.col(c).alias(f"{c}_") for c in names), "rep", "copies")
+    copies = join_hot(full.select("doc_id", *names, F.xxhash64(*names).alias("set")), several.drop("copies"), "set", "doc_id", hot_keys(several, "set", "copies"))
+    copies = copies.where("n = n_ AND set_a = set_a_ AND set_b = set_b_ AND doc_id <> rep").select("doc_id", "rep").distinct()
     reps = copies.select("rep").distinct().join(final, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     counts = copies.groupBy("rep").agg(F.count("*").alias("n"))
     of_copies = join_hot(copies, reps, "rep", "doc_id", hot_keys(counts, "rep")).select("doc_id", "component")

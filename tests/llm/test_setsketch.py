@@ -1,4 +1,6 @@
+import glob
 import itertools
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -6,6 +8,7 @@ import pytest
 
 from sealwright.llm.components import components
 from sealwright.llm.queries import op7_near_dedup
+from sealwright.llm.scratch import shared_dir
 from sealwright.llm.setsketch import estimate, merge, near_duplicates, shingle_sets, sketch
 from sealwright.llm.textbuf import buffers
 
@@ -75,6 +78,32 @@ def test_one_large_group(spark):
     assert sorted(tuple(r) for r in near_duplicates(df, chunk=50).collect()) == brute(texts)
 
 
+@pytest.mark.parametrize("n", [150, 300])
+def test_large_cluster_of_unlike_texts(spark, n):
+    """Half of a cluster shares a template but no link: rows grow with it, not with its square."""
+    rng = np.random.default_rng(n)
+    vocab = [f"w{i}" for i in range(5000)]
+    core = list(rng.choice(vocab, 120))
+    texts = [(i, " ".join(core + list(rng.choice(vocab, 80)))) for i in range(n)]
+    base = core + list(rng.choice(vocab, 80))
+    texts += [(1000 + i, " ".join(base[: 190 - i % 5] + [f"x{i}"])) for i in range(n)]
+    tail = texts[5][1].split()
+    texts += [(3000 + i, " ".join(tail[:-1] + [f"y{i}"])) for i in range(5)]
+    got = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), chunk=20).collect())
+    assert got == brute(texts)
+    last = lambda name: max(glob.glob(f"{shared_dir(spark)}/{name}-*"), key=os.path.getmtime)
+    assert spark.read.parquet(last("across")).count() <= 50 * len(texts) and spark.read.parquet(last("suspects")).count() < 3 * len(texts)
+
+
+def test_blocks_of_a_band(spark, monkeypatch):
+    from sealwright.llm import setsketch
+
+    monkeypatch.setattr(setsketch, "BLOCK", 7)
+    texts = families(160, seed=5)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert sorted(tuple(r) for r in near_duplicates(df, chunk=3).collect()) == brute(texts)
+
+
 def test_null_ids_and_repeats(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
     got = sorted(map(tuple, near_duplicates(df).collect()), key=repr)
