@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,13 +27,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, keep: Column,
     return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, most: int, id_col: str = "doc_id", text_col: str = "text", most_chars: int = 20_000) -> pa.Table:
-    """One text of each id of labelled_rows, on the driver; a text's first most_chars characters stand for it."""
-    found = labelled_rows(docs, labels, label, keep, most, id_col, text_col).withColumn("text", F.substring("text", 1, most_chars))
-    return found.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-
-
 def sigmoid(z: np.ndarray) -> np.ndarray:
+    """The logistic function; beyond 35 it is as at 35."""
     return 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
 
 

@@ -93,7 +93,12 @@ def words(data: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.nda
     after[-1] = True
     np.logical_or(space[1:], edge[1:n], out=after[:-1])
     ends = np.flatnonzero(after & ~space) + 1
-    codes = BYTE_CODE[LOWER] if lower else BYTE_CODE
+    out = hash_ranges(data, starts, ends, BYTE_CODE[LOWER] if lower else BYTE_CODE)
+    return starts, ends, out, np.searchsorted(starts, off)
+
+
+def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = BYTE_CODE) -> np.ndarray:
+    """Hashes of data[starts[i]:ends[i]], both ascending; equal bytes (of equal codes) have equal hashes."""
     out = np.empty(len(starts), dtype=np.uint64)
     i = 0
     while i < len(starts):
@@ -106,7 +111,7 @@ def words(data: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.nda
         s, e = starts[i:j] - at, ends[i:j] - at
         out[i:j] = (total[e] - total[s]) * inv[s]
         i = j
-    return starts, ends, mix(out), np.searchsorted(starts, off)
+    return mix(out)
 
 
 def shingles(w: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -1,36 +1,92 @@
 """Toxicity by a linear-chain conditional random field over words.
 
-Every word is tagged toxic or not. A word's features are itself and its first letters; the chain
-joins neighbouring tags. Forward-backward gives each word's marginal probability of being toxic;
-their sum and their maximum make the document's score, and words of high marginal its offending spans.
-Only documents are labelled, so the training tags come from word statistics of the labelled sample.
+Every word is tagged toxic or not. A word's features are itself, its first letters, and the words before and after it, each
+hashed to one of SLOTS weights; the chain joins neighbouring tags. Forward-backward gives each word's marginal
+probability of being toxic; the marginals make the document's score, and words of high marginal its offending spans.
+
+Only documents are labelled: a toxic one has a toxic word at least, a clean one has none. Weights and chain maximise the
+likelihood of that, so the expected tags of a toxic text are those of forward-backward under the constraint.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sealwright.llm.learn import labelled_sample, logistic, sigmoid
-from sealwright.llm.textbuf import LOWER, buffers, distinct, pieces, shingles, words
+from sealwright.llm.learn import labelled_rows, logistic, sigmoid
+from sealwright.llm.textbuf import BYTE_CODE, LOWER, U64, buffers, distinct, hash_ranges, mix, pieces, words
+
+_IS_SIGN = np.array([33 <= c < 127 and not chr(c).isalnum() for c in range(256)])
+_ROW = 1024  # most words of a row of the blocked recursion
+SLOTS = 1 << 18
+HEADS = (4, 5, 6)  # bytes of a word's beginnings that are features
+NEAR = 0.3  # value of a neighbour's feature; a word's own have 1
+
+
+def _lowered(data: np.ndarray) -> np.ndarray:
+    low = LOWER[data]
+    low[1:][(data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)] += 0x20  # capitals of Latin-1
+    return low
 
-_STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
-_IS_SIGN = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
-LEAST_LIKELY = 0.2
-_ROW = 1024  # words of a row of the blocked recursion
 
+def _slots(h: np.ndarray, kind: int) -> np.ndarray:
+    return (mix(h + U64((kind + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) >> U64(46)).astype(np.int64)
 
-def word_features(word: str) -> list[str]:
-    """The features of a word: whole, and its first 4 to 6 letters; none for a bare sign."""
-    w = word.lower().strip(_STRIP)
-    return [] if not w else ["=" + w, *(w[:k] for k in range(4, 7) if len(w) > k)]
+
+@dataclass
+class Words:
+    """The words of some texts: where each begins and ends, which different word it is, and each text's first; of every
+    different word, the slots of its own features (SLOTS: none), and its slots as the word before and after another."""
+
+    starts: np.ndarray
+    ends: np.ndarray
+    which: np.ndarray
+    first: np.ndarray
+    own: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+
+    @property
+    def inside(self) -> np.ndarray:
+        """Words that have one before them in their text."""
+        out = np.ones(len(self.which), dtype=bool)
+        out[self.first[:-1][self.first[:-1] < len(out)]] = False
+        return np.flatnonzero(out)
+
+
+def read_words(data: np.ndarray, off: np.ndarray) -> Words:
+    """Splits texts into words; signs at a word's ends aren't part of its features, a bare sign has none."""
+    starts, ends, h, first = words(data, off)
+    sample, which = distinct(h)
+    order = np.argsort(starts[sample], kind="stable")  # ranges are hashed in ascending order
+    place = np.empty(len(sample), dtype=np.int64)
+    place[order] = np.arange(len(sample))
+    sample, which = sample[order], place[which]
+    low = _lowered(data)
+    n = len(data)
+    letter = ~_IS_SIGN[data]
+    at = np.arange(n)
+    following = np.minimum.accumulate(np.where(letter, at, n)[::-1])[::-1] if n else at
+    preceding = np.maximum.accumulate(np.where(letter, at, -1)) if n else at
+    s = np.minimum(following[starts[sample]], ends[sample])
+    e = np.maximum(preceding[ends[sample] - 1] + 1, s)
+    size = e - s
+    own = np.full((len(sample), 1 + len(HEADS)), SLOTS, dtype=np.int64)
+    real = np.flatnonzero(size > 0)
+    bare = hash_ranges(low, s[real], e[real])
+    own[real, 0] = _slots(bare, 0)
+    for i, k in enumerate(HEADS, 1):
+        x = np.flatnonzero(size > k)
+        own[x, i] = _slots(hash_ranges(low, s[x], s[x] + k), i)
+    before, after = np.full(len(sample), SLOTS), np.full(len(sample), SLOTS)
+    before[real], after[real] = _slots(bare, 10), _slots(bare, 11)
+    return Words(starts, ends, which, first, own, before, after)
 
 
 @dataclass
@@ -49,18 +105,19 @@ class Chain:
         word forgets what stands before it, so chains of any length share rows.
         """
         n = len(emit)
-        rows = -(-n // _ROW)
-        g = np.ones(rows * _ROW)
+        width = min(_ROW, max(16, 1 << (n.bit_length() // 2)))
+        rows = -(-n // width)
+        g = np.ones(rows * width)
         g[:n] = np.exp(np.clip(emit, -30, 30))
-        head = np.zeros(rows * _ROW, dtype=bool)
+        head = np.zeros(rows * width, dtype=bool)
         head[first[first < n]] = True
         head[0] = head[n:] = True
         t, s = np.exp(self.trans), np.exp(self.start)
         m00, m10 = np.where(head, s[0], t[0, 0]), np.where(head, s[0], t[1, 0])
         m01, m11 = np.where(head, s[1], t[0, 1]) * g, np.where(head, s[1], t[1, 1]) * g
-        m00, m01, m10, m11 = (np.ascontiguousarray(m.reshape(rows, _ROW).T) for m in (m00, m01, m10, m11))
+        m00, m01, m10, m11 = (np.ascontiguousarray(m.reshape(rows, width).T) for m in (m00, m01, m10, m11))
         a, b, c, d = np.ones(rows), np.zeros(rows), np.zeros(rows), np.ones(rows)
-        for i in range(_ROW):
+        for i in range(width):
             a, b, c, d = a * m00[i] + b * m10[i], a * m01[i] + b * m11[i], c * m00[i] + d * m10[i], c * m01[i] + d * m11[i]
             z = 1.0 / (a + b + c + d)
             a, b, c, d = a * z, b * z, c * z, d * z
@@ -76,13 +133,13 @@ class Chain:
             b0[r], b1[r] = x, y
             x, y = a[r] * x + b[r] * y, c[r] * x + d[r] * y
             x, y = x / (x + y), y / (x + y)
-        fwd, bwd = np.empty((2, _ROW, rows)), np.empty((2, _ROW, rows))
-        for i in range(_ROW):
+        fwd, bwd = np.empty((2, width, rows)), np.empty((2, width, rows))
+        for i in range(width):
             f0, f1 = f0 * m00[i] + f1 * m10[i], f0 * m01[i] + f1 * m11[i]
             z = 1.0 / (f0 + f1)
             f0, f1 = f0 * z, f1 * z
             fwd[0, i], fwd[1, i] = f0, f1
-        for i in range(_ROW - 1, -1, -1):
+        for i in range(width - 1, -1, -1):
             bwd[0, i], bwd[1, i] = b0, b1
             b0, b1 = m00[i] * b0 + m01[i] * b1, m10[i] * b0 + m11[i] * b1
             z = 1.0 / (b0 + b1)
@@ -98,175 +155,130 @@ class Chain:
         return f[1] * b[1] / (f[0] * b[0] + f[1] * b[1])
 
 
-def fit_chain(pairs: tuple[np.ndarray, np.ndarray], n_features: int, tags: np.ndarray, first: np.ndarray, rounds: int = 60, ridge: float = 0.02) -> tuple[Chain, np.ndarray]:
-    """Maximum likelihood of the tags by gradient ascent (Adam); pairs: (word, feature) index arrays."""
-    at, feature = pairs
-    n = len(tags)
-    theta = np.concatenate([np.zeros(n_features), [0.0, -3.0, 0.0, -3.0, 0.0, 0.0, 0.0]])  # weights, start 2, trans 4, bias
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    head = np.zeros(n, dtype=bool)
-    head[first[first < n]] = True
-    prev = np.concatenate([[0], tags[:-1]])
-    real = np.zeros_like(theta)
-    real[:n_features] = np.bincount(feature, weights=tags[at].astype(float), minlength=n_features)
-    for k in (0, 1):
-        real[n_features + k] = np.sum(head & (tags == k))
-        for j in (0, 1):
-            real[n_features + 2 + 2 * j + k] = np.sum(~head & (prev == j) & (tags == k))
-    real[-1] = tags.sum()
-    unpack = lambda p: Chain(p[n_features : n_features + 2], p[n_features + 2 : n_features + 6].reshape(2, 2), float(p[-1]))
-    for step in range(1, rounds + 1):
-        chain = unpack(theta)
-        emit = np.bincount(at, weights=theta[feature], minlength=n) + chain.bias
-        f, b, g, _ = chain.passes(emit, first)
-        post = f[1] * b[1] / (f[0] * b[0] + f[1] * b[1])
-        want = np.zeros_like(theta)
-        want[:n_features] = np.bincount(feature, weights=post[at], minlength=n_features)
-        want[n_features], want[n_features + 1] = np.sum(1 - post[head]), np.sum(post[head])
-        t = np.exp(chain.trans)
-        before = np.concatenate([np.ones((2, 1)), f[:, :-1]], axis=1)
-        joint = [before[j] * t[j, k] * (g if k else 1.0) * b[k] for j in (0, 1) for k in (0, 1)]
-        total = sum(joint)
-        for i, x in enumerate(joint):
-            want[n_features + 2 + i] = np.sum((x / total)[~head])
-        want[-1] = post.sum()
-        grad = (want - real) / max(1.0, tags.sum()) + ridge * theta / max(1.0, tags.sum())
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        theta = theta - 0.25 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-    return unpack(theta), theta[:n_features]
+def expected(chain: Chain, emit: np.ndarray, first: np.ndarray):
+    """(marginals, joint probabilities of neighbouring tags (4 x words, the first of each chain unused), log probability of each
+    chain being all clean) for emissions that hold the bias already; first: each chain's first word and the end."""
+    f, b, g, head = chain.passes(emit, first[:-1])
+    post = f[1] * b[1] / (f[0] * b[0] + f[1] * b[1])
+    t = np.exp(chain.trans)
+    before = np.concatenate([np.ones((2, 1)), f[:, :-1]], axis=1)
+    joint = np.stack([before[j] * t[j, k] * (g if k else 1.0) * b[k] for j in (0, 1) for k in (0, 1)])
+    joint /= joint.sum(axis=0)
+    # all clean: the first tag, then each one given a clean one before it
+    alone = 1.0 - post
+    alone[~head] = joint[0][~head] / np.maximum(joint[0] + joint[1], 1e-300)[~head]
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    return post, joint, np.bincount(doc, weights=np.log(np.maximum(alone, 1e-300)), minlength=len(first) - 1)
+
+
+def _pull(clean: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """How much a text's expected counts under the constraint exceed those without it, as a share of the latter:
+    -1 for a clean text, P(all clean) / P(some toxic) for a toxic one."""
+    p = np.exp(np.minimum(clean, -1e-12))
+    return np.where(toxic, p / np.maximum(1.0 - p, 1e-12), -1.0)
+
+
+def fit(batches: list[tuple[Words, np.ndarray]], epochs: int = 16, least_steps: int = 300, rate: float = 1.0, ridge: float = 0.002) -> tuple[Chain, np.ndarray]:
+    """Chain and weights that maximise the likelihood of documents' labels, by Adagrad over batches of (words, labels)."""
+    epochs = max(epochs, -(-least_steps // max(1, len(batches))))
+    mean = max(1.0, sum(len(w.which) for w, _ in batches) / max(1, sum(len(y) for _, y in batches)))
+    start = -math.log(mean) - 1.0
+    theta, weights = np.array([0.0, start, 0.0, start, 0.0, start]), np.zeros(SLOTS + 1)
+    seen, seen_w = np.full(6, 1.0), np.full(SLOTS + 1, 0.1)
+    for epoch in range(epochs):
+        for w, y in batches:
+            if not len(w.which):
+                continue
+            chain = Chain(theta[:2], theta[2:].reshape(2, 2), 0.0)
+            post, joint, clean = expected(chain, emissions(w, weights), w.first)
+            doc = np.repeat(np.arange(len(y)), np.diff(w.first))
+            pull = _pull(clean, y == 1)
+            g = pull[doc] * post
+            inside = w.inside
+            head = np.ones(len(doc), dtype=bool)
+            head[inside] = False
+            own = np.bincount(w.which, weights=g, minlength=len(w.own))
+            grad = np.bincount(w.own.reshape(-1), weights=np.repeat(own, w.own.shape[1]), minlength=SLOTS + 1)
+            grad += NEAR * np.bincount(w.before, weights=np.bincount(w.which[inside - 1], weights=g[inside], minlength=len(w.own)), minlength=SLOTS + 1)
+            grad += NEAR * np.bincount(w.after, weights=np.bincount(w.which[inside], weights=g[inside - 1], minlength=len(w.own)), minlength=SLOTS + 1)
+            live = np.flatnonzero(grad)
+            live = live[live < SLOTS]
+            step = grad[live] - ridge * weights[live]
+            seen_w[live] += step * step
+            weights[live] += rate * step / np.sqrt(seen_w[live])
+            # two clean tags in a row and a clean start keep weight 0: only differences count
+            step = np.array([0.0, g[head].sum(), 0.0, *((pull[doc] * joint[k])[inside].sum() for k in (1, 2, 3))])
+            seen += step * step
+            theta += 0.1 * step / np.sqrt(seen)
+    return Chain(theta[:2], theta[2:].reshape(2, 2), 0.0), weights
+
+
+def emissions(w: Words, weights: np.ndarray) -> np.ndarray:
+    """The weight of every word's toxic tag: its own features, and those of its neighbours."""
+    out = weights[w.own].sum(axis=1)[w.which]
+    inside = w.inside
+    out[inside] += NEAR * weights[w.before][w.which[inside - 1]]
+    out[inside - 1] += NEAR * weights[w.after][w.which[inside]]
+    return out
 
 
 @dataclass
 class ToxicityModel:
     chain: Chain
-    weights: dict[str, float]
+    weights: np.ndarray
     doc_weights: np.ndarray
 
-    def emissions(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """Each word's feature weights. Every distinct word is looked at once, and only if it begins like a feature."""
-        sample, which = distinct(hashes)
-        a, b = starts[sample], ends[sample]
-        low = LOWER[data]
-        low[1:][(data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)] += 0x20
-        pad = np.concatenate([low, np.zeros(3, np.uint8)])
-        lead = [pad[a + k] for k in range(3)]
-        key = lead[0].astype(np.uint32) | (lead[1].astype(np.uint32) << np.uint32(8)) | (lead[2].astype(np.uint32) << np.uint32(16))
-        sign = _IS_SIGN[lead[0]]
-        other = (lead[0] > 0xC3) | (lead[1] > 0xC3) | (lead[2] > 0xC3)
-        look = np.flatnonzero(np.isin(key, self.leads) | sign | other | (b - a < 3))
-        raw, get = data.tobytes(), self.weights.get
-        out = np.zeros(len(sample))
-        for i, x, y in zip(look.tolist(), a[look].tolist(), b[look].tolist()):
-            out[i] = sum(get(f, 0.0) for f in word_features(raw[x:y].decode("utf-8", "replace")))
-        return out[which]
-
-    def __post_init__(self):
-        heads = {f.lstrip("=").encode()[:3] for f in self.weights}
-        self.leads = np.array(sorted(int.from_bytes(h, "little") for h in heads if len(h) == 3), dtype=np.uint32)
-
     def tag(self, data: np.ndarray, off: np.ndarray):
         """(score of each text, word starts, word ends, marginals, first word of each text)."""
-        starts, ends, h, first = words(data, off)
-        p = self.chain.marginals(self.emissions(data, starts, ends, h), first[:-1]) if len(starts) else np.zeros(0)
-        return sigmoid(doc_features(p, first) @ self.doc_weights), starts, ends, p, first
+        w = read_words(data, off)
+        p = self.chain.marginals(emissions(w, self.weights), w.first[:-1]) if len(w.which) else np.zeros(0)
+        return sigmoid(doc_features(p, w.first) @ self.doc_weights), w.starts, w.ends, p, w.first
 
 
 def doc_features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """What a document's marginals come to: constant, log of expected toxic words, chance of any, chance of two.
-
-    Marginals under LEAST_LIKELY count as none: they would add up over a long text.
-    """
-    p = np.where(p >= LEAST_LIKELY, p, 0.0)
+    """What a document's marginals come to: constant, log of expected toxic words, chance of any, the highest."""
     n = len(first) - 1
     doc = np.repeat(np.arange(n), np.diff(first))
     total = np.bincount(doc, weights=p, minlength=n)
     miss = np.bincount(doc, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=n)
-    odds = np.bincount(doc, weights=p / np.maximum(1 - p, 1e-9), minlength=n)
-    none = np.exp(miss)
-    return np.column_stack([np.ones(n), np.log1p(total), 1 - none, np.clip(1 - none - none * np.minimum(odds, 1e12), 0, 1)])
-
-
-def _unlike(w: np.ndarray, first: np.ndarray, kept: int = 8, shared: int = 3) -> list[int]:
-    """The texts that don't share `shared` of their `kept` smallest shingle hashes with those before: copies would count a word again and again."""
-    h, at = shingles(w, first)
-    seen, out = set(), []
-    for d in range(len(first) - 1):
-        own = np.unique(h[at[d] : at[d + 1]])[:kept].tolist()
-        if sum(x in seen for x in own) < min(shared, max(1, len(own))):
-            out.append(d)
-            seen.update(own)
-    return out
+    top = np.zeros(n)
+    np.maximum.at(top, doc, p)
+    return np.column_stack([np.ones(n), np.log1p(total), 1 - np.exp(miss), top])
 
 
-def train(data: np.ndarray, off: np.ndarray, y: np.ndarray, chain_docs: int = 1000, chain_words: int = 400) -> ToxicityModel:
-    """Fits tags, chain and document curve on a labelled sample held in memory.
+def train(data: np.ndarray, off: np.ndarray, y: np.ndarray, batch_bytes: int = 1 << 18) -> ToxicityModel:
+    """Fits weights and chain on whole texts of a labelled sample, and the curve from marginals to scores on every fourth of them, left out before.
 
-    A word of a toxic text is tagged toxic if one of its features occurs in toxic texts far more
-    often than chance allows, and mostly there; first letters count only if most different words that
-    begin so are such words. The chain is fitted on at most chain_docs texts,
-    half of them toxic if there are enough, of chain_words words each.
+    Memory follows the sample's words by a few bytes each, and the words of a batch. Without labels of both kinds all scores are equal.
     """
-    starts, ends, h, first = words(data, off)
-    sample, which = distinct(h)
-    raw = data.tobytes()
-    alone = _unlike(h, first)
-    feats = [word_features(raw[a:b].decode("utf-8", "replace")) for a, b in zip(starts[sample].tolist(), ends[sample].tolist())]
-    doc = np.repeat(np.arange(len(y)), np.diff(first))
-    seen = np.unique(doc * len(sample) + which) if len(which) else np.zeros(0, np.int64)
-    bad, all_ = Counter(), Counter()
-    for d in alone:
-        lo, hi = np.searchsorted(seen, [d * len(sample), (d + 1) * len(sample)])
-        own = {f for w in (seen[lo:hi] - d * len(sample)).tolist() for f in feats[w]}
-        all_.update(own)
-        if y[d]:
-            bad.update(own)
-    share = min(max(y[alone].mean() if alone else 0.0, 1e-6), 1 - 1e-6)
-    need = math.log(len(all_) + 1) + 4
-    own_words, bad_words = Counter(), Counter()  # by first letters: different words, and those mostly in toxic texts
-    for f, n in all_.items():
-        if f[0] == "=":
-            heads = word_features(f[1:])[1:]
-            own_words.update(heads)
-            if bad[f] > 0.6 * n:
-                bad_words.update(heads)
-    marked = {}
-    for f, k in bad.items():
-        n = all_[f]
-        r = k / n
-        gain = k * math.log(r / share) + ((n - k) * math.log((1 - r) / (1 - share)) if k < n else 0.0)
-        many = f[0] == "=" or (bad_words[f] >= 5 and bad_words[f] > 0.8 * own_words[f])
-        if many and r > max(0.6, share) and gain > need:
-            marked[f] = len(marked)
-    flag = np.array([any(f in marked for f in fs) for fs in feats], dtype=bool) if feats else np.zeros(0, bool)
-    toxic, clean = [d for d in alone if y[d]], [d for d in alone if not y[d]]
-    order = toxic[: chain_docs // 2] + clean[: chain_docs // 2]
-    picked = [np.arange(first[d], min(first[d + 1], first[d] + chain_words)) for d in order]
-    picked = [x for x in picked if len(x)]
-    weights, chain = {}, Chain(np.array([0.0, -9.0]), np.array([[0.0, -9.0], [0.0, -9.0]]), 0.0)
-    if marked and picked:
-        at = np.concatenate(picked)
-        begin = np.cumsum([0, *(len(x) for x in picked[:-1])])
-        tags = (flag[which[at]] & (y[doc[at]] == 1)).astype(np.int64)
-        lists = [[marked[f] for f in fs if f in marked] for fs in feats]
-        size = np.array([len(x) for x in lists])[which[at]]
-        pairs = np.repeat(np.arange(len(at)), size), np.array([f for w in which[at].tolist() for f in lists[w]], dtype=np.int64)
-        chain, theta = fit_chain(pairs, len(marked), tags, begin)
-        weights = {f: float(theta[i]) for f, i in marked.items()}
-    model = ToxicityModel(chain, weights, np.zeros(4))
-    x = []
-    for a, b in pieces(off, 4 << 20):
-        _, _, _, p, fw = model.tag(data[off[a] : off[b]], off[a : b + 1] - off[a])
-        x.append(doc_features(p, fw))
-    if x and 0 < y.sum() < len(y):
-        model.doc_weights = logistic(np.concatenate(x), y.astype(float), 1e-1)
-    elif len(y):
-        model.doc_weights = np.array([4.0 if y.all() else -4.0, 0, 0, 0])
+    model = ToxicityModel(Chain(np.array([0.0, -9.0]), np.array([[0.0, -9.0], [0.0, -9.0]]), 0.0), np.zeros(SLOTS + 1), np.zeros(4))
+    if not 0 < y.sum() < len(y):
+        if len(y):
+            model.doc_weights = np.array([4.0 if y.all() else -4.0, 0, 0, 0])
+        return model
+    parts = [(data[off[a] : off[b]], off[a : b + 1] - off[a], y[a:b]) for a, b in pieces(off, batch_bytes)]
+    aside = [np.arange(len(x)) % 4 == 3 for _, _, x in parts]
+    if len(y) < 200 or not 0 < sum(int(x[s].sum()) for (_, _, x), s in zip(parts, aside)):
+        aside = [np.zeros(len(x), dtype=bool) for _, _, x in parts]
+    batches = []
+    for (raw, o, label), out in zip(parts, aside):
+        keep = np.repeat(~out, np.diff(o))
+        w = read_words(raw[keep], np.concatenate([[0], np.cumsum(np.diff(o)[~out])]))
+        batches.append((replace(w, starts=w.starts[:0], ends=w.ends[:0], which=w.which.astype(np.int32)), label[~out]))
+    model.chain, model.weights = fit(batches)
+    own = any(s.any() for s in aside)
+    x, target = [], []
+    for (raw, o, label), out in zip(parts, aside):
+        _, _, _, p, first = model.tag(raw, o)
+        x.append(doc_features(p, first)[out if own else slice(None)])
+        target.append(label[out if own else slice(None)])
+    model.doc_weights = logistic(np.concatenate(x), np.concatenate(target).astype(float), 1e-1)
     return model
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic", most: int = 4_000) -> ToxicityModel:
-    """Fits on at most `most` labelled documents that pass keep (a condition on doc_id); without labels of both kinds all scores are equal."""
-    sample = labelled_sample(docs, labels, label, keep, most, most_chars=8_000)
+def train_toxicity(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic", most: int = 8_000) -> ToxicityModel:
+    """Fits on at most `most` labelled documents that pass keep (a condition on doc_id), each with its whole text."""
+    sample = labelled_rows(docs, labels, label, keep, most).dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
     return train(*buffers(sample.column("text")), sample.column("y").to_numpy())
 
 

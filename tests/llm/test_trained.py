@@ -1,15 +1,16 @@
 import itertools
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from sealwright.llm.learn import fold, labelled_sample
+from sealwright.llm.learn import fold, labelled_rows
 from sealwright.llm.quality import features, fit_pairs, keep_best, score_quality, train_quality
-from sealwright.llm.queries import op1_toxicity, op8_quality
+from sealwright.llm.queries import op1_toxicity, op8_quality, toxicity_model
 from sealwright.llm.textbuf import buffers
-from sealwright.llm.toxicity import Chain, fit_chain, score_toxicity, train
+from sealwright.llm.toxicity import NEAR, SLOTS, Chain, doc_features, emissions, expected, fit, read_words, score_toxicity, train
 
 
 def brute_marginals(chain, emit, bounds):
@@ -38,13 +39,92 @@ def test_forward_backward_is_exact(monkeypatch):
         assert np.allclose(chain.marginals(emit, first[:-1]), want)
 
 
-def test_chain_learns_its_tags():
-    tags = np.array([0, 0, 1, 0, 0, 1, 1, 0] * 20)
-    at = np.flatnonzero(tags)
-    chain, theta = fit_chain((at, np.zeros(len(at), np.int64)), 1, tags, np.arange(0, 160, 8))
-    emit = np.zeros(160)
-    emit[at] = theta[0]
-    assert ((chain.marginals(emit, np.arange(0, 160, 8)) > 0.5) == (tags == 1)).all()
+def test_expected_tags_and_all_clean():
+    rng = np.random.default_rng(5)
+    sizes = [1, 6, 3, 8]
+    first = np.cumsum([0, *sizes])
+    emit = rng.normal(-1, 2, first[-1])
+    chain = Chain(rng.normal(size=2), rng.normal(size=(2, 2)), 0.0)
+    post, joint, clean = expected(chain, emit, first)
+    for d, (a, b) in enumerate(zip(first, first[1:])):
+        total = none = 0.0
+        pairs = np.zeros((4, b - a))
+        for tags in itertools.product((0, 1), repeat=b - a):
+            s = np.exp(chain.start[tags[0]] + sum(chain.trans[x, y] for x, y in zip(tags, tags[1:])) + sum(emit[a + i] * t for i, t in enumerate(tags)))
+            total += s
+            none += s * (not any(tags))
+            for i in range(1, b - a):
+                pairs[2 * tags[i - 1] + tags[i], i] += s
+        assert np.allclose(joint[:, a + 1 : b], pairs[:, 1:] / total) and np.isclose(clean[d], np.log(none / total))
+    assert np.allclose(post, brute_marginals(chain, emit, list(zip(first, first[1:]))))
+
+
+def test_likelihood_rises_and_tags_are_found():
+    rng = np.random.default_rng(6)
+    vocab = [f"v{i}" for i in range(60)]
+    y = np.arange(400) % 5 == 0
+    lines = [" ".join([*rng.choice(vocab, 20), *(["vile"] if bad else []), *rng.choice(vocab, 20)]) for bad in y]
+    w = read_words(*buffers(pa.array(lines)))
+
+    def likelihood(epochs):
+        chain, weights = fit([(w, y.astype(int))], epochs=epochs, least_steps=0)
+        post, _, clean = expected(chain, emissions(w, weights), w.first)
+        return np.where(y, np.log1p(-np.exp(np.minimum(clean, -1e-12))), clean).sum(), post
+
+    a, _ = likelihood(3)
+    b, post = likelihood(120)
+    assert a < b and b > -10
+    found = np.flatnonzero(post > 0.5)
+    raw = " ".join(lines).encode()
+    assert len(found) == y.sum() and all(buffers(pa.array(lines))[0].tobytes()[s:e] == b"vile" for s, e in zip(w.starts[found], w.ends[found])) and raw
+
+
+def slow_score(model, text):
+    """A text's score word by word: features one at a time, forward and backward sums in plain loops."""
+    own, near = [], []
+    for x in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode()):
+        w = read_words(*buffers(pa.array([x.decode()])))
+        bare = x.decode().strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+        assert (w.own[0, 0] == SLOTS) == (bare == "") and (w.own[0] < SLOTS).sum() == (0 if not bare else 1 + sum(len(bare.encode()) > k for k in (4, 5, 6)))
+        own.append(sum(model.weights[s] for s in w.own[0]))
+        near.append((model.weights[w.before[0]], model.weights[w.after[0]]))
+    n = len(own)
+    e = [own[i] + NEAR * ((near[i - 1][0] if i else 0) + (near[i + 1][1] if i + 1 < n else 0)) for i in range(n)]
+    f, b = [None] * n, [np.zeros(2)] * n
+    for i in range(n):
+        for_tag = [model.chain.start[t] if i == 0 else np.logaddexp(f[i - 1][0] + model.chain.trans[0, t], f[i - 1][1] + model.chain.trans[1, t]) for t in (0, 1)]
+        f[i] = np.array([for_tag[0], for_tag[1] + e[i]])
+    for i in range(n - 2, -1, -1):
+        b[i] = np.array([np.logaddexp(model.chain.trans[t, 0] + b[i + 1][0], model.chain.trans[t, 1] + e[i + 1] + b[i + 1][1]) for t in (0, 1)])
+    p = np.array([1 / (1 + np.exp(f[i][0] + b[i][0] - f[i][1] - b[i][1])) for i in range(n)])
+    return 1 / (1 + np.exp(-(doc_features(p, np.array([0, n])) @ model.doc_weights)[0]))
+
+
+def test_toxicity_query_against_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity_model(docs, labels)
+    got = {r.doc_id: r.score for r in op1_toxicity(spark, d).collect()}
+    for r in docs.collect():
+        assert abs(got[r.doc_id] - slow_score(model, r.text)) < 1e-6
+
+
+def test_quality_query_against_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = train_quality(docs, spark.read.parquet(f"{d}/labels.parquet"), fold("doc_id", 5) != 0)
+    got = {r.doc_id: r.score for r in op8_quality(spark, d).collect()}
+    low = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+    for r in docs.collect():
+        raw = (r.text or "").encode()
+        w = re.findall(rb"[^\x20\x09-\x0D]+", raw.translate(low))
+        n, size = max(len(w), 1), max(len(raw), 1)
+        share = lambda test: np.sqrt(sum(test(b) for b in raw) / size)
+        kinds = [lambda b: 65 <= b <= 90, lambda b: 97 <= b <= 122, lambda b: 48 <= b <= 57, lambda b: b > 127, lambda b: (b < 32 and b not in range(9, 14)) or b == 127, lambda b: b == 10]
+        kinds += [lambda b, c=c: b == c for c in range(33, 127) if not chr(c).isalnum()]
+        x = [np.log1p(len(w)), np.log1p(len(raw)), len(raw) / n / 16, *(np.sqrt(sum(a == b for a, b in zip(w, w[k:])) / n) for k in (1, 2)), *map(share, kinds)]
+        z = model.slope * (((np.array(x) - model.mean) / model.scale) @ model.weights) + model.base
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-np.clip(z, -35, 35)))) < 1e-6
 
 
 def texts(n):
@@ -66,7 +146,7 @@ def test_toxicity_generalises_and_gives_offsets(spark):
     model = train(*buffers(pa.array(t[:900])), y[:900])
     odd = ["", None, "ÄÖ grobxnew, ok grobxnew2 grobx1!", "x" * 300_000 + " grobx3"]
     df = spark.createDataFrame([(i, x, "s") for i, x in enumerate(t[900:] + odd)], "doc_id long, text string, score string")
-    got = {r.doc_id: r for r in score_toxicity(df, model).collect()}
+    got = {r.doc_id: r for r in score_toxicity(df, model, least=0.2).collect()}
     assert len(got) == 304
     assert [int(got[i].score >= 0.7) for i in range(300)] == y[900:].tolist()
     spans = got[302].spans
@@ -85,9 +165,9 @@ def test_models_without_labels():
 def test_sample_is_bounded_and_filtered(spark):
     docs = spark.createDataFrame([(i, f"t{i}") for i in range(50)] + [(None, "n")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2, "e") for i in range(40)] + [(3, 1, "e"), (4, 1, "e"), (None, 1, "e"), (5, None, "e")], "doc_id long, quality int, text string")
-    got = labelled_sample(docs, labels, "quality", fold("doc_id", 5) != 0, 10).to_pylist()
+    got = labelled_rows(docs, labels, "quality", fold("doc_id", 5) != 0, 10).collect()
     assert len(got) == 10 and all(zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["text"] == f"t{r['doc_id']}" for r in got)
-    assert 4 not in {r["doc_id"] for r in labelled_sample(docs, labels, "quality", fold("doc_id", 5) != 99, 100).to_pylist()}
+    assert 4 not in {r["doc_id"] for r in labelled_rows(docs, labels, "quality", fold("doc_id", 5) != 99, 100).collect()}
 
 
 @pytest.mark.parametrize("query,label,folds,rest,least", [(op1_toxicity, "toxic", 3, 1, 0.7), (op8_quality, "quality", 5, 0, 0.3)])
