@@ -122,41 +122,29 @@ class _Members:
         return [k for k in among.tolist() if _linked(other.sets[i], self.sets[k], percent)]
 
 
-def might_link(reg: np.ndarray, size: np.ndarray, component: np.ndarray, rest: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs (two columns of positions) of different components, one of them `rest` at least, whose registers allow a link.
+def _join_rest(m: _Members, component: np.ndarray, rest: np.ndarray, block: np.ndarray, pair: tuple[int, int], band: int, percent: int) -> list[tuple[int, int]]:
+    """Links of a band's classes that join components, from the classes `rest` to any others.
 
-    A linked pair agrees in all but REGISTERS * (1 - threshold + slack) registers. So of each one's registers, rarest
-    values first, so many and one more hold a value they share: what a whole group has in common makes no pairs.
+    A pair is looked at in the first band it shares only, and only between the two blocks of this task. Likelier pairs are
+    confirmed first, and none whose classes are joined already.
     """
-    floor = percent / 100 - slack(percent / 100)
-    first = REGISTERS - math.ceil(REGISTERS * floor) + 1
-    token = (np.arange(REGISTERS, dtype=np.int64) << 16) | reg.astype(np.int64)
-    _, which, times = np.unique(token, return_inverse=True, return_counts=True)
-    which = which.reshape(token.shape)
-    rare = np.sort((times[which].astype(np.int64) << 32) | which, axis=1)[:, :first] & 0xFFFFFFFF
-    row = np.repeat(np.arange(len(reg)), first)
-    order = np.argsort(rare.reshape(-1), kind="stable")
-    row, value = row[order], rare.reshape(-1)[order]
-    cut = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-    pairs = [np.zeros(0, np.int64)]
-    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(row)]):
-        own = row[a:b]
-        left = own[rest[own]]
-        for i in left.tolist() if b - a > 1 else []:
-            other = own[component[own] != component[i]]
-            pairs.append(np.minimum(i, other) * len(reg) + np.maximum(i, other))
-        if len(pairs) > 10_000:
-            pairs = [np.unique(np.concatenate(pairs))]
-    code = np.unique(np.concatenate(pairs))
-    i, j = code // max(1, len(reg)), code % max(1, len(reg))
-    fit = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
-    i, j = i[fit], j[fit]
-    good = [np.zeros(0, bool)]
-    for a in range(0, len(i), 4096):
-        x, y = i[a : a + 4096], j[a : a + 4096]
-        good.append(estimate(reg[x], size[x], reg[y], size[y]) >= floor)
-    keep = np.concatenate(good)
-    return np.column_stack([i[keep], j[keep]])
+    label, found = component.copy(), []
+    bands = m.registers.reshape(len(m.ids), -1, ROWS)
+    for i in np.flatnonzero(rest).tolist():
+        want = pair[1] if block[i] == pair[0] else pair[0]
+        among = np.flatnonzero((label != label[i]) & (block == want))
+        among = among[100 * np.minimum(m.n[among], m.n[i]) >= percent * np.maximum(m.n[among], m.n[i])]
+        if len(among):
+            among = among[(bands[among] == bands[i]).all(axis=2).argmax(axis=1) == band]
+        if not len(among):
+            continue
+        guess = estimate(m.registers[i], m.n[i], m.registers[among], m.n[among])
+        order = np.argsort(-guess, kind="stable")
+        for k in among[order[guess[order] >= percent / 100 - slack(percent / 100)]].tolist():
+            if label[k] != label[i] and _linked(m.sets[i], m.sets[k], percent):
+                found.append((m.ids[i], m.ids[k]))
+                label[label == label[k]] = label[i]
+    return found
 
 
 def _band_keys(registers: str = "registers"):
@@ -194,7 +182,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str
     band of ROWS registers; two sets of similarity 0.75 miss each other in all bands with chance
     6e-9. A cluster of more than `chunk` classes is dealt into chunks that all hold the cluster's
     most central class. Classes that don't come to be joined with it then meet, band by band, the classes of other
-    components that share the band, by registers only; pairs whose registers allow a link are confirmed on the full sets.
+    components that share the band.
     So no pair of the cluster that could join two components goes unseen. A band of more than BLOCK classes of other components is met block by block.
 
     A null text is empty. Null ids have a null component_id and are kept. Rows of equal id are
@@ -271,30 +259,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str
         own = kept(own.select("doc_id", "cluster", "pivot", "registers", "component"), "joined-classes")
         main = own.where("doc_id = pivot").select("cluster", F.col("component").alias("main"))
         marked = join_hot(own.select("doc_id", "cluster", "registers", "component"), main, "cluster", "doc_id", hot)
-        met = kept(marked.select("doc_id", "component", (F.col("component") != F.col("main")).alias("rest"), F.explode(_band_keys()).alias("key")), "band-classes")
+        met = kept(marked.select("doc_id", "component", (F.col("component") != F.col("main")).alias("rest"), F.posexplode(_band_keys()).alias("band", "key")), "band-classes")
         asked = met.groupBy("key").agg(F.count("*").alias("n"), F.max("rest").alias("any"), F.min("component").alias("low"), F.max("component").alias("high"))
         asked = kept(asked.where("any AND low <> high").select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "asked-bands")
         rows = join_hot(met, asked.select("key", "blocks"), "key", "doc_id", hot_keys(asked, "key"))
         block, other = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        rows = rows.select("doc_id", "component", "rest", "key", block.alias("own"), other.alias("other")).select("doc_id", "component", "rest", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        across = kept(rows.join(cand.select("doc_id", "registers", (F.length("members") / 8).cast("long").alias("n")), "doc_id"), "across")
-
-        def suspects(t: pa.Table) -> pa.Table:
-            ids = t.column("doc_id").to_numpy()
-            reg = np.stack([np.frombuffer(x, np.uint16) for x in t.column("registers").to_pylist()])
-            pairs = ids[might_link(reg, t.column("n").to_numpy(), t.column("component").to_numpy(), t.column("rest").to_numpy(zero_copy_only=False), percent)]
-            return pa.Table.from_arrays([pa.array(pairs[:, k], pa.int64()) for k in (0, 1)], schema=link_schema)
-
-        def confirm(batches):
-            for batch in batches:
-                sets = [[np.frombuffer(x, np.uint64) for x in c.to_pylist()] for c in batch.columns[2:]]
-                yield batch.select(["a", "b"]).filter(pa.array([_linked(x, y, percent) for x, y in zip(*sets)], pa.bool_()))
-
-        pairs = kept(across.groupBy("key", "i", "j").applyInArrow(suspects, "a long, b long").distinct(), "suspects")
-        of = lambda end: cand.select(F.col("doc_id").alias(end), F.col("members").alias(f"set_{end}"))
-        hot_in = lambda end: hot_keys(pairs.groupBy(end).agg(F.count("*").alias("n")), end)
-        with_sets = join_hot(join_hot(pairs, of("a"), "a", "b", hot_in("a")), of("b"), "b", "a", hot_in("b"))
-        more = kept(with_sets.select("a", "b", "set_a", "set_b").mapInArrow(confirm, "a long, b long"), "links")
+        rows = rows.withColumn("block", block).withColumn("other", other)
+        rows = kept(rows.select("doc_id", "component", "rest", "band", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")), "across")
+
+        def across(key, t):
+            get = lambda name: t.column(name).to_numpy(zero_copy_only=False)
+            return table_of(_join_rest(_Members(t), get("component"), get("rest"), get("block"), (key[2].as_py(), key[3].as_py()), key[1].as_py(), percent))
+
+        with_sets = rows.join(cand.select("doc_id", "registers", "members"), "doc_id")
+        more = kept(with_sets.groupBy("key", "band", "i", "j").applyInArrow(across, "a long, b long").distinct(), "links")
         # over components instead of documents the new links are few
         of = joined.select(F.col("node").alias("a"), F.col("component").alias("ca"))
         of_b = joined.select(F.col("node").alias("b"), F.col("component").alias("cb"))

@@ -92,7 +92,7 @@ def test_large_cluster_of_unlike_texts(spark, n):
     got = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), chunk=20).collect())
     assert got == brute(texts)
     last = lambda name: max(glob.glob(f"{shared_dir(spark)}/{name}-*"), key=os.path.getmtime)
-    assert spark.read.parquet(last("across")).count() <= 50 * len(texts) and spark.read.parquet(last("suspects")).count() < 3 * len(texts)
+    assert spark.read.parquet(last("across")).count() <= 50 * len(texts)
 
 
 def test_blocks_of_a_band(spark, monkeypatch):
