@@ -9,10 +9,12 @@ from sealwright.llm.textbuf import buffers
 
 
 def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length end to end, after that length."""
     return b"".join([np.int64(len(arrays[0])).tobytes(), *(np.ascontiguousarray(x).tobytes() for x in arrays)])
 
 
 def unpack(blob: bytes, kinds: list) -> list[np.ndarray]:
+    """The arrays of pack, of the given kinds."""
     n, at, out = int(np.frombuffer(blob, np.int64, 1)[0]), 8, []
     for k in kinds:
         size = np.dtype(k).itemsize * n
@@ -30,11 +32,21 @@ def by_part(doc, parts, kind, *arrays):
     return [(kind, int(part[a]), pack(*(x[order[a:b]] for x in arrays))) for a, b in zip(cuts, [*cuts[1:], len(part)])]
 
 
+def grouped(key: np.ndarray):
+    """(value, positions) of each value of key."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    cuts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else []
+    return [(int(k[a]), order[a:b]) for a, b in zip(cuts, [*cuts[1:], len(k)])]
+
+
 def table_of(rows, names, kinds):
+    """An Arrow table of rows given as tuples."""
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names=names)
 
 
 def is_prime(n: int) -> bool:
+    """Whether n is a prime number."""
     return n > 1 and all(n % d for d in range(2, int(n**0.5) + 1))
 
 

@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sealwright.llm.blobs import active, by_part, is_prime, pack, table_of, unpack
+from sealwright.llm.blobs import active, by_part, grouped, is_prime, pack, table_of, unpack
+from sealwright.llm.hot import HOT_DOCS, hot_hashes
 from sealwright.llm.scratch import kept
 from sealwright.llm.sizing import parts_for
 from sealwright.llm.suffixes import common_prefixes, suffix_array
@@ -32,7 +33,6 @@ _STRIP = 1 << 18
 PIECE = 6 << 20  # bytes of text searched at once
 _ANCHORS, _INTERVALS, _REQUESTS, _STRINGS = 0, 1, 2, 3
 _FINE = 4
-SAMPLE_DOCS, HOT_DOCS = 1 << 15, 1 << 17  # seeds that a sample puts in more than HOT_DOCS documents are dealt string by string
 
 
 def anchors(data: np.ndarray, off: np.ndarray, width: int):
@@ -173,30 +173,6 @@ def _spans(doc, start, end, parts):
     return by_part(doc, parts, _INTERVALS, doc.astype(np.int64), start.astype(np.int32), end.astype(np.int32))
 
 
-def hot_seeds(texts: DataFrame, width: int, docs: int = HOT_DOCS) -> np.ndarray:
-    """Hashes of the seeds in more than `docs` documents (id__, text__), as a sample of about SAMPLE_DOCS of them tells.
-
-    They decide only how the work is dealt, not its result. A seed counts if it stands in over 16 of the sample's
-    documents, so there are at most a 16th of the sample's anchors.
-    """
-    step = max(1, texts.count() // SAMPLE_DOCS)
-
-    def count(batches):
-        for batch in batches:
-            doc, _, _, _, h = anchors(*buffers(batch.column(0)), width)
-            order = np.lexsort((doc, h))
-            h, doc = h[order], doc[order]
-            new = np.ones(len(h), dtype=bool)
-            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            seed, times = np.unique(h[new], return_counts=True)
-            often = times > 1
-            yield pa.RecordBatch.from_arrays([pa.array(seed[often].view(np.int64)), pa.array(times[often], pa.int64())], ["seed", "n"])
-
-    sample = texts.where(F.pmod(F.xxhash64("id__"), F.lit(step)) == 0).select("text__").repartition(4)
-    found = sample.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).where(F.col("n") > max(16, docs // step))
-    return np.sort(found.select("seed").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
-
-
 def cut_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, part_bytes: int = 8 << 20, hash_bits: int = 32, hot_docs: int = HOT_DOCS) -> DataFrame:
     """Removes each byte of a text (as UTF-8) that a string of `width` bytes covers which also starts in a document of smaller id.
 
@@ -208,7 +184,7 @@ def cut_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_c
     nothing. Equal rows cover each other's successors alike. Of rows that share an id but not the text,
     that of smallest text takes part, the others stay whole. An empty table gives no rows.
     part_bytes: input bytes of a group of documents that one task holds. hash_bits: bits of a seed's hash, beside those
-    that name its bucket, by which seeds meet; fewer bits only mean more sorting. hot_docs: see hot_seeds; the
+    that name its bucket, by which seeds meet; fewer bits only mean more sorting. hot_docs: see hot_hashes; the
     strings of hot seeds meet one by one, in groups of pieces first, so that no task gathers a hot seed.
     """
     parts = max(parts_for(docs, part_bytes), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -225,7 +201,12 @@ def cut_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_c
         takes_part = takes_part & (F.col("rank__") == 1)
     base = base.withColumn("active__", takes_part).withColumn("part__", F.pmod(F.coalesce("id__", F.lit(0)), F.lit(parts)).cast("int"))
     texts = base.where("active__").select("id__", "text__")
-    hot = hot_seeds(texts, width, hot_docs)
+
+    def seeds(data, off):
+        doc, _, _, _, h = anchors(data, off, width)
+        return doc, h
+
+    hot = hot_hashes(texts, seeds, hot_docs)
 
     def find(batches):
         from pyspark import TaskContext
@@ -259,10 +240,10 @@ def cut_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_c
             code = mix((BYTE_CODE[data[at[:, None] + np.arange(width)]] * powers(width)[0][:width]).sum(axis=1, dtype=np.uint64))
             key = (code % U64(buckets * _FINE)).astype(np.int64)
             own = np.searchsorted(off, at, side="right") - 1
-            for k, y in _grouped(key):
+            for k, y in grouped(key):
                 rows.append((_STRINGS, k * salts + salt, _ctx(data, ids[own[y]], at[y] - off[own[y]], at[y], np.full(len(y), width))))
         left = np.flatnonzero(left & ~hot_one)
-        for k, y in _grouped(((h[left] >> U64(40)) % U64(buckets)).astype(np.int64)):
+        for k, y in grouped(((h[left] >> U64(40)) % U64(buckets)).astype(np.int64)):
             x = left[y]
             rows.append((_ANCHORS, k, pack(ids[doc[x]].astype(np.int64), pos[x].astype(np.int32), (pos[x] - low[x]).astype(np.uint8), (high[x] - pos[x]).astype(np.uint8), (h[x] & mask).astype(np.uint32))))
         return table_of(rows, ["kind", "key", "blob"], [pa.int32(), pa.int64(), pa.binary()]).to_batches()
@@ -301,7 +282,7 @@ def cut_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_c
             ids, data, off = active(left)
             bucket = right.column("bucket").to_numpy()
             blobs = right.column("blob").to_pylist()
-            for k, y in _grouped(bucket):
+            for k, y in grouped(bucket):
                 doc, pos, before, after = (np.concatenate(v) for v in zip(*(unpack(blobs[i], _ANCHOR_KINDS[:4]) for i in y.tolist())))
                 row, low, high = _merge(np.searchsorted(ids, doc), pos - before, pos + after)
                 rows.append((_STRINGS, k, _ctx(data, ids[row], low, off[row] + low, high - low)))
@@ -358,14 +339,6 @@ def cut_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_c
     return out.withColumnRenamed("c0", "doc_id")
 
 
-def _grouped(key: np.ndarray):
-    """(value, positions) of each value of key."""
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    cuts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else []
-    return [(int(k[a]), order[a:b]) for a, b in zip(cuts, [*cuts[1:], len(k)])]
-
-
 def _gather_spans(blobs):
     found = [unpack(b, _SPAN_KINDS) for b in blobs]
     return [np.concatenate(v) for v in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
