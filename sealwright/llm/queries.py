@@ -22,10 +22,12 @@ from sealwright.llm.toxicity import score_toxicity, train_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A whole table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def word_tokenizer() -> str:
+    """The path of the word-level tokenizer."""
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -35,10 +37,12 @@ TOXIC_FROM, GOOD_FROM = 0.7, 0.3  # scores from which op1 and op8 predict 1
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame):
+    """The model of op1 and the pipeline: it learns from the two folds that aren't held out."""
     return train_toxicity(docs, labels, fold("doc_id", 3) != 1)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, with expected toxic words and offending spans."""
     docs = table(spark, sf_dir, "documents")
     scored = score_toxicity(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
     return scored.select(
@@ -47,43 +51,52 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mixture that sees every document, small sources up to one and a half times."""
     docs = table(spark, sf_dir, "documents")
     return mix_rows(docs, budget=None, max_repeats=1.5)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents less every 50-byte string that a smaller id holds."""
     return cut_repeats(table(spark, sf_dir, "documents"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages through ARC and WARC files, as read back."""
     records = convert(table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest inner products of every hundredth vector."""
     vectors = table(spark, sf_dir, "embeddings")
     return top_products(vectors, vectors.where("vec_id % 100 = 0"))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
     docs = table(spark, sf_dir, "documents")
     scored = mark_best(score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)))
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"), "above_cut")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens."""
     return pack(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text."""
     return fingerprint_with_edits(table(spark, sf_dir, "documents"))
 
 
 def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that documents have nearly in common with smaller ids."""
     return near_passages(table(spark, sf_dir, "documents"))
 
 
@@ -93,8 +106,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op5_mtree": OP5_SQL}
+    return {"op3_suffix_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op5_mtree": OP5_SQL, "op7_near_dedup": OP7_SQL}
+
+
+# every string of 50 bytes with the smallest id that holds it
+OP3_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT doc_id, pos, array_slice(b, pos, pos + 49) AS s FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 48)) AS pos FROM d)),
+low AS (SELECT s, min(doc_id) AS owner FROM p GROUP BY s HAVING min(doc_id) < max(doc_id)),
+h AS (SELECT p.doc_id, pos FROM p JOIN low USING (s) WHERE owner < doc_id),
+g AS (SELECT doc_id, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 50 THEN 0 ELSE 1 END AS new FROM h),
+r AS (SELECT doc_id, pos, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM g),
+x AS (SELECT doc_id, run, min(pos) AS a, max(pos) + 50 AS z FROM r GROUP BY doc_id, run),
+n AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS z FROM x GROUP BY doc_id),
+k AS (
+  SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS f, a - 1 AS t FROM x
+  UNION ALL SELECT d.doc_id, coalesce(z, 1), octet_length(b) FROM d LEFT JOIN n USING (doc_id)),
+c AS (SELECT doc_id, sha256(unhex(string_agg(CASE WHEN t >= f THEN hex(array_slice(b, f, t)) ELSE '' END, '' ORDER BY f))) AS kept_sha256 FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, kept_sha256
+FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
+"""
 
+OP7_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n AS i ON i.doc_id = x JOIN n AS j ON j.doc_id = y WHERE 100 * c >= 75 * (i.n + j.n - c)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON r.doc_id = e.x)
+SELECT r.doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(root) AS component_id, r.doc_id = min(root) AS kept FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
+"""
 
 OP4_SQL = """
 WITH p AS (

@@ -2,7 +2,8 @@
 
 Terms are a text's pairs of neighbouring words (ASCII letters lower-cased), or its one word; each
 occurrence of a term votes with the term's weight for or against every bit of the fingerprint, by
-the bits of the term's hash. A term's weight is the logarithm of its bytes: long words are rarer.
+the bits of the term's hash. A term's weight is the logarithm of its bytes: long words are rarer. Weights
+are whole numbers, so sums are exact and a tied vote is always against the bit.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ def _terms(data: np.ndarray, off: np.ndarray):
     alone = first[:-1][count == 1]
     h = np.concatenate([mix((w[paired] * U64(0xC2B2AE3D27D4EB4F)) ^ w[paired + 1]), w[alone]])
     size = np.concatenate([ends[paired + 1] - starts[paired], (ends - starts)[alone]])
-    return h, np.log2(1.0 + size), np.concatenate([doc[paired], doc[alone]])
+    return h, np.rint(np.log2(1.0 + size) * 1024), np.concatenate([doc[paired], doc[alone]])
 
 
 def fingerprints(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -63,28 +64,40 @@ def _hex(rows: np.ndarray) -> list[str]:
     return [flat[i : i + step] for i in range(0, len(flat), step)]
 
 
+COARSE = 1000  # ranges of keys that the driver takes quantiles for; each is cut evenly into more
+
+
 def with_following(docs: DataFrame, parts: int, key: str = "doc_id") -> DataFrame:
     """Deals rows in ranges of key, sorted, each range followed by the next range's first row.
 
     Adds columns key_, part_ and halo_ (1: a copy that only shows what follows; 0: the row itself).
-    After the last range comes the first row of all. Each row crosses the network once; the driver
-    sees one key for each range.
+    After the last range comes the first row of all. Each row crosses the network once. The driver sees at most COARSE
+    quantiles, and the smallest key of each range: 16 bytes for part_bytes of input.
     """
     keyed = docs.withColumn("key_", F.coalesce(F.col(key), F.lit(-(1 << 63))))
-    probs = [i / parts for i in range(1, parts)]
-    bounds = sorted({int(x) for x in keyed.approxQuantile("key_", probs, 0.1 / parts)}) if probs else []
+    n = min(parts, COARSE)
+    probs = [i / n for i in range(1, n)]
+    bounds = sorted({int(x) for x in keyed.approxQuantile("key_", probs, 0.1 / n)}) if probs else []
+    ends = keyed.agg(F.min("key_"), F.max("key_")).first()
+    edges = np.array([ends[0] or 0, *bounds, ends[1] or 0], dtype=np.float64)
+    fine = -(-parts // n)
 
     def part_of(s: pd.Series) -> np.ndarray:
-        return np.searchsorted(np.array(bounds, dtype=np.int64), s.to_numpy(np.int64), side="right")
+        k = s.to_numpy(np.int64)
+        at = np.searchsorted(np.array(bounds, dtype=np.int64), k, side="right")
+        within = (k.astype(np.float64) - edges[at]) / np.maximum(edges[at + 1] - edges[at], 1.0) * fine
+        return at * fine + np.clip(within, 0, fine - 1).astype(np.int64)
 
     part_udf = F.pandas_udf(lambda s: pd.Series(part_of(s)), "int")
-    firsts = sorted((r[0], r[1]) for r in keyed.select("key_", part_udf("key_").alias("p")).groupBy("p").agg(F.min("key_")).collect())
-    leads = {low: firsts[i - 1][0] for i, (_, low) in enumerate(firsts)}  # smallest key of a range -> the range before
+    firsts = keyed.select("key_", part_udf("key_").alias("p")).groupBy("p").agg(F.min("key_").alias("low")).toArrow().sort_by("p")
+    low, own = firsts.column("low").to_numpy(), firsts.column("p").to_numpy()
+    before = np.roll(own, 1)  # the range before each one's smallest key
 
     @F.pandas_udf("array<int>")
     def parts_of(s: pd.Series) -> pd.Series:
-        own = part_of(s)
-        return pd.Series([[int(p), leads[k]] if k in leads else [int(p)] for k, p in zip(s.tolist(), own)])
+        k = s.to_numpy(np.int64)
+        at = np.minimum(np.searchsorted(low, k), len(low) - 1)
+        return pd.Series([[p, q] if first else [p] for p, q, first in zip(part_of(s).tolist(), before[at].tolist(), (low[at] == k).tolist())])
 
     dealt = keyed.select("*", F.posexplode(parts_of("key_")).alias("halo_", "part_"))
     return dealt.repartition(parts, "part_").sortWithinPartitions("part_", "halo_", "key_")

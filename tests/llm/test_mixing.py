@@ -1,4 +1,5 @@
 import math
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -75,7 +76,24 @@ def test_realised_weights(spark, docs, how):
 def test_empty_and_query(spark, docs):
     assert mix_rows(docs.limit(0)).count() == 0 and mix(docs.limit(0)).count() == 0
     got = op2_mixing(spark, "/root/testdata/sf0.001")
-    ids = {r.doc_id for r in got.collect()}
+    rows = got.collect()
+    ids = {r.doc_id for r in rows}
+    docs_ = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    own, longest, of = Counter(), Counter(), {}
+    for r in docs_:  # weights and budget by hand, from the query's own parameters
+        k, n = "null" if r.source is None else "=" + r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+        own[k] += n
+        longest[k] = max(longest[k], n)
+        of[r.doc_id] = (k, n)
+    total = sum(own.values())
+    m = solve([(v / total, 1) for v in own.values()], total, None, None, 1.5)
+    taken = Counter()
+    for r in rows:
+        assert (r.source_key, r.tokens) == of[r.doc_id]
+        taken[r.source_key] += r.tokens
+    for k, v in own.items():
+        quota = m.budget * (v / total) ** m.exponent / m.normaliser
+        assert max(v, quota - longest[k]) <= taken[k] + 1 and taken[k] <= max(v, quota) + 1 and quota <= 1.5 * v * (1 + 1e-6)
     assert ids == {r.doc_id for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
 
 

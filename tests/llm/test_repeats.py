@@ -3,8 +3,9 @@ import os.path
 
 import numpy as np
 import pytest
+from oracle import same
 
-from sealwright.llm.queries import op3_suffix_dedup
+from sealwright.llm.queries import OP3_SQL, op3_suffix_dedup
 from sealwright.llm.repeats import cut_repeats, in_smaller
 from sealwright.llm.suffixes import common_prefixes, suffix_array
 
@@ -109,6 +110,10 @@ def test_repeated_rows_and_text(spark):
     assert cut_repeats(df.limit(0)).count() == 0
 
 
+def test_query_against_sql(spark):
+    same(op3_suffix_dedup(spark, "/root/testdata/sf0.001"), OP3_SQL, "/root/testdata/sf0.001")
+
+
 def test_query(spark):
     d = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]

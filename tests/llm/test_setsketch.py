@@ -5,9 +5,10 @@ import os
 import numpy as np
 import pyarrow as pa
 import pytest
+from oracle import same
 
 from sealwright.llm.components import components
-from sealwright.llm.queries import op7_near_dedup
+from sealwright.llm.queries import OP7_SQL, op7_near_dedup
 from sealwright.llm.scratch import shared_dir
 from sealwright.llm.setsketch import estimate, merge, near_duplicates, shingle_sets, sketch
 from sealwright.llm.textbuf import buffers
@@ -143,6 +144,10 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_query_against_sql(spark):
+    same(op7_near_dedup(spark, "/root/testdata/sf0.001"), OP7_SQL, "/root/testdata/sf0.001")
+
+
 def test_query(spark):
     d = "/root/testdata/sf0.001"
     texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]

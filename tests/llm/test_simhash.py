@@ -4,8 +4,9 @@ import itertools
 import numpy as np
 import pyarrow as pa
 
-from sealwright.llm.simhash import BITS, fingerprint_with_edits, fingerprints, within_radius
-from sealwright.llm.textbuf import buffers
+from sealwright.llm.queries import op9_simhash
+from sealwright.llm.simhash import BITS, _terms, fingerprint_with_edits, fingerprints, within_radius
+from sealwright.llm.textbuf import U64, buffers, mix
 
 
 def distance(a, b):
@@ -37,6 +38,40 @@ def test_matches_brute_force(spark, tmp_path):
         assert got == want
 
 
+def votes(text):
+    """The fingerprint bit by bit: every term's weight for or against each bit of its hash."""
+    h, weight, _ = _terms(*buffers(pa.array([text])))
+    out = 0
+    for half in range(BITS // 64):
+        for bit in range(64):
+            total = sum(w if x >> bit & 1 else -w for x, w in zip(h.tolist(), weight.tolist()))
+            out |= (total > 0) << (half * 64 + bit)
+        h = mix(h * U64(0x9E3779B97F4A7C15) + U64(half + 1))
+    return out.to_bytes(BITS // 8, "little").hex()
+
+
+def test_votes_of_every_bit():
+    texts = ["", "one", "a b", "the cat sat on the mat and the dog", "É é É x" * 9, "w " * 500 + "z"]
+    got = fingerprints(*buffers(pa.array(texts)))
+    assert [bytes(r).hex() for r in got] == [votes(t) if t else "00" * 16 for t in texts]
+
+
+def test_query_against_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{d}/documents.parquet").collect())
+    got = sorted(tuple(r) for r in op9_simhash(spark, d).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next").collect())
+    assert got == brute(rows) and all(votes(t) == g[3] for (_, t), g in list(zip(rows, got))[:40])
+
+
+def test_ranges_cut_finer_than_quantiles(spark, monkeypatch):
+    from sealwright.llm import simhash
+
+    monkeypatch.setattr(simhash, "COARSE", 3)
+    rows = [(i * i * 7, f"text {i} " * (i % 5 + 1)) for i in range(200)]
+    got = sorted(tuple(r) for r in fingerprint_with_edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), part_bytes=300).collect())
+    assert got == brute(rows)
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert fingerprint_with_edits(empty).count() == 0
