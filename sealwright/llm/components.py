@@ -13,7 +13,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round moves every edge towards its nodes' smallest neighbours: all smaller neighbours of
     a node, then all its larger ones, are joined to the smallest. Nodes meet their smallest
-    neighbour by a grouped minimum and a join, in which nodes of many edges are salted. Rounds
+    neighbour by a grouped minimum and a join, in which nodes of many edges are salted. (After the first
+    round only a component's smallest node has many, so its smaller-neighbour step needs no salt.) Rounds
     end when no edge changes; they number about the logarithm of a component's size. No edges,
     no rows; an edge from a node to itself gives the node its own component.
     """
@@ -24,11 +25,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         return df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
 
     last = mark(now)
-    for _ in range(most_rounds):
+    for turn in range(most_rounds):
         if not last[0]:
             break
         low = now.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        met = join_hot(now, low.drop("n"), "u", "v", hot_keys(low, "u", total=last[0]))
+        met = join_hot(now, low.drop("n"), "u", "v", [] if turn else hot_keys(low, "u", total=last[0]))
         small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         small = kept(small.where("u <> v").distinct(), "edges")
         both = small.union(small.select(F.col("v").alias("u"), F.col("u").alias("v")))

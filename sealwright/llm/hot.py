@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sealwright.llm.textbuf import buffers
+from sealwright.llm.textbuf import buffers, pieces
 
 SAMPLE_DOCS, HOT_DOCS = 1 << 15, 1 << 17
 
@@ -24,12 +24,16 @@ def hot_hashes(texts: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], tupl
 
     def count(batches):
         for batch in batches:
-            doc, h = hashes(*buffers(batch.column(0)))
-            order = np.lexsort((doc, h))
-            h, doc = h[order], doc[order]
-            new = np.ones(len(h), dtype=bool)
-            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            value, times = np.unique(h[new], return_counts=True)
+            data, off = buffers(batch.column(0))
+            once = []  # of each text, every hash once
+            for a, b in pieces(off, 2 << 20):
+                doc, h = hashes(data[off[a] : off[b]], off[a : b + 1] - off[a])
+                order = np.lexsort((doc, h))
+                h, doc = h[order], doc[order]
+                new = np.ones(len(h), dtype=bool)
+                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                once.append(h[new])
+            value, times = np.unique(np.concatenate(once) if once else np.zeros(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(times, pa.int64())], ["h", "n"]).filter(pa.array(times > 1))
 
     sample = texts.where(F.pmod(F.xxhash64("id__"), F.lit(step)) == 0).select("text__").repartition(4)

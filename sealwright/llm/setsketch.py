@@ -128,22 +128,27 @@ def _join_rest(m: _Members, component: np.ndarray, rest: np.ndarray, block: np.n
     A pair is looked at in the first band it shares only, and only between the two blocks of this task. Likelier pairs are
     confirmed first, and none whose classes are joined already.
     """
-    label, found = component.copy(), []
-    bands = m.registers.reshape(len(m.ids), -1, ROWS)
-    for i in np.flatnonzero(rest).tolist():
-        want = pair[1] if block[i] == pair[0] else pair[0]
-        among = np.flatnonzero((label != label[i]) & (block == want))
-        among = among[100 * np.minimum(m.n[among], m.n[i]) >= percent * np.maximum(m.n[among], m.n[i])]
-        if len(among):
-            among = among[(bands[among] == bands[i]).all(axis=2).argmax(axis=1) == band]
-        if not len(among):
+    label, found, n = component.copy(), [], len(m.ids)
+    bands = m.registers.reshape(n, -1, ROWS)
+    asking = np.flatnonzero(rest)
+    step = max(1, (1 << 16) // n)
+    for a in range(0, len(asking), step):
+        i, k = np.repeat(asking[a : a + step], n), np.tile(np.arange(n), len(asking[a : a + step]))
+        ok = (label[i] != label[k]) & (block[k] == np.where(block[i] == pair[0], pair[1], pair[0])) & (~rest[k] | (i < k))
+        ok &= 100 * np.minimum(m.n[i], m.n[k]) >= percent * np.maximum(m.n[i], m.n[k])
+        i, k = i[ok], k[ok]
+        for x in range(band):  # a pair that shares an earlier band is looked at there
+            apart = (bands[i, x] != bands[k, x]).any(axis=1)
+            i, k = i[apart], k[apart]
+        if not len(i):
             continue
-        guess = estimate(m.registers[i], m.n[i], m.registers[among], m.n[among])
+        guess = estimate(m.registers[i], m.n[i], m.registers[k], m.n[k])
         order = np.argsort(-guess, kind="stable")
-        for k in among[order[guess[order] >= percent / 100 - slack(percent / 100)]].tolist():
-            if label[k] != label[i] and _linked(m.sets[i], m.sets[k], percent):
-                found.append((m.ids[i], m.ids[k]))
-                label[label == label[k]] = label[i]
+        for x in order[guess[order] >= percent / 100 - slack(percent / 100)].tolist():
+            p, q = int(i[x]), int(k[x])
+            if label[p] != label[q] and _linked(m.sets[p], m.sets[q], percent):
+                found.append((m.ids[p], m.ids[q]))
+                label[label == label[q]] = label[p]
     return found
 
 
@@ -267,12 +272,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str
         rows = rows.withColumn("block", block).withColumn("other", other)
         rows = kept(rows.select("doc_id", "component", "rest", "band", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")), "across")
 
-        def across(key, t):
-            get = lambda name: t.column(name).to_numpy(zero_copy_only=False)
-            return table_of(_join_rest(_Members(t), get("component"), get("rest"), get("block"), (key[2].as_py(), key[3].as_py()), key[1].as_py(), percent))
+        buckets = -(-rows.count() // BLOCK) + 1  # many small bands are one group of the task
+
+        def across(t: pa.Table) -> pa.Table:
+            t = t.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")])
+            key, i, j, band = (t.column(c).to_numpy() for c in ("key", "i", "j", "band"))
+            cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+            found = []
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(key)]):
+                own = t.slice(a, b - a)
+                get = lambda name: own.column(name).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                found += _join_rest(_Members(own), get("component"), get("rest"), get("block"), (int(i[a]), int(j[a])), int(band[a]), percent)
+            return table_of(found)
 
         with_sets = rows.join(cand.select("doc_id", "registers", "members"), "doc_id")
-        more = kept(with_sets.groupBy("key", "band", "i", "j").applyInArrow(across, "a long, b long").distinct(), "links")
+        bucket = F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets)).alias("bucket")
+        more = kept(with_sets.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(across, "a long, b long").distinct(), "links")
         # over components instead of documents the new links are few
         of = joined.select(F.col("node").alias("a"), F.col("component").alias("ca"))
         of_b = joined.select(F.col("node").alias("b"), F.col("component").alias("cb"))
