@@ -60,10 +60,9 @@ def deep_roots(leaves: DataFrame, keys: list[str], index: str, leaf: str = "leaf
 
 def audit_path(all_levels: Column, index: Column) -> Column:
     """Hex hashes of the siblings from the leaf at index to the root; levels without one are left out."""
-    at = lambda k: F.shiftright(index.cast("long"), k) if isinstance(k, int) else F.floor(index / F.pow(F.lit(2.0), k)).cast("int")
-    sibling = lambda k: F.when(at(k) % 2 == 0, at(k) + 1).otherwise(at(k) - 1)
-    paths = F.transform(all_levels, lambda nodes, k: F.get(nodes, sibling(k).cast("int")))
-    return F.transform(F.filter(F.slice(paths, 1, F.size(paths) - 1), lambda h: h.isNotNull()), to_hex)
+    below = F.slice(all_levels, F.lit(1), F.size(all_levels) - 1)
+    siblings = F.transform(below, lambda nodes, k: F.get(nodes, F.call_function("shiftright", index.cast("int"), k).bitwiseXOR(F.lit(1))))
+    return F.transform(F.filter(siblings, lambda h: h.isNotNull()), to_hex)
 
 
 def verify_path(leaf: Column, index: Column, size: Column, path: Column, root_hex: Column) -> Column:
