@@ -31,7 +31,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = now.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         met = join_hot(now, low.drop("n"), "u", "v", [] if turn else hot_keys(low, "u", total=last[0]))
         small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        small = kept(small.where("u <> v").distinct(), "edges")
+        small = kept(small.where("u <> v"), "edges")  # the next step drops what is repeated
         both = small.union(small.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         large = join_hot(both.where("v > u"), low.drop("n"), "u", "v", hot_keys(low, "u", total=2 * last[0]))
