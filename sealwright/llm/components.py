@@ -2,47 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sealwright.llm.hot import hot_keys, join_hot
 from sealwright.llm.scratch import kept
 
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every larger node has one edge, to a node that has no smaller neighbour itself."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e"))
+    nodes = ends.groupBy("e.node").agg(F.sum("e.up").alias("ups"), F.min("e.up").alias("least"))
+    return not nodes.where("ups > 1 OR (ups = 1 AND least = 0)").limit(1).count()
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of edges (columns a, b): component is the smallest node reachable.
 
     Each round moves every edge towards its nodes' smallest neighbours: all smaller neighbours of
-    a node, then all its larger ones, are joined to the smallest. Nodes meet their smallest
-    neighbour by a grouped minimum and a join, in which nodes of many edges are salted. (After the first
-    round only a component's smallest node has many, so its smaller-neighbour step needs no salt.) Rounds
-    end when no edge changes; they number about the logarithm of a component's size. No edges,
+    a node, then all its larger ones, are joined to the smallest. An edge makes one edge in either step, so their number never
+    grows. Nodes meet their smallest neighbour by a grouped minimum and a join, in which nodes of many edges are salted. (After the first
+    round only a component's smallest node has many, so its smaller-neighbour step is a window over each node.) Rounds
+    end when all edges lead to their component's smallest node; they number about the logarithm of a component's size. No edges,
     no rows; an edge from a node to itself gives the node its own component.
     """
     loops = edges.where("a = b").select(F.col("a").alias("node"))
     now = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-
-    def mark(df: DataFrame):
-        return df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-
-    last = mark(now)
     for turn in range(most_rounds):
-        if not last[0]:
+        if _settled(now):
             break
-        low = now.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        met = join_hot(now, low.drop("n"), "u", "v", [] if turn else hot_keys(low, "u", total=last[0]))
-        small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        small = kept(small.where("u <> v"), "edges")  # the next step drops what is repeated
+        if turn:
+            met = now.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        else:
+            low = now.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+            met = join_hot(now, low.drop("n"), "u", "v", hot_keys(low, "u"))
+        small = kept(met.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")), "edges")
         both = small.union(small.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = join_hot(both.where("v > u"), low.drop("n"), "u", "v", hot_keys(low, "u", total=2 * last[0]))
+        large = join_hot(both.where("v > u"), low.drop("n"), "u", "v", hot_keys(low, "u", total=2 * small.count()))
         now = kept(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
-        mark_ = mark(now)
-        if mark_ == last:
-            break
-        last = mark_
     else:
         raise RuntimeError("components did not settle")
-    star = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
+    star = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    alone = loops.select("node", F.col("node").alias("component")).distinct().join(star.union(roots).select("node"), "node", "left_anti")
-    return star.union(roots.join(star.select("node"), "node", "left_anti")).union(alone)
+    found = star.union(roots)
+    alone = loops.select("node", F.col("node").alias("component")).distinct().join(found.select("node"), "node", "left_anti")
+    return found.union(alone)

@@ -257,9 +257,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str
 
     # classes of a divided cluster that aren't joined with its pivot meet the other chunks
     if sizes.where("chunks > 1").limit(1).count():
-        links = kept(split.select(columns).union(pivots.select(columns)).groupBy("cluster", "chunk").applyInArrow(resolve, "a long, b long"), "links")
-        joined = kept(components(links), "joined")
+
+        def around_pivot(t: pa.Table) -> pa.Table:
+            cluster, pivot = t.column("cluster")[0].as_py(), t.column("pivot")[0].as_py()
+            links = _resolve(_Members(t), percent)
+            own = next((a for a, b in links if b == pivot), None)
+            rows = [(cluster, a, b, a == own) for a, b in links if b != pivot]
+            return pa.Table.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*rows) if rows else ((),) * 4, around_schema)], schema=around_schema)
+
+        # only the pivot is in several chunks, so what a cluster's chunks join is what joins it
+        around_schema = pa.schema([("cluster", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("main", pa.bool_())])
+        chunks = split.select(*columns, "pivot").union(pivots.select(*columns, "pivot")).groupBy("cluster", "chunk")
+        links = kept(chunks.applyInArrow(around_pivot, "cluster long, a long, b long, main boolean"), "links")
         hot = hot_keys(sizes.where("chunks > 1"), "cluster")
+        tops = links.where("main").groupBy("cluster").agg(F.min("a").alias("top"))
+        others = join_hot(links, tops, "cluster", "b", hot, "left").select(F.col("b").alias("node"), F.expr("IF(main, top, a)").alias("component"))
+        joined = kept(others.union(sizes.join(tops, "cluster").select("pivot", "top")), "joined")
         own = split.select("doc_id", "cluster", "pivot", "registers").join(joined, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id"))
         own = kept(own.select("doc_id", "cluster", "pivot", "registers", "component"), "joined-classes")
         main = own.where("doc_id = pivot").select("cluster", F.col("component").alias("main"))
