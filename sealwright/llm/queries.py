@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealwright.llm.archive import convert
+from sealwright.llm.divergence import source_divergence
 from sealwright.llm.learn import fold
 from sealwright.llm.mixing import mix_rows
 from sealwright.llm.mtree import top_products
@@ -100,13 +101,18 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ in their words, pair by pair and term by term."""
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op2_mixing, op3_suffix_dedup, op4_warc, op5_mtree, op6_packing, op7_near_dedup, op8_quality, op9_simhash, op10_passages]
+    found = [op1_toxicity, op2_mixing, op3_suffix_dedup, op4_warc, op5_mtree, op6_packing, op7_near_dedup, op8_quality, op9_simhash, op10_passages, op11_divergence]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_suffix_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op5_mtree": OP5_SQL, "op7_near_dedup": OP7_SQL}
+    return {"op3_suffix_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op5_mtree": OP5_SQL, "op7_near_dedup": OP7_SQL, "op11_divergence": OP11_SQL}
 
 
 # every string of 50 bytes with the smallest id that holds it
@@ -161,3 +167,29 @@ s AS (
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+OP11_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT lang, source, coalesce(sum(n), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+p AS (
+  SELECT s.lang, s.source, term, coalesce(c.n, 0) AS n,
+    CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2) // (s.n + 2 * v.v) AS BIGINT) AS p,
+    CAST(1 + CAST(1000000000 AS HUGEINT) * (k.total + 2) // (v.n + 2 * v.v) AS BIGINT) AS q
+  FROM s JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+m AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+x AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN m ON m.lang = a.lang AND m.source = a.source AND m.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q),
+y AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM x)
+SELECT lang, source, part, item, value, rank FROM y WHERE part = 'pair' OR rank <= 10
+"""
