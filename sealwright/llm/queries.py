@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealwright.llm.archive import convert
+from sealwright.llm.cascade import judge_urls
 from sealwright.llm.divergence import source_divergence
 from sealwright.llm.learn import fold
 from sealwright.llm.mixing import mix_rows
@@ -19,6 +20,7 @@ from sealwright.llm.repeats import cut_repeats
 from sealwright.llm.scratch import shared_path
 from sealwright.llm.setsketch import near_duplicates
 from sealwright.llm.simhash import fingerprint_with_edits
+from sealwright.llm.threshold import top_documents
 from sealwright.llm.toxicity import score_toxicity, train_toxicity
 
 
@@ -106,13 +108,26 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
 
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL under block and allow rules."""
+    return judge_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op2_mixing, op3_suffix_dedup, op4_warc, op5_mtree, op6_packing, op7_near_dedup, op8_quality, op9_simhash, op10_passages, op11_divergence]
+    found = [op1_toxicity, op2_mixing, op3_suffix_dedup, op4_warc, op5_mtree, op6_packing, op7_near_dedup, op8_quality, op9_simhash, op10_passages, op11_divergence, op12_url_rules, op13_ranked_search]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_suffix_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op5_mtree": OP5_SQL, "op7_near_dedup": OP7_SQL, "op11_divergence": OP11_SQL}
+    return {"op3_suffix_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op5_mtree": OP5_SQL, "op7_near_dedup": OP7_SQL, "op11_divergence": OP11_SQL, "op12_url_rules": OP12_SQL, "op13_ranked_search": OP13_SQL}
 
 
 # every string of 50 bytes with the smallest id that holds it
@@ -193,3 +208,31 @@ x AS (
 y AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM x)
 SELECT lang, source, part, item, value, rank FROM y WHERE part = 'pair' OR rank <= 10
 """
+
+OP12_SQL = """
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(rule_host, rule_path, rule_verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+j AS (
+  SELECT page_id, host, path, rule_host || rule_path AS rule, rule_verdict,
+    row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC NULLS LAST) AS k
+  FROM p LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM j WHERE k = 1
+"""
+
+OP13_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+q AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+i AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY item_id, term),
+s AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+t AS (SELECT r, doc_id, term, count(*) AS tf FROM (SELECT r, doc_id, unnest(w) AS term FROM d) SEMI JOIN i USING (term) GROUP BY r, doc_id, term),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM t, s GROUP BY term, n_docs),
+m AS (SELECT r, CAST(25 + (75 * len(w) * n_docs) // n_terms AS BIGINT) AS m FROM d, s WHERE len(w) > 0),
+x AS (SELECT item_id, r, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS score FROM i JOIN t USING (term) JOIN f USING (term) JOIN m USING (r) GROUP BY item_id, r, doc_id),
+y AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM y WHERE rank <= 10
+"""
