@@ -2,15 +2,18 @@
 
 A tree's left part is the largest power of two below its size, which is the same as pairing
 neighbours level by level and carrying an odd last node up unchanged. A segment's tree is computed
-inside one array, as many levels as its leaves need; `deep_roots` builds trees that no one task should hold, with one shuffle a level.
+inside one array, as many levels as its leaves need; `deep_roots` and `deep_proofs` work on trees that no one task should hold.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sealwright.functions.hashing import EMPTY_ROOT, node_hash, to_hex
+from sealwright.shared import kept
 
 
 def _steps(n: Column) -> Column:
@@ -79,3 +82,49 @@ def verify_path(leaf: Column, index: Column, size: Column, path: Column, root_he
     end = F.aggregate(_steps(size), start, step)
     good = (index >= 0) & (index < size) & (end["used"] == F.size(path)) & (to_hex(end["h"]) == root_hex)
     return F.coalesce(good, F.lit(False))
+
+
+_BLOCK_LEVELS = 9  # levels that are built at once: 512 nodes a block
+
+
+def _blocks(nodes: DataFrame, keys: list[str], levels_: int) -> DataFrame:
+    """Nodes (keys, i, h) as rows (keys, b, nodes): 2^levels_ neighbours in order. A block's tree is that part of the whole tree, as its start is even at all of its levels."""
+    return nodes.groupBy(*keys, F.call_function("shiftright", F.col("i"), F.lit(levels_)).alias("b")).agg(ordered(F.col("h"), F.col("i")).alias("nodes"))
+
+
+def _bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value), where value is computed once."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
+def deep_proofs(leaves: DataFrame, keys: list[str], index: str, leaf: str = "leaf", levels_at_once: int = _BLOCK_LEVELS) -> DataFrame:
+    """(keys, leaf_index, leaf, tree_size, merkle_root, audit_path, verified) of every leaf, for trees of any size.
+
+    index: a leaf's position from 0, without gaps. Trees are cut into blocks of 2^levels_at_once neighbours, the blocks' roots into
+    blocks again, and so on: one shuffle for so many levels, over so many times fewer rows each. Paths then come down: a
+    block takes the path of its root, its members put their own siblings before it. Leaves move once up and never down; no array
+    is longer than a block or a path. Each level of blocks is kept in the shared folder. verified: whether the path
+    leads to merkle_root. Null leaves are an error of the caller's; an empty table gives no rows.
+    """
+    rows = leaves.select(*keys, F.col(index).cast("long").alias("i"), F.col(leaf).alias("h"))
+    sizes = kept(rows.groupBy(*keys).agg(F.count("*").alias("tree_size")), "tree-sizes")
+    most = sizes.agg(F.max("tree_size")).first()[0] or 0
+    stages = []
+    while True:
+        blocks = kept(_blocks(rows, keys, levels_at_once), "tree-blocks")
+        stages.append(blocks)
+        most = -(-most // (1 << levels_at_once))
+        if most <= 1:
+            break
+        rows = blocks.select(*keys, F.col("b").alias("i"), root(F.col("nodes")).alias("h"))
+    above = stages[-1].select(*keys, F.col("b").alias("i"), F.array().cast("array<string>").alias("path"), to_hex(root(F.col("nodes"))).alias("merkle_root"))
+    for blocks in reversed(stages):
+        held = blocks.join(above.withColumnRenamed("i", "b"), [*keys, "b"])
+        first = F.call_function("shiftleft", F.col("b"), F.lit(levels_at_once))
+        inside = lambda tree: F.transform("nodes", lambda h, j: F.struct((first + j).alias("i"), h.alias("h"), F.concat(audit_path(tree, j), F.col("path")).alias("path")))
+        out = held.select(*keys, "merkle_root", F.explode(_bound(levels(F.col("nodes")), inside)).alias("x"))
+        above = out.select(*keys, "x.i", "x.h", "x.path", "merkle_root")
+        if blocks is not stages[0]:
+            above = kept(above.drop("h"), "tree-paths")
+    done = above.join(sizes, keys).select(*keys, F.col("i").alias("leaf_index"), F.col("h").alias("leaf"), "tree_size", "merkle_root", F.col("path").alias("audit_path"))
+    return done.withColumn("verified", verify_path(F.col("leaf"), F.col("leaf_index"), F.col("tree_size"), F.col("audit_path"), F.col("merkle_root")))

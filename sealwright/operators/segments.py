@@ -13,6 +13,7 @@ from sealwright.config import SEGMENT_GENESIS
 from sealwright.functions.hashing import EMPTY_ROOT, entry_leaf, segment_digest, to_hex
 from sealwright.model import MANIFEST, PROOF_SCHEMA, SEGMENT_SCHEMA
 from sealwright.operators.merkle import audit_path, levels, ordered, root, verify_path
+from sealwright.operators.sweep import binned, carried, first_owners
 
 
 def sealed_so_far(found: DataFrame, log: str = "log_id") -> DataFrame:
@@ -94,16 +95,19 @@ def verify_segment_chain(found: DataFrame, log: str = "log_id", genesis: str = S
 def verify_against_log(found: DataFrame, entries: DataFrame, log: str = "log_id", pos: str = "pos") -> DataFrame:
     """(log, segment_id, status) of manifests against the log's slice first_seq to last_seq: range, then count, root and head.
 
-    The range is met as an equi-join: each manifest names its positions one by one.
+    pos counts a log's entries from 0, so a range tells its count. Only manifests whose range and count are right meet their
+    slice, by an equi-join on bins of positions; ranges may overlap.
     """
     sizes = entries.groupBy(log).agg(F.count("*").alias("log_size"))
     d = found.join(sizes, log, "left").withColumn("in_range", (F.col("first_seq") <= F.col("last_seq")) & (F.col("first_seq") >= 0) & (F.col("last_seq") < F.coalesce("log_size", F.lit(0))))
-    wanted = d.where("in_range").select(log, "segment_id", F.explode(F.sequence("first_seq", "last_seq")).alias(pos))
-    got = wanted.join(entries.select(log, pos, "chain_hash"), [log, pos]).groupBy(log, "segment_id").agg(F.count("*").alias("n"), F.max_by("chain_hash", pos).alias("head"), ordered(entry_leaf(F.col("chain_hash")), F.col(pos)).alias("leaves"))
+    d = d.withColumn("counted", F.coalesce(F.col("in_range") & (F.col("last_seq") - F.col("first_seq") + 1 == F.col("entry_count")), F.lit(False)))
+    wanted = d.where("counted").select(log, "segment_id", "first_seq", "last_seq")
+    met = binned(entries.select(log, pos, "chain_hash"), wanted, log, pos, "first_seq", "last_seq")
+    got = met.groupBy(log, "segment_id").agg(F.max_by("chain_hash", pos).alias("head"), ordered(entry_leaf(F.col("chain_hash")), F.col(pos)).alias("leaves"))
     got = got.withColumn("log_root", to_hex(root(F.col("leaves")))).drop("leaves")
     status = (
-        F.when(~F.col("in_range"), "OUT_OF_RANGE")
-        .when(~F.col("n").eqNullSafe(F.col("entry_count")), "COUNT_MISMATCH")
+        F.when(~F.coalesce("in_range", F.lit(False)), "OUT_OF_RANGE")
+        .when(~F.col("counted"), "COUNT_MISMATCH")
         .when(~F.col("log_root").eqNullSafe(F.col("merkle_root")), "ROOT_MISMATCH")
         .when(~F.col("head").eqNullSafe(F.col("head_chain_hash_at_close")), "HEAD_MISMATCH")
         .otherwise("OK")
@@ -119,11 +123,13 @@ def coverage_gaps(found: DataFrame, log: str = "log_id") -> DataFrame:
 
 
 def covering(entries: DataFrame, found: DataFrame, log: str = "log_id") -> DataFrame:
-    """Entries with the first manifest whose range holds their seq. A manifest that claims more than its log holds is cut to it."""
+    """Entries with the first manifest (smallest segment_id) whose range holds their seq; ranges may overlap.
+
+    A manifest that claims more than its log holds is cut to it. See operators.sweep: no range is spelled out.
+    """
     held = entries.groupBy(log).agg(F.min("seq").alias("low"), F.max("seq").alias("high"))
-    cut = found.join(held, log).withColumn("first_seq", F.greatest("first_seq", "low")).withColumn("last_seq", F.least("last_seq", "high"))
-    spans = cut.where("first_seq <= last_seq").select(log, "segment_id", F.explode(F.sequence("first_seq", "last_seq")).alias("seq")).groupBy(log, "seq").agg(F.min("segment_id").alias("segment_id"))
-    return entries.join(spans, [log, "seq"])
+    cut = found.join(held, log).select(log, "segment_id", F.greatest("first_seq", "low").alias("first_seq"), F.least("last_seq", "high").alias("last_seq"))
+    return carried(entries, first_owners(cut, log, "first_seq", "last_seq", "segment_id"), log, "seq", "first_seq", "last_seq", "segment_id")
 
 
 def proofs(entries: DataFrame, found: DataFrame, log: str = "log_id") -> DataFrame:

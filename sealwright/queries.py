@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from sealwright.functions.hashing import chain_digest, from_hex, sha256_hex, stamp_imprint, stamp_request, to_hex
 from sealwright.functions.normalize import shadow
+from sealwright.functions.sqlfunctions import register_sql_functions
 from sealwright.functions.validators import iban, luhn, pesel
 from sealwright.operators import chain, decide, evidence, merkle, segments
 from sealwright.model import ENTRY
 from sealwright.plans.packs import compile_pattern, load_packs
+from sealwright.shared import kept, shared_folder
 from sealwright.sources.logs import LogWriter, read_log
+from sealwright.streaming.sealing import SEALED, resume_state, seal_stream
 
 SIZE = 50  # entries of a segment
 SEALED_AT = "2024-01-01T00:00:00Z"
@@ -164,7 +167,7 @@ def chained(spark, sf_dir) -> DataFrame:
 
 def tampered(spark, sf_dir) -> DataFrame:
     """Some decisions flipped, some links zeroed with their hash made anew."""
-    c = chained(spark, sf_dir)
+    c = kept(chained(spark, sf_dir), "chain")
     c = c.withColumn("decision", F.when(F.col("seq") % 97 == 11, "ALLOW!").otherwise(F.col("decision")))
     c = c.withColumn("prev_hash", F.when(F.col("seq") % 101 == 50, F.lit("0" * 64)).otherwise(F.col("prev_hash")))
     return c.withColumn("chain_hash", F.when(F.col("seq") % 101 == 50, chain_digest(F.col("prev_hash"))).otherwise(F.col("chain_hash")))
@@ -174,14 +177,6 @@ def f3_chain_build(spark, sf_dir):
     return chained(spark, sf_dir).select("log_id", "seq", "prev_hash", "chain_hash")
 
 
-def shared_folder(spark, name: str) -> str:
-    """A new path in the folder that all machines share."""
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def a1_log_round_trip(spark, sf_dir):
     """One log's entries appended as JSON lines, and read back."""
     one = chained(spark, sf_dir).where("log_id = '3'")
@@ -237,7 +232,7 @@ def i3_segment_verify(spark, sf_dir):
 
 def i4_manifest_vs_log(spark, sf_dir):
     """Manifests with wrong counts and heads against logs that lost their tail and some links."""
-    c = chained(spark, sf_dir)
+    c = kept(chained(spark, sf_dir), "chain")
     m = segments.manifests(c, SIZE, SEALED_AT)
     m = m.withColumn("entry_count", F.when(F.col("segment_id") % 5 == 0, F.col("entry_count") + 1).otherwise(F.col("entry_count")))
     m = m.withColumn("head_chain_hash_at_close", F.when(F.col("segment_id") % 7 == 0, F.lit("f" * 64)).otherwise(F.col("head_chain_hash_at_close")))
@@ -246,26 +241,92 @@ def i4_manifest_vs_log(spark, sf_dir):
 
 
 def i6_inclusion_proofs(spark, sf_dir):
-    c = chained(spark, sf_dir)
+    c = kept(chained(spark, sf_dir), "chain")
     p = segments.proofs(c, segments.manifests(c, SIZE, SEALED_AT))
     return p.select("log_id", "entry_seq", "segment_id", "leaf_index", "tree_size", "merkle_root", F.array_join("audit_path", ",").alias("audit_path"), "verified")
 
 
+def i6_deep_proofs(spark, sf_dir):
+    """Whole logs as one tree each: the path of every entry, by blocks of 32 nodes."""
+    from sealwright.functions.hashing import entry_leaf
+
+    leaves = chained(spark, sf_dir).select("log_id", "seq", entry_leaf(F.col("chain_hash")).alias("leaf"))
+    p = merkle.deep_proofs(leaves, ["log_id"], "seq", levels_at_once=5)
+    return p.select("log_id", "leaf_index", "tree_size", "merkle_root", F.array_join("audit_path", ",").alias("audit_path"), "verified")
+
+
+def g5_covering(spark, sf_dir):
+    """Entries and the first manifest over them, where some manifests reach into their neighbours' ranges or claim far more than there is."""
+    c = kept(chained(spark, sf_dir), "chain")
+    m = segments.summaries(c, SIZE).where("segment_id % 6 <> 5")
+    first = F.when(F.col("segment_id") % 3 == 0, F.col("first_seq") - 70).otherwise(F.col("first_seq"))
+    last = F.when(F.col("segment_id") % 4 == 3, F.lit(1 << 50)).when(F.col("segment_id") % 5 == 2, F.col("last_seq") + 20).otherwise(F.col("last_seq"))
+    m = m.select("log_id", "segment_id", first.alias("first_seq"), last.alias("last_seq"))
+    return segments.covering(c.select("log_id", "seq", "chain_hash"), m)
+
+
+def g8_overlapping_ranges(spark, sf_dir):
+    """Right manifests, and beside each one that claims a slice seven entries on and one with a count of its own."""
+    c = kept(chained(spark, sf_dir), "chain")
+    m = kept(segments.manifests(c, SIZE, SEALED_AT), "manifests")
+    on = m.withColumns({"segment_id": F.col("segment_id") + 100_000, "first_seq": F.col("first_seq") + 7, "last_seq": F.col("last_seq") + 7})
+    more = m.withColumns({"segment_id": F.col("segment_id") + 200_000, "first_seq": F.lit(0).cast("long")}).where("last_seq > 60")
+    return segments.verify_against_log(m.unionByName(on).unionByName(more), c)
+
+
+PATHS_SQL = """
+SELECT p.log_id, p.seq AS entry_seq, p.segment_id, p.leaf_index, p.tree_size, p.merkle_root, array_join(p.audit_path, ',') AS audit_path,
+  verify_audit_path(tree_leaf(p.chain_hash), p.leaf_index, p.tree_size, p.audit_path, p.merkle_root) AS verified
+FROM audit_path(TABLE(
+  SELECT c.log_id, c.seq, c.chain_hash, m.segment_id, m.merkle_root, tree_leaf(c.chain_hash) AS leaf
+  FROM {chain} AS c JOIN {manifests} AS m ON c.log_id = m.log_id AND c.seq DIV {size} + 1 = m.segment_id
+) PARTITION BY (log_id, segment_id) ORDER BY seq) AS p
+"""
+
+
+def k_audit_path(spark, sf_dir):
+    """The same rows as i6_inclusion_proofs by a table function, in one SQL text."""
+    register_sql_functions(spark)
+    c = kept(chained(spark, sf_dir), "chain")
+    return spark.sql(PATHS_SQL, chain=c, manifests=segments.manifests(c, SIZE, SEALED_AT), size=SIZE)
+
+
+CHECKS_SQL = """
+WITH p AS (SELECT o_orderkey, o_custkey, o_orderpriority, lpad(CAST(o_orderkey * 104729 % 10000000000 AS STRING), 10, '0') AS ten FROM parquet.`{dir}/orders.parquet`),
+c AS (SELECT *, (10 - aggregate(transform(array(1, 3, 7, 9, 1, 3, 7, 9, 1, 3), (w, i) -> w * CAST(substr(ten, i + 1, 1) AS INT)), 0, (a, x) -> a + x) % 10 + o_orderkey % 3) % 10 AS digit FROM p),
+b AS (SELECT c_custkey, lpad(CAST(2100 + c_custkey AS STRING), 12, '0') AS body FROM parquet.`{dir}/customer.parquet`),
+a AS (SELECT c_custkey, concat('PL', lpad(CAST(IF(c_custkey % 3 = 0, 98 - CAST(CAST(concat(body, '252100') AS DECIMAL(38, 0)) % 97 AS INT), c_custkey % 100) AS STRING), 2, '0'), ' ', body) AS text FROM b),
+l AS (SELECT o_orderkey, tree_leaf(sha2(CAST(o_orderkey AS STRING), 256)) AS x, tree_leaf(sha2(CAST(o_custkey AS STRING), 256)) AS y, tree_leaf(sha2(o_orderpriority, 256)) AS z FROM p),
+t AS (SELECT *, lower(hex(tree_node(tree_node(x, y), z))) AS root, lower(hex(x)) AS hx, lower(hex(y)) AS hy, lower(hex(z)) AS hz FROM l)
+SELECT 'pesel' AS kind, o_orderkey AS id, concat(ten, CAST(digit AS STRING)) AS text, pesel_ok(concat(ten, CAST(digit AS STRING))) AS ok FROM c
+UNION ALL SELECT 'iban', c_custkey, text, iban_ok(text) FROM a
+UNION ALL SELECT 'luhn', o_orderkey, concat_ws('-', ten, CAST(o_custkey AS STRING)), luhn_ok(concat_ws('-', ten, CAST(o_custkey AS STRING))) FROM p
+UNION ALL SELECT 'path', o_orderkey, root, verify_audit_path(CASE o_orderkey % 3 WHEN 0 THEN x WHEN 1 THEN y ELSE z END, o_orderkey % 3, IF(o_orderkey % 7 = 0, 4, 3),
+  CASE o_orderkey % 3 WHEN 0 THEN array(hy, hz) WHEN 1 THEN array(hx, IF(o_orderkey % 5 = 0, hy, hz)) ELSE array(lower(hex(tree_node(x, y)))) END, root) FROM t
+"""
+
+
+def k_sql_checks(spark, sf_dir):
+    """Checksums and tree paths in one SQL text over the tables' files."""
+    register_sql_functions(spark)
+    return spark.sql(CHECKS_SQL.replace("{dir}", sf_dir))
+
+
 def j7_sealing_resumed(spark, sf_dir):
     """Logs sealed up to a point, then taken up again from log and manifests: the same manifests as in one go."""
-    c = chained(spark, sf_dir)
+    c = kept(chained(spark, sf_dir), "chain")
     first = segments.manifests(c.where("seq < 125"), SIZE, SEALED_AT, keep_open=True)
     both = first.unionByName(segments.manifests(c, SIZE, SEALED_AT, after=first))
     return both.select("log_id", "segment_id", "first_seq", "last_seq", "entry_count", "merkle_root", "prev_merkle_root", "prev_segment_chain_hash", "segment_chain_hash")
 
 
 def e14_unsealed_tail(spark, sf_dir):
-    c = chained(spark, sf_dir)
+    c = kept(chained(spark, sf_dir), "chain")
     return segments.unsealed(c, segments.manifests(c, SIZE, SEALED_AT, keep_open=True)).select("log_id", "seq")
 
 
 def f6_seal_counts(spark, sf_dir):
-    c = chained(spark, sf_dir)
+    c = kept(chained(spark, sf_dir), "chain")
     return segments.seal_counts(c, segments.manifests(c, SIZE, SEALED_AT, keep_open=True))
 
 
@@ -296,26 +357,45 @@ def c21_stamp_requests(spark, sf_dir):
     return m.select("log_id", "segment_id", to_hex(stamp_request(stamp_imprint(F.col("segment_chain_hash")))).alias("request"))
 
 
+def _stream(spark, folder: str, name: str, rows: DataFrame, initial: DataFrame | None = None) -> DataFrame:
+    """What the streaming sealer makes of rows, through files; each name has a checkpoint of its own."""
+    rows.write.parquet(f"{folder}/{name}-in")
+    out = seal_stream(spark.readStream.schema(rows.schema).parquet(f"{folder}/{name}-in"), SIZE, 0, SEALED_AT, initial)
+    q = out.writeStream.format("parquet").option("path", f"{folder}/{name}-out").option("checkpointLocation", f"{folder}/{name}-check").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(SEALED).parquet(f"{folder}/{name}-out")
+
+
+def _arrivals(spark, sf_dir) -> DataFrame:
+    return entry_rows(spark, sf_dir).withColumnRenamed("event_id", "order_key")
+
+
 def j5_stream_seal(spark, sf_dir):
     """The same logs through the streaming sealer, read back as manifests."""
-    import os
+    done = _stream(spark, shared_folder(spark, "stream"), "one", _arrivals(spark, sf_dir).drop("seq")).where("kind = 'manifest'")
+    return done.select("log_id", "segment_id", "first_seq", "last_seq", "entry_count", "merkle_root", "segment_chain_hash")
 
-    from sealwright.streaming.sealing import seal_stream
 
-    folder = shared_folder(spark, "stream")
-    rows = entry_rows(spark, sf_dir).withColumnRenamed("event_id", "order_key").drop("seq")
-    rows.write.parquet(os.path.join(folder, "in"))
-    out = seal_stream(spark.readStream.schema(rows.schema).parquet(os.path.join(folder, "in")), SIZE, 0, SEALED_AT)
-    q = out.writeStream.format("parquet").option("path", os.path.join(folder, "out")).option("checkpointLocation", os.path.join(folder, "check")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    done = spark.read.parquet(os.path.join(folder, "out")).where("kind = 'manifest'")
-    return done.select("log_id", "segment_id", "first_seq", "last_seq", "entry_count", "merkle_root", "segment_chain_hash")
+def j_state_resume(spark, sf_dir):
+    """A sealer that stops inside segments; another one takes its logs up from entries and manifests, and is flushed at the end: all manifests, as if sealed in one go."""
+    from pyspark.sql import Window
+
+    folder, rows = shared_folder(spark, "resume"), _arrivals(spark, sf_dir)
+    rows = rows.withColumn("early", F.col("seq") * 2 < F.count("*").over(Window.partitionBy("log_id")))
+    first = _stream(spark, folder, "first", rows.where("early").drop("seq", "early"))
+    sealed_before = first.where("kind = 'manifest'")
+    state = resume_state(first.where("kind = 'entry'"), sealed_before)
+    rest = rows.where("NOT early").drop("seq", "early").withColumn("flush", F.lit(False))
+    ends = rows.select("log_id").distinct().withColumn("flush", F.lit(True))
+    second = _stream(spark, folder, "second", rest.unionByName(ends, allowMissingColumns=True), state)
+    both = sealed_before.unionByName(second.where("kind = 'manifest'"))
+    return both.select("log_id", "segment_id", "first_seq", "last_seq", "entry_count", "merkle_root", "prev_merkle_root", "prev_segment_chain_hash", "segment_chain_hash")
 
 
 _ALL = [
     b2_nfkc_shadow, b6_shadow_normalize, a1_log_round_trip, j7_sealing_resumed, c4_interaction_hashes, d2_pesel_check, d3_iban_check, e2_first_match, e5_violations_finance, e7_decide_finance, e7_decide_medtech, e7_decide_hr,
     e11_unknown_packs, f5_decision_counts, f9_rule_hits, f3_chain_build, i1_chain_verify, h4_first_breaks, a2_heads, f4_segment_summary, f1_merkle_roots, f1_deep_merkle_roots,
-    c18_segment_chain, i3_segment_verify, i4_manifest_vs_log, i6_inclusion_proofs, e14_unsealed_tail, f6_seal_counts, i2_lineage, i9_verify_stamps, f8_stamp_summary, c21_stamp_requests, j5_stream_seal,
+    c18_segment_chain, i3_segment_verify, i4_manifest_vs_log, i6_inclusion_proofs, e14_unsealed_tail, f6_seal_counts, i2_lineage, i9_verify_stamps, f8_stamp_summary, c21_stamp_requests, j5_stream_seal, j_state_resume, k_audit_path, k_sql_checks, i6_deep_proofs, g5_covering, g8_overlapping_ranges,
 ]
 
 

@@ -154,7 +154,38 @@ w AS (SELECT q.log_id, q.entry_seq, string_agg(lower(hex(lv.h)), ',' ORDER BY lv
   AND lv.idx = CASE WHEN (leaf_index >> lv.lvl) % 2 = 0 THEN (leaf_index >> lv.lvl) + 1 ELSE (leaf_index >> lv.lvl) - 1 END GROUP BY 1, 2)
 SELECT q.log_id, q.entry_seq, q.segment_id, q.leaf_index, m.entry_count AS tree_size, m.merkle_root, coalesce(w.audit_path, '') AS audit_path, true AS verified
 FROM q JOIN m USING (log_id, segment_id) LEFT JOIN w ON w.log_id = q.log_id AND w.entry_seq = q.entry_seq"""
+    deep = f"""{_CHAIN}, {_levels('0')},
+w AS (SELECT c.log_id, c.seq, string_agg(lower(hex(lv.h)), ',' ORDER BY lv.lvl) AS audit_path FROM c JOIN lv ON lv.log_id = c.log_id AND lv.n > 1
+  AND lv.idx = CASE WHEN (seq >> lv.lvl) % 2 = 0 THEN (seq >> lv.lvl) + 1 ELSE (seq >> lv.lvl) - 1 END GROUP BY 1, 2)
+SELECT c.log_id, c.seq AS leaf_index, a.n AS tree_size, lower(hex(b.h)) AS merkle_root, coalesce(w.audit_path, '') AS audit_path, true AS verified
+FROM c JOIN lv a ON a.log_id = c.log_id AND a.lvl = 0 AND a.idx = 0 JOIN lv b ON b.log_id = c.log_id AND b.n = 1 LEFT JOIN w ON w.log_id = c.log_id AND w.seq = c.seq"""
+    leaf = lambda x: f"unhex(sha256('\\x00'::BLOB || unhex(sha256({x}))))"
+    right = "lpad(CAST(98 - CAST(body || '252100' AS HUGEINT) % 97 AS VARCHAR), 2, '0')"
+    spaced = "replace(text, ' ', '')"
+    checks = f"""
+p AS (SELECT o_orderkey, o_custkey, o_orderpriority, lpad(CAST(o_orderkey * 104729 % 10000000000 AS VARCHAR), 10, '0') AS ten FROM orders),
+c AS (SELECT o_orderkey, ten || CAST(({_check("ten")} + o_orderkey % 3) % 10 AS VARCHAR) AS text FROM p),
+b AS (SELECT c_custkey, lpad(CAST(2100 + c_custkey AS VARCHAR), 12, '0') AS body FROM customer),
+a AS (SELECT c_custkey, 'PL' || CASE WHEN c_custkey % 3 = 0 THEN {right} ELSE lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') END || ' ' || body AS text FROM b),
+n AS (SELECT o_orderkey, ten || '-' || o_custkey AS text FROM p),
+t AS (SELECT o_orderkey, sha256('\x01'::BLOB || unhex(sha256('\x01'::BLOB || {leaf("CAST(o_orderkey AS VARCHAR)")} || {leaf("CAST(o_custkey AS VARCHAR)")})) || {leaf("o_orderpriority")}) AS root FROM p)
+SELECT 'pesel' AS kind, o_orderkey AS id, text, {_pesel("text")} AS ok FROM c
+UNION ALL SELECT 'iban', c_custkey, text, {_iban(spaced)} FROM a
+UNION ALL SELECT 'luhn', o_orderkey, text, {_luhn("text")} FROM n
+UNION ALL SELECT 'path', o_orderkey, root, CASE o_orderkey % 3 WHEN 2 THEN o_orderkey % 7 <> 0 WHEN 1 THEN o_orderkey % 5 <> 0 ELSE true END FROM t"""
     return {
+        "i6_deep_proofs": _R + deep,
+        "g5_covering": f"""{_R}{_CHAIN},
+k AS (SELECT log_id, {_SEG} AS segment_id, min(seq) AS a, max(seq) AS z FROM c GROUP BY 1, 2 HAVING segment_id % 6 <> 5),
+f AS (SELECT log_id, segment_id, CASE WHEN segment_id % 3 = 0 THEN a - 70 ELSE a END AS a, CASE WHEN segment_id % 4 = 3 THEN 1125899906842624 WHEN segment_id % 5 = 2 THEN z + 20 ELSE z END AS z FROM k)
+SELECT c.log_id, c.seq, c.chain_hash, min(segment_id) AS segment_id FROM c JOIN f ON c.log_id = f.log_id AND seq BETWEEN a AND z GROUP BY ALL""",
+        "g8_overlapping_ranges": f"""{_R}{_CHAIN},
+k AS (SELECT log_id, {_SEG} AS segment_id, max(seq) AS z FROM c GROUP BY 1, 2), n AS (SELECT log_id, count(*) AS n FROM c GROUP BY 1)
+SELECT log_id, segment_id, 'OK' AS status FROM k
+UNION ALL SELECT log_id, segment_id + 100000, CASE WHEN z + 7 < n THEN 'ROOT_MISMATCH' ELSE 'OUT_OF_RANGE' END FROM k JOIN n USING (log_id)
+UNION ALL SELECT log_id, segment_id + 200000, CASE WHEN segment_id = 1 THEN 'OK' ELSE 'COUNT_MISMATCH' END FROM k WHERE z > 60""",
+        "k_audit_path": _R + proofs,
+        "k_sql_checks": f"WITH {checks}",
         "b6_shadow_normalize": f"WITH x AS (SELECT doc_id, {_shadow(f"'{hidden}' || coalesce(text, '')")} AS s FROM documents) SELECT doc_id, substr(s, 1, 20) AS head, sha256(s) AS shadow_hash FROM x",
         "c4_interaction_hashes": f"WITH x AS (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations) SELECT conv_id, turn, sha256({chat}) AS input_hash, sha256({_shadow(chat)}) AS shadow_hash FROM x WHERE role = 'user'",
         "d2_pesel_check": f"WITH x AS (SELECT o_orderkey, {_pesel_text('o_orderkey')} AS t FROM orders) SELECT o_orderkey, t, {_pesel('t')} AS ok FROM x",
@@ -176,6 +207,7 @@ FROM q JOIN m USING (log_id, segment_id) LEFT JOIN w ON w.log_id = q.log_id AND
         "f1_deep_merkle_roots": f"{_R}{_CHAIN}, {_levels('0')} SELECT a.log_id, a.n, lower(hex(b.h)) AS merkle_root FROM lv a JOIN lv b ON a.log_id = b.log_id AND b.n = 1 WHERE a.lvl = 0 AND a.idx = 0",
         "c18_segment_chain": f"{_R}{_MANIFESTS} SELECT log_id, segment_id, first_seq, last_seq, entry_count, merkle_root, prev_merkle_root, prev_segment_chain_hash, segment_chain_hash FROM m",
         "j7_sealing_resumed": f"{_R}{_MANIFESTS} SELECT log_id, segment_id, first_seq, last_seq, entry_count, merkle_root, prev_merkle_root, prev_segment_chain_hash, segment_chain_hash FROM m",
+        "j_state_resume": f"{_R}{_MANIFESTS} SELECT log_id, segment_id, first_seq, last_seq, entry_count, merkle_root, prev_merkle_root, prev_segment_chain_hash, segment_chain_hash FROM m",
         "b2_nfkc_shadow": "SELECT n_nationkey, i, s FROM nation CROSS JOIN (VALUES " + ", ".join(f"({i}, '{want}')" for i, (_, want) in enumerate(NFKC_TEXTS)) + ") AS v(i, s)",
         "a1_log_round_trip": f"{_R}{_CHAIN} SELECT seq, 'id-' || seq AS audit_id, decision, context, timestamp, chain_hash FROM c JOIN e USING (log_id, seq) WHERE log_id = '3'",
         "i3_segment_verify": _R + segment_verify,
