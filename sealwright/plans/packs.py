@@ -9,21 +9,17 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 from sealwright.errors import PackError
 from sealwright.functions.validators import VALIDATORS
+from sealwright.plans.dialect import PatternError, parse, to_java
 from sealwright.plans.signing import Signers, verify
 
 BUILT_IN = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "packs")
 SHIPPED = ("finance-v1", "medtech-v1", "hr-bias-v1")
-_CLASSES = {"alpha": "Alpha", "digit": "Digit", "alnum": "Alnum", "upper": "Upper", "lower": "Lower", "space": "Space", "punct": "Punct", "xdigit": "XDigit", "word": "Word"}
-_REFUSED = [(r"\(\?(?:[=!]|<[=!])", "look-around"), (r"\\[1-9]", "back-reference"), (r"\\k<", "back-reference"), (r"\(\?>", "atomic group"), (r"(?:[*+?]|\{\d+(?:,\d*)?\})\+", "doubled quantifier")]
-
-
 @dataclass(frozen=True)
 class Rule:
     id: str
@@ -43,22 +39,11 @@ class Pack:
 
 
 def compile_pattern(pattern: str, where: str = "pattern") -> str:
-    """The same pattern for Java: any case, Unicode classes, only line feeds end lines.
-
-    What a linear-time engine doesn't have is refused; an unescaped $ means the end of the text.
-    """
-    bare = re.sub(r"\\\\", "", pattern)
-    for bad, what in _REFUSED:
-        if re.search(bad, bare):
-            raise PackError(f"{where}: {what} isn't supported: {pattern}")
-    out = pattern.replace("(?P<", "(?<")
-    out = re.sub(r"\[:(\w+):\]", lambda m: r"\p{" + _CLASSES[m[1]] + "}" if m[1] in _CLASSES else m[0], out)
-    out = re.sub(r"\\.|\[(?:\\.|[^\]\\])*\]|\$", lambda m: r"\z" if m[0] == "$" else m[0], out, flags=re.S)
+    """The same pattern for Java, any case; see plans.dialect. What the dialect doesn't have is refused."""
     try:
-        re.compile(re.sub(r"\\[pP]\{\w+\}", "x", out.replace(r"\z", "$").replace("(?<", "(?P<")))
-    except re.error as e:
+        return "(?iuUd)" + to_java(parse(pattern))
+    except PatternError as e:
         raise PackError(f"{where}: {e}: {pattern}") from e
-    return "(?iuUd)" + out
 
 
 def parse_pack(data: bytes, stem: str) -> Pack:

@@ -12,8 +12,9 @@ from sealwright.functions.normalize import shadow
 from sealwright.functions.sqlfunctions import register_sql_functions
 from sealwright.functions.validators import iban, luhn, pesel
 from sealwright.operators import chain, decide, evidence, merkle, segments
+from sealwright.operators.manyrules import evaluate_many
 from sealwright.model import ENTRY
-from sealwright.plans.packs import compile_pattern, load_packs
+from sealwright.plans.packs import Pack, Rule, compile_pattern, load_packs
 from sealwright.shared import kept, shared_folder
 from sealwright.sources.logs import LogWriter, read_log
 from sealwright.streaming.sealing import SEALED, resume_state, seal_stream
@@ -274,6 +275,33 @@ def g8_overlapping_ranges(spark, sf_dir):
     return segments.verify_against_log(m.unionByName(on).unionByName(more), c)
 
 
+SYLLABLES = ["th", "er", "on", "an", "re", "in", "ed", "nd", "ha", "at", "en", "es", "tion"]  # a word of three of them has one spelling
+
+
+def g9_many_rules(spark, sf_dir):
+    """A pack of a rule for each word of three syllables (2,197 rules): how many documents each one hits."""
+    from itertools import product
+
+    rules = tuple(Rule(w, rf"\b{w}\b", "review", 0.5) for w in map("".join, product(SYLLABLES, repeat=3)))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = d.select("doc_id", F.lit("Desk").alias("context"), F.coalesce("text", F.lit("")).alias("prompt"), F.lit("ok").alias("response"), F.lit("words").alias("policy_set"))
+    return decide.rule_hits(evaluate_many(rows, {"words": Pack("words", "1", "0", rules)})).select("rule", "n")
+
+
+# Patterns of the dialect that no other engine here reads as they stand.
+DIALECT = [
+    r"[a-z&&[^aeiou]]{4}", r"[[:alpha:]--[a-f]]{3}\d", r"(?-i)\b\p{Lu}{2}", r"(?-u:\b)the(?-u:\b)", r"(?m-i)^[[:upper:]]", r"(?-i)\p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+ ", r"[[:^ascii:]]", r"e{2}|t{2,}?h",
+    r"(?x) (?: \d{3} ) - # three and four\n \d{4}", r"[a-c~~b-d]n[d-f--e]", r"(?P<end>[^\w\s]+)$", r"a++ n",
+]
+
+
+def e8_dialect(spark, sf_dir):
+    """How many documents each of the dialect's patterns matches, all in one pass."""
+    d = spread(table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("t")))
+    counts = d.agg(*(F.count_if(F.col("t").rlike(compile_pattern(p.replace("\\n", "\n")))).alias(f"c{i}") for i, p in enumerate(DIALECT)))
+    return counts.select(F.posexplode(F.array(*(f"c{i}" for i in range(len(DIALECT)))))).select(F.col("pos").alias("pattern"), F.col("col").alias("n"))
+
+
 PATHS_SQL = """
 SELECT p.log_id, p.seq AS entry_seq, p.segment_id, p.leaf_index, p.tree_size, p.merkle_root, array_join(p.audit_path, ',') AS audit_path,
   verify_audit_path(tree_leaf(p.chain_hash), p.leaf_index, p.tree_size, p.audit_path, p.merkle_root) AS verified
@@ -395,7 +423,7 @@ def j_state_resume(spark, sf_dir):
 _ALL = [
     b2_nfkc_shadow, b6_shadow_normalize, a1_log_round_trip, j7_sealing_resumed, c4_interaction_hashes, d2_pesel_check, d3_iban_check, e2_first_match, e5_violations_finance, e7_decide_finance, e7_decide_medtech, e7_decide_hr,
     e11_unknown_packs, f5_decision_counts, f9_rule_hits, f3_chain_build, i1_chain_verify, h4_first_breaks, a2_heads, f4_segment_summary, f1_merkle_roots, f1_deep_merkle_roots,
-    c18_segment_chain, i3_segment_verify, i4_manifest_vs_log, i6_inclusion_proofs, e14_unsealed_tail, f6_seal_counts, i2_lineage, i9_verify_stamps, f8_stamp_summary, c21_stamp_requests, j5_stream_seal, j_state_resume, k_audit_path, k_sql_checks, i6_deep_proofs, g5_covering, g8_overlapping_ranges,
+    c18_segment_chain, i3_segment_verify, i4_manifest_vs_log, i6_inclusion_proofs, e14_unsealed_tail, f6_seal_counts, i2_lineage, i9_verify_stamps, f8_stamp_summary, c21_stamp_requests, j5_stream_seal, j_state_resume, k_audit_path, k_sql_checks, i6_deep_proofs, g5_covering, g8_overlapping_ranges, g9_many_rules, e8_dialect,
 ]
 
 

@@ -88,6 +88,13 @@ c(log_id, seq, prev_hash, chain_hash) AS (
 """
 
 
+# the patterns of e8_dialect as RE2 reads them
+_RE2 = [
+    "(?i)[bcdfghj-np-tv-z]{4}", "(?i)[g-z]{3}[0-9]", r"(?:^|[^\p{L}\p{M}\p{N}_])\p{Lu}{2}", r"(?i)\bthe\b", "(?m)^[A-Z]", r"\p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+ ", r"[^\x00-\x7F]", "(?i)e{2}|t{2}h",
+    "[0-9]{3}-[0-9]{4}", "(?i)[ad]n[df]", r"[^\p{L}\p{M}\p{N}_\s]+\z", "(?i)a+ n",
+]
+
+
 def _levels(segment: str) -> str:
     """Tree levels (log_id, segment, lvl, idx, h, n) over the chain."""
     return f"""
@@ -174,6 +181,10 @@ UNION ALL SELECT 'iban', c_custkey, text, {_iban(spaced)} FROM a
 UNION ALL SELECT 'luhn', o_orderkey, text, {_luhn("text")} FROM n
 UNION ALL SELECT 'path', o_orderkey, root, CASE o_orderkey % 3 WHEN 2 THEN o_orderkey % 7 <> 0 WHEN 1 THEN o_orderkey % 5 <> 0 ELSE true END FROM t"""
     return {
+        "g9_many_rules": f"""WITH s AS (SELECT doc_id, {_shadow("'Desk ' || coalesce(text, '') || ' ok'")} AS s FROM documents),
+w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(s, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS rule FROM s)
+SELECT rule, count(*) AS n FROM w WHERE regexp_full_match(rule, '(?:th|er|on|an|re|in|ed|nd|ha|at|en|es|tion){{3}}') GROUP BY rule""",
+        "e8_dialect": "WITH d AS (SELECT coalesce(text, '') AS t FROM documents), p(pattern, re) AS (VALUES " + ", ".join(f"({i}, '{p}')" for i, p in enumerate(_RE2)) + ") SELECT CAST(pattern AS INTEGER) AS pattern, (SELECT count(*) FROM d WHERE regexp_matches(t, re)) AS n FROM p",
         "i6_deep_proofs": _R + deep,
         "g5_covering": f"""{_R}{_CHAIN},
 k AS (SELECT log_id, {_SEG} AS segment_id, min(seq) AS a, max(seq) AS z FROM c GROUP BY 1, 2 HAVING segment_id % 6 <> 5),
