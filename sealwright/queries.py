@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sealwright.functions.hashing import chain_digest, from_hex, sha256_hex, stamp_imprint, stamp_request, to_hex
@@ -16,8 +16,11 @@ from sealwright.operators.manyrules import evaluate_many
 from sealwright.model import ENTRY
 from sealwright.plans.packs import Pack, Rule, compile_pattern, load_packs
 from sealwright.shared import kept, shared_folder
+from sealwright.sources.committed import AuditLogs
 from sealwright.sources.logs import LogWriter, read_log
+from sealwright.streaming.counters import Counters, observe_decisions, observe_seals, totals_of
 from sealwright.streaming.sealing import SEALED, resume_state, seal_stream
+from sealwright.streaming.stamping import StampSink, answers, stamp_stream, stored_stamps
 
 SIZE = 50  # entries of a segment
 SEALED_AT = "2024-01-01T00:00:00Z"
@@ -54,8 +57,6 @@ def b2_nfkc_shadow(spark, sf_dir):
 
 def c4_interaction_hashes(spark, sf_dir):
     """A user's turn with the turn after it."""
-    from pyspark.sql import Window
-
     c = table(spark, sf_dir, "conversations")
     c = c.withColumn("answer", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("role = 'user'")
     original = F.concat(F.lit("chat "), F.col("text"), F.lit(" "), F.coalesce("answer", F.lit("")))
@@ -187,6 +188,19 @@ def a1_log_round_trip(spark, sf_dir):
     return read_log(spark, path).select("seq", "audit_id", "decision", "context", "timestamp", "chain_hash")
 
 
+def a7_committed_logs(spark, sf_dir):
+    """All logs appended in three commits, each from the heads that the one before left, and read back."""
+    logs = AuditLogs(spark, shared_folder(spark, "logs"))
+    rows = kept(entry_rows(spark, sf_dir), "entries").drop("seq")
+    full = rows.select(F.lit("audit.v1").alias("schema"), "*", F.concat(F.lit("id-"), F.col("event_id").cast("string")).alias("audit_id"), F.array().cast(ENTRY["violations"].dataType).alias("violations"))
+    thirds = F.ntile(3).over(Window.partitionBy("log_id").orderBy("event_id"))
+    parts = kept(full.withColumn("part", thirds), "parts")
+    for i in (1, 2, 3):
+        logs.append(parts.where(F.col("part") == i).drop("part"), ["event_id"])
+    heads = logs.heads().withColumnRenamed("chain_hash", "head")
+    return logs.read().join(heads, "log_id").select("log_id", "seq", "audit_id", "decision", "context", "timestamp", "prev_hash", "chain_hash", "next_seq", "head")
+
+
 def i1_chain_verify(spark, sf_dir):
     return chain.verify_chain(tampered(spark, sf_dir)).select("log_id", "pos", "status")
 
@@ -406,8 +420,6 @@ def j5_stream_seal(spark, sf_dir):
 
 def j_state_resume(spark, sf_dir):
     """A sealer that stops inside segments; another one takes its logs up from entries and manifests, and is flushed at the end: all manifests, as if sealed in one go."""
-    from pyspark.sql import Window
-
     folder, rows = shared_folder(spark, "resume"), _arrivals(spark, sf_dir)
     rows = rows.withColumn("early", F.col("seq") * 2 < F.count("*").over(Window.partitionBy("log_id")))
     first = _stream(spark, folder, "first", rows.where("early").drop("seq", "early"))
@@ -420,10 +432,55 @@ def j_state_resume(spark, sf_dir):
     return both.select("log_id", "segment_id", "first_seq", "last_seq", "entry_count", "merkle_root", "prev_merkle_root", "prev_segment_chain_hash", "segment_chain_hash")
 
 
+def authority(request: bytes) -> bytes:
+    """A stand-in for a time-stamp authority: for some digests it isn't there, for some it answers about another one."""
+    digest = request[24:56]
+    if digest[0] % 4 == 0:
+        raise ConnectionError("no answer")
+    return b"\x30\x82" + (b"\x04\x20" + (bytes(32) if digest[0] % 4 == 1 else digest)) + b"\x00"
+
+
+def _stamped(spark, sf_dir, counters=None) -> str:
+    """Manifests through the stamping stream in several batches, the first one twice; the folder of the answers."""
+    folder, m = shared_folder(spark, "stamps"), kept(sealed(spark, sf_dir), "manifests")
+    for part in (m.where("segment_id % 2 = 0"), m.where("segment_id % 3 <> 1")):
+        part.repartition(2).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    stamp_stream(stream, authority, f"{folder}/out", f"{folder}/check", counters, availableNow=True).awaitTermination()
+    StampSink(f"{folder}/out", authority)(m, 0)  # a batch replayed
+    return f"{folder}/out"
+
+
+def j8_stamp_stream(spark, sf_dir):
+    """Which segments have a stored stamp, how often it is stored, and whether it verifies."""
+    m = sealed(spark, sf_dir)
+    folder = _stamped(spark, sf_dir)
+    kept_once = answers(spark, folder).groupBy("log_id", "segment_id").agg(F.count_if(F.col("status") == "stored").alias("stored"), F.min("error").alias("error"))
+    checked = evidence.verify_stamps(m, stored_stamps(spark, folder))
+    return checked.join(kept_once, ["log_id", "segment_id"], "left")
+
+
+def l6_observed_counters(spark, sf_dir):
+    """Counters of one batch of decisions, of one stream of seals and of one of stamps, as their plans observe them."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    observe_decisions(finance_rows(spark, sf_dir), seen).write.format("noop").mode("overwrite").save()
+    folder, rows = shared_folder(spark, "counted"), _arrivals(spark, sf_dir).drop("seq")
+    rows.write.parquet(f"{folder}/in")
+    out = observe_seals(seal_stream(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), SIZE, 0, SEALED_AT))
+    q = out.writeStream.format("noop").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start()
+    q.awaitTermination()
+    stamps = Counters()
+    _stamped(spark, sf_dir, stamps)
+    found = {"decisions": seen.get} | totals_of(q) | stamps.totals()
+    return spark.createDataFrame([(name, k, int(v)) for name, own in found.items() for k, v in own.items()], "counter string, metric string, n long")
+
+
 _ALL = [
     b2_nfkc_shadow, b6_shadow_normalize, a1_log_round_trip, j7_sealing_resumed, c4_interaction_hashes, d2_pesel_check, d3_iban_check, e2_first_match, e5_violations_finance, e7_decide_finance, e7_decide_medtech, e7_decide_hr,
     e11_unknown_packs, f5_decision_counts, f9_rule_hits, f3_chain_build, i1_chain_verify, h4_first_breaks, a2_heads, f4_segment_summary, f1_merkle_roots, f1_deep_merkle_roots,
-    c18_segment_chain, i3_segment_verify, i4_manifest_vs_log, i6_inclusion_proofs, e14_unsealed_tail, f6_seal_counts, i2_lineage, i9_verify_stamps, f8_stamp_summary, c21_stamp_requests, j5_stream_seal, j_state_resume, k_audit_path, k_sql_checks, i6_deep_proofs, g5_covering, g8_overlapping_ranges, g9_many_rules, e8_dialect,
+    c18_segment_chain, i3_segment_verify, i4_manifest_vs_log, i6_inclusion_proofs, e14_unsealed_tail, f6_seal_counts, i2_lineage, i9_verify_stamps, f8_stamp_summary, c21_stamp_requests, j5_stream_seal, j_state_resume, k_audit_path, k_sql_checks, i6_deep_proofs, g5_covering, g8_overlapping_ranges, g9_many_rules, e8_dialect, j8_stamp_stream, l6_observed_counters, a7_committed_logs,
 ]
 
 

@@ -27,25 +27,31 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.join(pieces.select("file", "start", "low", "before"), ["file", "start"]).select("value", "file", (F.col("before") + F.col("id") - F.col("low") + 1).alias("line"))
 
 
-def read_log(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Entries of a JSON-lines log with file, line (from 1) and pos (from 0, blank lines skipped), file by file.
+def parse_entries(lines: DataFrame, strict: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """Lines (value, file, line and the columns to keep) as entries.
 
     Unknown fields are ignored. A line that isn't JSON, or lacks a field, is an error that names the
     first such line; with strict=False such lines come back with a problem instead.
     """
-    from pyspark.sql import Window
-
-    lines = read_lines(spark, path).where(F.trim("value") != "")
-    rows = lines.select("file", "line", F.from_json("value", _with_corrupt(), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("e"), "value")
+    own = [*(keep or []), "file", "line"]
+    rows = lines.select(*own, F.from_json("value", _with_corrupt(), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("e"), "value")
     lost = [F.when(F.col(f"e.{c}").isNull(), F.lit(c)) for c in ENTRY_REQUIRED]
     missing = F.array_compact(F.array(*lost))
     problem = F.when(F.col("e._corrupt").isNotNull() | F.col("e").isNull(), "not JSON").when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ", ")))
-    rows = rows.select("file", "line", "e.*", problem.alias("problem")).drop("_corrupt")
+    rows = rows.select(*own, "e.*", problem.alias("problem")).drop("_corrupt")
     if strict:
         bad = rows.where("problem IS NOT NULL").orderBy("file", "line").limit(1).collect()
         if bad:
             raise LogParseError(f"{bad[0]['file']}, line {bad[0]['line']}: {bad[0]['problem']}")
         rows = rows.drop("problem")
+    return rows
+
+
+def read_log(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Entries of a JSON-lines log with file, line (from 1) and pos (from 0, blank lines skipped), file by file; see parse_entries."""
+    from pyspark.sql import Window
+
+    rows = parse_entries(read_lines(spark, path).where(F.trim("value") != ""), strict)
     return rows.withColumn("pos", F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1)
 
 

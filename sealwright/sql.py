@@ -181,6 +181,23 @@ UNION ALL SELECT 'iban', c_custkey, text, {_iban(spaced)} FROM a
 UNION ALL SELECT 'luhn', o_orderkey, text, {_luhn("text")} FROM n
 UNION ALL SELECT 'path', o_orderkey, root, CASE o_orderkey % 3 WHEN 2 THEN o_orderkey % 7 <> 0 WHEN 1 THEN o_orderkey % 5 <> 0 ELSE true END FROM t"""
     return {
+        "a7_committed_logs": f"""{_R}{_CHAIN}, h AS (SELECT log_id, max(seq) + 1 AS next_seq, arg_max(chain_hash, seq) AS head FROM c GROUP BY log_id)
+SELECT log_id, seq, 'id-' || event_id AS audit_id, decision, context, timestamp, prev_hash, chain_hash, next_seq, head FROM c JOIN e USING (log_id, seq) JOIN h USING (log_id)""",
+        "j8_stamp_stream": f"""{_R}{_MANIFESTS}, a AS (SELECT log_id, segment_id, segment_id % 2 = 0 OR segment_id % 3 <> 1 AS asked, CAST('0x' || substr(segment_chain_hash, 2, 1) AS INTEGER) % 4 AS d FROM m)
+SELECT log_id, segment_id, CASE WHEN asked AND d > 1 THEN 'ok' ELSE 'missing' END AS status, CASE WHEN asked THEN CAST(d > 1 AS BIGINT) END AS stored,
+  CASE WHEN asked AND d = 0 THEN 'ConnectionError: no answer' WHEN asked AND d = 1 THEN 'ValueError: the answer is for another digest' END AS error FROM a""",
+        "l6_observed_counters": f"""{_R}{_MANIFESTS},
+a AS (SELECT log_id, segment_id, CAST(segment_id % 2 = 0 AS INTEGER) + CAST(segment_id % 3 <> 1 AS INTEGER) AS asked, CAST('0x' || substr(segment_chain_hash, 2, 1) AS INTEGER) % 4 AS d FROM m),
+x AS (SELECT unnest(['allow', 'review', 'deny']) AS metric)
+SELECT * FROM (WITH {_FINANCE}
+  SELECT 'decisions' AS counter, 'requests' AS metric, count(*) AS n FROM g
+  UNION ALL SELECT 'decisions', 'rejected', 0
+  UNION ALL SELECT 'decisions', metric, (SELECT count(*) FROM g WHERE lower(decision) = metric) FROM x)
+UNION ALL SELECT 'seals', 'entries', count(*) FROM c
+UNION ALL SELECT 'seals', 'segments_sealed', count(*) FROM m WHERE entry_count = {SIZE}
+UNION ALL SELECT 'seals', 'entries_sealed', CAST(coalesce(sum(entry_count), 0) AS BIGINT) FROM m WHERE entry_count = {SIZE}
+UNION ALL SELECT 'stamps', 'stored', count(*) FROM a WHERE asked > 0 AND d > 1
+UNION ALL SELECT 'stamps', 'failed', CAST(coalesce(sum(asked), 0) AS BIGINT) FROM a WHERE d < 2""",
         "g9_many_rules": f"""WITH s AS (SELECT doc_id, {_shadow("'Desk ' || coalesce(text, '') || ' ok'")} AS s FROM documents),
 w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(s, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS rule FROM s)
 SELECT rule, count(*) AS n FROM w WHERE regexp_full_match(rule, '(?:th|er|on|an|re|in|ed|nd|ha|at|en|es|tion){{3}}') GROUP BY rule""",
