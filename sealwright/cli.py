@@ -1,7 +1,7 @@
 """Command line: replay and verify logs and segments, print proofs, check time stamps, make keys and sign packs.
 
 Exit codes: 0 all well, 1 unreadable or unknown, 2 chain broken, 3 other rule packs, 4 segment chain broken,
-5 manifests and log differ, 6 a time stamp is for something else, 78 rule packs can't be trusted.
+5 manifests, proofs and log differ, 6 a time stamp is for something else, 78 rule packs can't be trusted.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from sealwright.operators import chain, evidence, segments
 from sealwright.plans.packs import load_pack
 from sealwright.plans.signing import Signers, keygen, sign
 from sealwright.sources.logs import publish, read_log, read_manifests, read_stamps
+from sealwright.status import status
 
 
 def _as_one_log(df: DataFrame) -> DataFrame:
@@ -62,6 +63,26 @@ def check_manifests(found: DataFrame, log: DataFrame) -> None:
         raise ManifestMismatch(f"segment {bad['segment_id']}: {bad['status']}")
 
 
+def prove(found: DataFrame, log: DataFrame, seq: int) -> dict:
+    """The inclusion proof of the entry at a position. A log that is shorter than the segment, a broken hash in it, or a
+    proof that doesn't lead to the sealed root means that log and manifests differ."""
+    covering = found.where(F.lit(seq).between(F.col("first_seq"), F.col("last_seq"))).orderBy("segment_id")
+    own = covering.first()
+    if own is None:
+        last = found.agg(F.max("last_seq")).first()[0]
+        raise AuditError(f"no segment holds entry {seq}; the last sealed one is {-1 if last is None else last}")
+    slice_ = log.where(F.col("pos").between(own["first_seq"], own["last_seq"])).withColumn("seq", F.col("pos"))
+    held = slice_.agg(F.count("*").alias("n"), F.count_if(~F.col("chain_hash").rlike("^([0-9a-fA-F]{2})*$")).alias("broken")).first()
+    if held["n"] != own["last_seq"] - own["first_seq"] + 1:
+        raise ManifestMismatch(f"segment {own['segment_id']} holds entries {own['first_seq']} to {own['last_seq']}, the log only {log.count()} entries")
+    if held["broken"]:
+        raise ManifestMismatch(f"segment {own['segment_id']}: {held['broken']} entries have no chain hash in hex")
+    got = segments.proofs(slice_, covering.limit(1)).where(F.col("entry_seq") == seq).drop("log_id").first()
+    if not got["verified"]:
+        raise ManifestMismatch(f"the proof of entry {seq} doesn't lead to the root of segment {own['segment_id']}")
+    return got.asDict(recursive=True)
+
+
 def check_stamps(found: DataFrame, stamps: DataFrame, segment_id: int | None) -> dict:
     if segment_id is not None and not found.where(F.col("segment_id") == segment_id).count():
         raise AuditError(f"no segment {segment_id}")
@@ -80,6 +101,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict:
     if args.command == "sign":
         sign(spark, args.key, args.signer, args.files)
         return out | {"signed": len(args.files)}
+    if args.command == "status":
+        return status(args.policies_dir, Signers.load(args.trusted_signers) if s.enforce_signatures else None, s.audit_genesis, s.segment_genesis, spark=spark)
     if args.command in ("replay", "verify", "proof"):
         log = load_log(spark, args.log)
     if args.command == "replay":
@@ -94,11 +117,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict:
         return out
     found = _as_one_log(read_manifests(spark, args.segments))
     if args.command == "proof":
-        own = found.where(F.lit(args.seq).between(F.col("first_seq"), F.col("last_seq"))).orderBy("segment_id").limit(1)
-        got = segments.proofs(log, own).where(F.col("entry_seq") == args.seq).drop("log_id").first()
-        if not got:
-            raise AuditError(f"no segment holds entry {args.seq}")
-        return got.asDict(recursive=True)
+        return prove(found, log, args.seq)
     if args.command == "verify-tst":
         return out | check_stamps(found, _as_one_log(read_stamps(spark, args.segments)), args.segment_id)
     if args.command == "verify":
@@ -131,6 +150,9 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--seq", type=int, required=True)
         if name == "verify-tst":
             c.add_argument("--segment-id", type=int)
+    t = sub.add_parser("status")
+    t.add_argument("--policies-dir", default=s.policies_dir)
+    t.add_argument("--trusted-signers", default=s.trusted_signers_file)
     k = sub.add_parser("keygen")
     k.add_argument("--out", default="policies/signing.key")
     k.add_argument("--signer", required=True)

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sealwright.config import AUDIT_GENESIS
 from sealwright.functions.hashing import CHAIN_FIELDS, chain_digest
@@ -31,29 +32,50 @@ def build_chain(entries: DataFrame, log: str = "log_id", genesis: str = AUDIT_GE
     heads: (log, chain_hash) of logs to be continued; others start from genesis. A log's rows
     stream through one sorted partition, so memory doesn't grow with the log. Fields must not be null.
     """
-    rest = [c for c in entries.columns if c not in (log, *_LINK)]
-    start = entries.withColumn("start__", F.lit(genesis)) if heads is None else entries.join(heads.select(log, F.col("chain_hash").alias("start__")), log, "left").withColumn("start__", F.coalesce("start__", F.lit(genesis)))
-    narrow = start.select(F.col(log).alias("log__"), *_LINK, "start__")
+    return _fold(entries, log, ["seq"], genesis, None if heads is None else heads.select(log, F.col("chain_hash").alias("start__"), F.lit(0).cast("long").alias("first__")), number=False)
+
+
+def append_chain(rows: DataFrame, order: list[str], log: str = "log_id", genesis: str = AUDIT_GENESIS, heads: DataFrame | None = None) -> DataFrame:
+    """Numbers and chains rows in one go, each log in the given order: adds seq, prev_hash and chain_hash with a single shuffle.
+
+    heads: (log, next_seq, chain_hash) of logs to be continued. Rows that tie in the order come in any order, so it should be total.
+    """
+    return _fold(rows, log, order, genesis, None if heads is None else heads.select(log, F.col("chain_hash").alias("start__"), F.col("next_seq").alias("first__")), number=True)
+
+
+def _fold(rows: DataFrame, log: str, order: list[str], genesis: str, starts: DataFrame | None, number: bool) -> DataFrame:
+    """Whole rows stream through, so nothing is joined back: Arrow hands the other columns on as they are."""
+    if starts is None:
+        start = rows.withColumn("start__", F.lit(genesis)).withColumn("first__", F.lit(0).cast("long"))
+    else:
+        start = rows.join(starts, log, "left").withColumn("start__", F.coalesce("start__", F.lit(genesis))).withColumn("first__", F.coalesce("first__", F.lit(0).cast("long")))
+    names = [c for c in start.columns if c not in ("start__", "first__")]
+    fields = [*CHAIN_FIELDS, *([] if number else ["seq"]), "timestamp"]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, head = object(), ""
+        current, head, at = object(), "", 0
         for batch in batches:
-            prev, mine = [], []
-            logs, *fields, starts = (batch.column(i).to_pylist() for i in range(batch.num_columns))
-            for log_id, begin, *parts in zip(logs, starts, *fields):
+            column = lambda n: batch.column(batch.schema.get_field_index(n))
+            seqs, prev, mine = [], [], []
+            for log_id, begin, first, *parts in zip(*(column(n).to_pylist() for n in (log, "start__", "first__", *fields))):
                 if log_id != current:
-                    current, head = log_id, begin
-                if any(p is None for p in parts):
+                    current, head, at = log_id, begin, first
+                if number:
+                    parts.insert(-1, at)
+                if None in parts:
                     raise ValueError(f"entry {parts[-2]} of log {log_id} has a null field")
+                seqs.append(parts[-2])
                 prev.append(head)
                 head = hashlib.sha256("|".join([head, *map(str, parts)]).encode()).hexdigest()
                 mine.append(head)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(7), pa.array(prev, pa.string()), pa.array(mine, pa.string())], ["log__", "seq", "prev_hash", "chain_hash"])
-
-    kind = dict(entries.dtypes)[log]
-    links = narrow.repartition("log__").sortWithinPartitions("log__", "seq").mapInArrow(fold, f"log__ {kind}, seq long, prev_hash string, chain_hash string")
-    links = links.select(F.col("log__").alias(log), "seq", "prev_hash", "chain_hash")
-    return entries.join(links, [log, "seq"]).select(log, *[c for c in _LINK], *rest, "prev_hash", "chain_hash")
+                at += 1
+            added = [pa.array(prev, pa.string()), pa.array(mine, pa.string())] + ([pa.array(seqs, pa.int64())] if number else [])
+            yield pa.RecordBatch.from_arrays([*(column(n) for n in names), *added], [*names, "prev_hash", "chain_hash", *(["seq"] if number else [])])
+
+    schema = T.StructType([start.schema[n] for n in names] + [T.StructField(n, T.StringType()) for n in ("prev_hash", "chain_hash")] + ([T.StructField("seq", T.LongType())] if number else []))
+    done = start.repartition(log).sortWithinPartitions(log, *order).mapInArrow(fold, schema)
+    rest = [c for c in names if c not in (log, *_LINK)]
+    return done.select(log, *_LINK, *rest, "prev_hash", "chain_hash")
 
 
 def verify_chain(entries: DataFrame, log: str = "log_id", pos: str = "pos", genesis: str = AUDIT_GENESIS) -> DataFrame:

@@ -39,7 +39,8 @@ def manifests(entries: DataFrame, size: int, sealed_at: str, log: str = "log_id"
     """Seals logs into chained manifests. keep_open: the last segment stays open unless it is full.
 
     after: manifests sealed before. Sealing goes on where they end, from the log and the manifests alone: this
-    takes up the work of a sealer that was lost, and seals what a stopped one left open.
+    takes up the work of a sealer that was lost, and seals what a stopped one left open. A tail over `size` becomes several
+    segments here; streaming.sealing.seal_stream closes it as one, as a sealer that starts up does.
     """
     before = None if after is None else sealed_so_far(after, log)
     found = summaries(entries, size, log, before)

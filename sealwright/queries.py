@@ -55,6 +55,20 @@ def b2_nfkc_shadow(spark, sf_dir):
     return d.select("n_nationkey", "x.i", shadow(F.col("x.t")).alias("s"))
 
 
+# What NFKC makes one of, in each pair the first from the second.
+_WRITTEN = [("é", "e\u0301"), ("ü", "u\u0308"), ("ö", "o\u0308"), ("ñ", "n\u0303"), ("ç", "c\u0327"), ("fi", "\ufb01"), ("...", "\u2026"), ("2", "\u00b2"), ("5", "\u2464"), ("7", "\uff17"), ("k", "\uff4b"), ("D", "\U0001d403")]
+
+
+def b2_nfkc_documents(spark, sf_dir):
+    """Whole texts, with marks split off, ligatures and other compatibility forms written in, as shadows: those of the texts as they were."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t")))
+    odd = F.col("t")
+    for plain, written in _WRITTEN:
+        odd = F.replace(odd, F.lit(plain), F.lit(written))
+    d = d.select("doc_id", odd.alias("odd"), (odd != F.col("t")).alias("changed"))
+    return d.select("doc_id", "changed", sha256_hex(shadow(F.col("odd"))).alias("shadow_hash"))
+
+
 def c4_interaction_hashes(spark, sf_dir):
     """A user's turn with the turn after it."""
     c = table(spark, sf_dir, "conversations")
@@ -146,10 +160,14 @@ def e11_unknown_packs(spark, sf_dir):
 
 
 def entry_rows(spark, sf_dir) -> DataFrame:
-    """Events as the entries of 16 logs, in order of event_id."""
+    """Events as the entries of 16 logs, numbered in order of event_id."""
+    return chain.allocate(unnumbered_rows(spark, sf_dir), "log_id", ["event_id"])
+
+
+def unnumbered_rows(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "events")
     props = F.coalesce("props", F.lit(""))
-    rows = e.select(
+    return e.select(
         F.coalesce(F.col("user_id") % 16, F.lit(0)).cast("string").alias("log_id"),
         "event_id",
         F.when(F.col("event_id") % 7 == 0, "DENY").when(F.col("event_id") % 5 == 0, "REVIEW").otherwise("ALLOW").alias("decision"),
@@ -160,11 +178,10 @@ def entry_rows(spark, sf_dir) -> DataFrame:
         sha256_hex(F.lower(props)).alias("shadow_hash"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
     )
-    return chain.allocate(rows, "log_id", ["event_id"])
 
 
 def chained(spark, sf_dir) -> DataFrame:
-    return chain.build_chain(entry_rows(spark, sf_dir)).withColumn("pos", F.col("seq"))
+    return chain.append_chain(unnumbered_rows(spark, sf_dir), ["event_id"]).withColumn("pos", F.col("seq"))
 
 
 def tampered(spark, sf_dir) -> DataFrame:
@@ -478,7 +495,7 @@ def l6_observed_counters(spark, sf_dir):
 
 
 _ALL = [
-    b2_nfkc_shadow, b6_shadow_normalize, a1_log_round_trip, j7_sealing_resumed, c4_interaction_hashes, d2_pesel_check, d3_iban_check, e2_first_match, e5_violations_finance, e7_decide_finance, e7_decide_medtech, e7_decide_hr,
+    b2_nfkc_shadow, b2_nfkc_documents, b6_shadow_normalize, a1_log_round_trip, j7_sealing_resumed, c4_interaction_hashes, d2_pesel_check, d3_iban_check, e2_first_match, e5_violations_finance, e7_decide_finance, e7_decide_medtech, e7_decide_hr,
     e11_unknown_packs, f5_decision_counts, f9_rule_hits, f3_chain_build, i1_chain_verify, h4_first_breaks, a2_heads, f4_segment_summary, f1_merkle_roots, f1_deep_merkle_roots,
     c18_segment_chain, i3_segment_verify, i4_manifest_vs_log, i6_inclusion_proofs, e14_unsealed_tail, f6_seal_counts, i2_lineage, i9_verify_stamps, f8_stamp_summary, c21_stamp_requests, j5_stream_seal, j_state_resume, k_audit_path, k_sql_checks, i6_deep_proofs, g5_covering, g8_overlapping_ranges, g9_many_rules, e8_dialect, j8_stamp_stream, l6_observed_counters, a7_committed_logs,
 ]

@@ -25,7 +25,7 @@ from pyspark.sql.types import Row, StructType
 from sealwright.config import AUDIT_GENESIS
 from sealwright.errors import LogHalted
 from sealwright.model import ENTRY
-from sealwright.operators.chain import allocate, build_chain
+from sealwright.operators.chain import append_chain
 from sealwright.sources.logs import parse_entries
 
 FORMAT = "sealwright_log"
@@ -220,11 +220,7 @@ class AuditLogs:
         A log's rows get the next numbers in the given order. If another writer has added to one of these logs since it was
         opened, LogHalted's message comes back as an error and nothing is written: open again and append again.
         """
-        heads = self.heads()
-        numbered = allocate(rows, "log_id", order).join(heads.select("log_id", "next_seq"), "log_id", "left")
-        numbered = numbered.withColumn("seq", F.col("seq") + F.coalesce("next_seq", F.lit(0))).drop("next_seq")
-        linked = build_chain(numbered, genesis=self.genesis, heads=heads.select("log_id", "chain_hash"))
-        self.write(linked)
+        self.write(append_chain(rows, order, genesis=self.genesis, heads=self.heads()))
 
     def write(self, linked: DataFrame) -> None:
         """Commits entries that are numbered and chained already."""

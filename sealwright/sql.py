@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
-from sealwright.config import AUDIT_GENESIS, SEGMENT_GENESIS
-from sealwright.functions.hashing import EMPTY_ROOT
-from sealwright.functions.normalize import FOLD_FROM, FOLD_TO, HIDDEN
-from sealwright.model import SEGMENT_SCHEMA
 from sealwright.queries import HR_TEXTS, NFKC_TEXTS, SEALED_AT, SIZE
 
+# Fixed values, written anew so that a wrong one in the engine shows: first links, the root of no leaves, the format's name.
+AUDIT_GENESIS = "b93b4ade8c758fa0086b464ac445fe6109681da57a99760eeb7f7bce3623562d"
+SEGMENT_GENESIS = "68856029989354a47760a65ea30238356db77c609f595c6192dcdc6c7c5a4097"
+EMPTY_ROOT = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+SEGMENT_SCHEMA = "segment.v1"
+# Code points that can't be seen, and look-alikes with what they pass for.
+HIDDEN = "".join(map(chr, [0xAD, 0x180E, *range(0x200B, 0x2010), *range(0x2028, 0x202F), 0x2060, *range(0x2066, 0x206A), 0xFEFF]))
+_CYRILLIC = {"а": "a", "в": "b", "е": "e", "ё": "e", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "ѕ": "s"}
+_GREEK = {
+    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
+    "α": "a", "ε": "e", "ι": "i", "κ": "k", "ο": "o", "ρ": "p", "τ": "t", "χ": "x",
+}
+_ALIKE = _CYRILLIC | {k.upper(): v for k, v in _CYRILLIC.items()} | _GREEK
 _B, _E = r"(?:^|[^\p{L}\p{M}\p{N}_])", r"(?:$|[^\p{L}\p{M}\p{N}_])"  # Unicode word edges for RE2
 
 
 def _shadow(x: str) -> str:
-    return f"lower(translate(translate({x}, '{HIDDEN}', ''), '{FOLD_FROM}', '{FOLD_TO}'))"
+    return f"lower(translate(translate({x}, '{HIDDEN}', ''), '{''.join(_ALIKE)}', '{''.join(_ALIKE.values())}'))"
 
 
 def _word(x: str, pattern: str) -> str:
@@ -236,6 +245,7 @@ UNION ALL SELECT log_id, segment_id + 200000, CASE WHEN segment_id = 1 THEN 'OK'
         "c18_segment_chain": f"{_R}{_MANIFESTS} SELECT log_id, segment_id, first_seq, last_seq, entry_count, merkle_root, prev_merkle_root, prev_segment_chain_hash, segment_chain_hash FROM m",
         "j7_sealing_resumed": f"{_R}{_MANIFESTS} SELECT log_id, segment_id, first_seq, last_seq, entry_count, merkle_root, prev_merkle_root, prev_segment_chain_hash, segment_chain_hash FROM m",
         "j_state_resume": f"{_R}{_MANIFESTS} SELECT log_id, segment_id, first_seq, last_seq, entry_count, merkle_root, prev_merkle_root, prev_segment_chain_hash, segment_chain_hash FROM m",
+        "b2_nfkc_documents": f"SELECT doc_id, regexp_matches(coalesce(text, ''), 'é|ü|ö|ñ|ç|fi|[.][.][.]|[257kD]') AS changed, sha256({_shadow("coalesce(text, '')")}) AS shadow_hash FROM documents",
         "b2_nfkc_shadow": "SELECT n_nationkey, i, s FROM nation CROSS JOIN (VALUES " + ", ".join(f"({i}, '{want}')" for i, (_, want) in enumerate(NFKC_TEXTS)) + ") AS v(i, s)",
         "a1_log_round_trip": f"{_R}{_CHAIN} SELECT seq, 'id-' || seq AS audit_id, decision, context, timestamp, chain_hash FROM c JOIN e USING (log_id, seq) WHERE log_id = '3'",
         "i3_segment_verify": _R + segment_verify,

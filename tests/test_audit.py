@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sealwright.cli import main
 from sealwright.config import load_settings, origins
 from sealwright.errors import LogHalted, LogParseError, PackError
-from sealwright.functions.hashing import contains_imprint, der_length, from_hex, stamp_request
+from sealwright.functions.hashing import CHAIN_FIELDS, contains_imprint, der_length, from_hex, stamp_request
 from sealwright.functions.normalize import shadow
 from sealwright.functions.validators import iban, luhn, pesel
 from sealwright.model import ENTRY
@@ -17,6 +17,7 @@ from sealwright.operators.merkle import audit_path, deep_roots, levels, roots, v
 from sealwright.plans.packs import compile_pattern, load_pack, load_packs, parse_pack, rules_frame
 from sealwright.plans.signing import Signers, keygen, sign, verify
 from sealwright.sources.logs import LogWriter, append_log, read_log, read_manifests, read_stamps, submit_stamps, write_manifest
+from sealwright.status import status
 from sealwright.streaming.sealing import LogState, fold_root
 
 
@@ -214,6 +215,14 @@ def test_files_and_commands(spark, tmp_path, capsys, monkeypatch):
     with open(f"{d}/cut.jsonl", "w") as f:
         f.write("\n".join(lines[:5]) + "\n")
     assert main(["verify", "--log", f"{d}/cut.jsonl", "--segments", f"{d}/seg"], spark) == 5
+    prove = lambda log, seq: main(["proof", "--log", f"{d}/{log}.jsonl", "--segments", f"{d}/seg", "--seq", str(seq)], spark)
+    assert [prove("cut", s) for s in (2, 4, 6, 7, -1)] == [0, 5, 5, 1, 1]
+    with open(f"{d}/tampered.jsonl", "w") as f:
+        f.write("\n".join(x.replace(full.where("seq = 4").first().chain_hash, "0" * 64) for x in lines))
+    assert [prove("tampered", s) for s in (1, 3, 4)] == [0, 5, 5]
+    with open(f"{d}/odd.jsonl", "w") as f:
+        f.write("\n".join(x.replace(full.where("seq = 4").first().chain_hash, "zz") for x in lines))
+    assert [prove("odd", s) for s in (1, 4)] == [0, 5]
     with open(f"{d}/bad.jsonl", "w") as f:
         f.write("\n".join([lines[0].replace("ALLOW", "DENY"), *lines[1:]]))
     assert main(["replay", "--log", f"{d}/bad.jsonl"], spark) == 2
@@ -270,3 +279,28 @@ def test_settings():
     s = load_settings({"SEALWRIGHT_SEGMENT_SIZE": "7", "SEALWRIGHT_ENFORCE_SIGNATURES": "no", "SEALWRIGHT_ALLOWED_ORIGINS": " a, ,b "})
     assert s.segment_size == 7 and not s.enforce_signatures and s.allowed_origins == ("a", "b") and s.default_policy_set == "finance-v1"
     assert origins(["x ", ""]) == ("x",) and origins(None) == ()
+
+
+def test_status(spark, tmp_path, capsys):
+    folder = load_pack.__globals__["BUILT_IN"]
+    log = LogWriter(str(tmp_path / "log"))
+    got = status(folder, None, "g", "s", log)
+    assert got["status"] == "ready" and got["policies_loaded"] == 3 and got["policies"]["finance-v1"]["rules"] == 4 and not got["signature_enforcement"]
+    log.halted = True
+    assert status(folder, None, "g", "s", log)["status"] == "halted"
+    with pytest.raises(PackError):
+        status(folder, Signers({}), "g", "s", spark=spark)
+    assert main(["status", "--policies-dir", folder, "--trusted-signers", str(tmp_path / "none.json")], spark) != 0
+
+
+def test_numbering_and_chaining_in_one_go(spark):
+    rows = spark.range(40).select((F.col("id") % 3).cast("string").alias("log_id"), (F.col("id") * 7 % 40).alias("at"), *(F.concat(F.lit(n), "id").alias(n) for n in [*CHAIN_FIELDS, "timestamp"]), F.array(F.struct("id")).alias("more")).repartition(4)
+    one = chain.append_chain(rows, ["at"])
+    two = chain.build_chain(chain.allocate(rows, "log_id", ["at"]))
+    assert sorted(map(tuple, one.select(*two.columns).collect())) == sorted(map(tuple, two.collect()))
+    heads = chain.heads(two.where("seq < 6"), pos="seq")
+    rest = chain.append_chain(two.where("seq >= 6").drop("seq", "prev_hash", "chain_hash"), ["at"], heads=heads)
+    assert sorted(map(tuple, rest.select("log_id", "seq", "chain_hash").collect())) == sorted(map(tuple, two.where("seq >= 6").select("log_id", "seq", "chain_hash").collect()))
+    assert chain.append_chain(rows.limit(0), ["at"]).count() == 0
+    with pytest.raises(Exception, match="null field"):
+        chain.append_chain(rows.withColumn("context", F.lit(None).cast("string")), ["at"]).collect()
