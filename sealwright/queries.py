@@ -18,6 +18,7 @@ from sealwright.plans.packs import Pack, Rule, compile_pattern, load_packs
 from sealwright.shared import kept, shared_folder
 from sealwright.sources.committed import AuditLogs
 from sealwright.sources.logs import LogWriter, read_log
+from sealwright.sources.requests import audit_requests, read_requests
 from sealwright.streaming.counters import Counters, observe_decisions, observe_seals, totals_of
 from sealwright.streaming.sealing import SEALED, resume_state, seal_stream
 from sealwright.streaming.stamping import StampSink, answers, stamp_stream, stored_stamps
@@ -93,6 +94,23 @@ def e7_decide_finance(spark, sf_dir):
     return _decided(finance_rows(spark, sf_dir), "doc_id")
 
 
+def a14_requests(spark, sf_dir):
+    """Documents as a stream of JSON requests, some of them broken: how many are decided how, and what is wrong with the others."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")))
+    i = F.col("doc_id")
+    prompt = F.when(i % 101 == 5, F.rpad("text", 300_000, " ")).otherwise(F.col("text"))
+    context = F.when(F.col("lang").isin("en", "de"), "Finance Bot").otherwise("Help Bot")
+    policy = F.when(i % 29 == 3, "none").when(i % 2 == 0, "finance-v1")
+    body = F.to_json(F.struct(context.alias("context"), policy.alias("policy_set"), F.struct(F.when(i % 17 != 4, prompt).alias("prompt"), F.lit("").alias("response")).alias("payload"), i.alias("id")))
+    line = F.when(i % 13 == 2, F.substring(body, 1, 40)).when(i % 19 == 6, F.replace(body, F.lit('{"context":'), F.lit('{"context":5,"was":'))).otherwise(body)
+    folder = shared_folder(spark, "requests")
+    d.select(line.alias("value")).write.text(f"{folder}/in")
+    answered = audit_requests(read_requests(spark, f"{folder}/in", stream=True, max_bytes=1 << 18), load_packs())
+    q = answered.select("status", "problem", "policy_set", "decision").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").groupBy("status", "problem", "policy_set", "decision").agg(F.count("*").alias("n"))
+
+
 def e5_violations_finance(spark, sf_dir):
     """Violations in rule order, one row each."""
     rows = finance_rows(spark, sf_dir).select("doc_id", F.posexplode_outer("violations").alias("ord", "v")).where("v IS NOT NULL")
@@ -497,7 +515,7 @@ def l6_observed_counters(spark, sf_dir):
 _ALL = [
     b2_nfkc_shadow, b2_nfkc_documents, b6_shadow_normalize, a1_log_round_trip, j7_sealing_resumed, c4_interaction_hashes, d2_pesel_check, d3_iban_check, e2_first_match, e5_violations_finance, e7_decide_finance, e7_decide_medtech, e7_decide_hr,
     e11_unknown_packs, f5_decision_counts, f9_rule_hits, f3_chain_build, i1_chain_verify, h4_first_breaks, a2_heads, f4_segment_summary, f1_merkle_roots, f1_deep_merkle_roots,
-    c18_segment_chain, i3_segment_verify, i4_manifest_vs_log, i6_inclusion_proofs, e14_unsealed_tail, f6_seal_counts, i2_lineage, i9_verify_stamps, f8_stamp_summary, c21_stamp_requests, j5_stream_seal, j_state_resume, k_audit_path, k_sql_checks, i6_deep_proofs, g5_covering, g8_overlapping_ranges, g9_many_rules, e8_dialect, j8_stamp_stream, l6_observed_counters, a7_committed_logs,
+    c18_segment_chain, i3_segment_verify, i4_manifest_vs_log, i6_inclusion_proofs, e14_unsealed_tail, f6_seal_counts, i2_lineage, i9_verify_stamps, f8_stamp_summary, c21_stamp_requests, j5_stream_seal, j_state_resume, k_audit_path, k_sql_checks, i6_deep_proofs, g5_covering, g8_overlapping_ranges, g9_many_rules, e8_dialect, j8_stamp_stream, l6_observed_counters, a7_committed_logs, a14_requests,
 ]
 
 

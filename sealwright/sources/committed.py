@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -188,9 +189,10 @@ class AuditLogs:
     """A folder of logs: opened by its commits, read as they say, and appended to from the heads they leave."""
 
     def __init__(self, spark: SparkSession, folder: str, genesis: str = AUDIT_GENESIS):
-        if "://" in folder.removeprefix("file://"):
+        plain = re.sub("^file:(//)?(?=/)", "", folder)
+        if "://" in plain:
             raise ValueError(f"logs need a mounted folder, not {folder}")
-        self.spark, self.folder, self.genesis = spark, folder.removeprefix("file://"), genesis
+        self.spark, self.folder, self.genesis = spark, os.path.abspath(plain), genesis
         spark.dataSource.register(LogSource)
 
     def _commits(self) -> DataFrame | None:

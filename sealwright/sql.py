@@ -190,6 +190,12 @@ UNION ALL SELECT 'iban', c_custkey, text, {_iban(spaced)} FROM a
 UNION ALL SELECT 'luhn', o_orderkey, text, {_luhn("text")} FROM n
 UNION ALL SELECT 'path', o_orderkey, root, CASE o_orderkey % 3 WHEN 2 THEN o_orderkey % 7 <> 0 WHEN 1 THEN o_orderkey % 5 <> 0 ELSE true END FROM t"""
     return {
+        "a14_requests": f"""WITH {_FINANCE},
+r AS (SELECT doc_id, decision, CASE WHEN doc_id % 13 = 2 THEN 'not JSON' WHEN doc_id % 101 = 5 AND doc_id % 17 <> 4 THEN 'too large'
+  WHEN doc_id % 19 = 6 AND doc_id % 17 = 4 THEN 'not text: context, prompt' WHEN doc_id % 19 = 6 THEN 'not text: context' WHEN doc_id % 17 = 4 THEN 'not text: prompt' END AS problem FROM g)
+SELECT CAST(CASE WHEN problem IS NOT NULL THEN 400 WHEN doc_id % 29 = 3 THEN 404 ELSE 200 END AS INTEGER) AS status, problem,
+  CASE WHEN problem IS NULL THEN CASE WHEN doc_id % 29 = 3 THEN 'none' ELSE 'finance-v1' END END AS policy_set,
+  CASE WHEN problem IS NULL AND doc_id % 29 <> 3 THEN decision END AS decision, count(*) AS n FROM r GROUP BY 1, 2, 3, 4""",
         "a7_committed_logs": f"""{_R}{_CHAIN}, h AS (SELECT log_id, max(seq) + 1 AS next_seq, arg_max(chain_hash, seq) AS head FROM c GROUP BY log_id)
 SELECT log_id, seq, 'id-' || event_id AS audit_id, decision, context, timestamp, prev_hash, chain_hash, next_seq, head FROM c JOIN e USING (log_id, seq) JOIN h USING (log_id)""",
         "j8_stamp_stream": f"""{_R}{_MANIFESTS}, a AS (SELECT log_id, segment_id, segment_id % 2 = 0 OR segment_id % 3 <> 1 AS asked, CAST('0x' || substr(segment_chain_hash, 2, 1) AS INTEGER) % 4 AS d FROM m)

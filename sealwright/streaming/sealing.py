@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import sys
 from collections.abc import Callable, Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -195,6 +197,8 @@ def seal_stream(entries: DataFrame, size: int = 1000, interval_seconds: int = 0,
     """
     if not sealed_at and not interval_seconds:
         raise ValueError("manifests need a time: set sealed_at, or interval_seconds for the clock's")
+    # the worker that sets up the state gets none of the session's files: the processor travels with its code
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     entries.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     state = None if initial is None else initial.groupBy("log_id")
     mode = "ProcessingTime" if interval_seconds else "None"
