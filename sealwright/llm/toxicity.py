@@ -16,10 +16,11 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sealwright.llm.learn import labelled_rows, logistic, sigmoid
+from sealwright.llm.scratch import kept
 from sealwright.llm.textbuf import BYTE_CODE, LOWER, U64, buffers, distinct, hash_ranges, mix, pieces, words
 
 _IS_SIGN = np.array([33 <= c < 127 and not chr(c).isalnum() for c in range(256)])
@@ -276,9 +277,18 @@ def train(data: np.ndarray, off: np.ndarray, y: np.ndarray, batch_bytes: int = 1
     return model
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic", most: int = 8_000) -> ToxicityModel:
-    """Fits on at most `most` labelled documents that pass keep (a condition on doc_id), each with its whole text."""
-    sample = labelled_rows(docs, labels, label, keep, most).dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+def train_toxicity(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic", most: int = 8_000, most_bytes: int = 64 << 20) -> ToxicityModel:
+    """Fits on at most `most` labelled documents that pass keep (a condition on doc_id), each with its whole text.
+
+    The texts go to the driver, so they are bounded too: of the chosen ids, in the order of their hash, those whose texts sum to at most
+    most_bytes. Of rows that share an id the smallest text counts.
+    """
+    chosen = labelled_rows(docs, labels, label, keep, most).groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    chosen = kept(chosen, "labelled")
+    # at most `most` rows without texts
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    fit = chosen.select("doc_id", upto.alias("upto")).where(F.col("upto") <= most_bytes).select("doc_id")
+    sample = chosen.join(F.broadcast(fit), "doc_id").toArrow().sort_by("doc_id")
     return train(*buffers(sample.column("text")), sample.column("y").to_numpy())
 
 

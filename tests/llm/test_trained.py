@@ -170,6 +170,26 @@ def test_sample_is_bounded_and_filtered(spark):
     assert 4 not in {r["doc_id"] for r in labelled_rows(docs, labels, "quality", fold("doc_id", 5) != 99, 100).collect()}
 
 
+def test_toxicity_sample_is_bounded_in_bytes_and_the_same_at_any_partitioning(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from sealwright.llm import toxicity
+
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda data, off, y: seen.append((bytes(data), off.tolist(), y.tolist())))
+    t, y = texts(120)
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(t)] + [(7, "another text"), (8, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, toxic int")
+    for parts in (1, 5):
+        toxicity.train_toxicity(docs.repartition(parts), labels, F.lit(True))
+        toxicity.train_toxicity(docs.repartition(parts), labels, F.lit(True), most_bytes=1000)
+        toxicity.train_toxicity(docs.repartition(parts), labels, F.lit(True), most_bytes=0)
+    assert seen[:3] == seen[3:]
+    assert len(seen[0][2]) == 120 and 1 < len(seen[1][2]) < 120 and len(seen[1][0]) <= 1000 and len(seen[2][0]) == 0
+    whole = {x.encode() for x in t} | {b"another text", b""}
+    assert all(seen[1][0][a:b] in whole for a, b in zip(seen[1][1], seen[1][1][1:]))
+
+
 @pytest.mark.parametrize("query,label,folds,rest,least", [(op1_toxicity, "toxic", 3, 1, 0.7), (op8_quality, "quality", 5, 0, 0.3)])
 def test_held_out_accuracy(spark, query, label, folds, rest, least):
     d = "/root/testdata/sf0.01"
