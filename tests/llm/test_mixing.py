@@ -101,3 +101,32 @@ def test_sources_of_almost_equal_share_stay_whole(spark):
     rows = [(i, "w " * (1001 if i == 0 else 1000), "ab"[i % 2]) for i in range(800)] + [(900 + i, "w " * 50, "c") for i in range(20)]
     near = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
     assert {r.doc_id for r in mix_rows(near, max_repeats=1.5).collect()} == {r[0] for r in rows}
+
+
+def test_weights_by_hand(docs):
+    """Quotas from formulas of their own: with the least budget, shares to a power make the smallest source repeat `limit` times and the largest once."""
+    own = Counter()
+    for r in docs.collect():
+        own["null" if r.source is None else "=" + r.source] += len((r.text or "").split())
+    own = {k: v for k, v in own.items() if v}
+    low, high = min(own.values()), max(own.values())
+    for limit in (1.2, 1.7):
+        a = 1 + math.log(limit) / math.log(low / high)
+        assert 0 < a < 1
+        got = Counter()
+        for r in mix_rows(docs, budget=None, max_repeats=limit, blocks=16).collect():
+            got[r.source_key] += r.tokens
+        for k, v in own.items():
+            quota = v * (v / high) ** (a - 1)
+            assert quota - 60 < got[k] <= quota * 1.01 + 1, (k, quota, got[k])
+    # an entropy target by a search over a grid of exponents
+    total = sum(own.values())
+    entropy = lambda a: -sum(w * math.log(w) for w in [v**a / sum(x**a for x in own.values()) for v in own.values()])
+    target = (entropy(1) + entropy(0)) / 2
+    a = min((i / 20_000 for i in range(20_001)), key=lambda x: abs(entropy(x) - target))
+    got = Counter()
+    for r in mix_rows(docs, budget=2.0 * total, target_entropy=target, blocks=16).collect():
+        got[r.source_key] += r.tokens
+    for k, v in own.items():
+        quota = 2.0 * total * v**a / sum(x**a for x in own.values())
+        assert quota * 0.99 - 60 < got[k] <= quota * 1.01 + 1, (k, quota, got[k])
