@@ -20,7 +20,7 @@ from sealwright.sources.committed import AuditLogs
 from sealwright.sources.logs import LogWriter, read_log
 from sealwright.sources.requests import audit_requests, read_requests
 from sealwright.streaming.counters import Counters, observe_decisions, observe_seals, totals_of
-from sealwright.streaming.sealing import SEALED, resume_state, seal_stream
+from sealwright.streaming.sealing import SEALED, resume_state, seal_stream, write_arrivals
 from sealwright.streaming.stamping import StampSink, answers, stamp_stream, stored_stamps
 
 SIZE = 50  # entries of a segment
@@ -435,9 +435,9 @@ def c21_stamp_requests(spark, sf_dir):
 
 
 def _stream(spark, folder: str, name: str, rows: DataFrame, initial: DataFrame | None = None) -> DataFrame:
-    """What the streaming sealer makes of rows, through files; each name has a checkpoint of its own."""
-    rows.write.parquet(f"{folder}/{name}-in")
-    out = seal_stream(spark.readStream.schema(rows.schema).parquet(f"{folder}/{name}-in"), SIZE, 0, SEALED_AT, initial)
+    """What the streaming sealer makes of rows, through files in order of arrival, a batch for each; each name has a checkpoint of its own."""
+    write_arrivals(rows, f"{folder}/{name}-in", [*(c for c in ("flush",) if c in rows.columns), "order_key"])
+    out = seal_stream(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/{name}-in"), SIZE, 0, SEALED_AT, initial)
     q = out.writeStream.format("parquet").option("path", f"{folder}/{name}-out").option("checkpointLocation", f"{folder}/{name}-check").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(SEALED).parquet(f"{folder}/{name}-out")
@@ -449,7 +449,7 @@ def _arrivals(spark, sf_dir) -> DataFrame:
 
 def j5_stream_seal(spark, sf_dir):
     """The same logs through the streaming sealer, read back as manifests."""
-    done = _stream(spark, shared_folder(spark, "stream"), "one", _arrivals(spark, sf_dir).drop("seq")).where("kind = 'manifest'")
+    done = _stream(spark, shared_folder(spark, "stream"), "one", unnumbered_rows(spark, sf_dir).withColumnRenamed("event_id", "order_key")).where("kind = 'manifest'")
     return done.select("log_id", "segment_id", "first_seq", "last_seq", "entry_count", "merkle_root", "segment_chain_hash")
 
 
@@ -501,9 +501,10 @@ def l6_observed_counters(spark, sf_dir):
 
     seen = Observation()
     observe_decisions(finance_rows(spark, sf_dir), seen).write.format("noop").mode("overwrite").save()
-    folder, rows = shared_folder(spark, "counted"), _arrivals(spark, sf_dir).drop("seq")
-    rows.write.parquet(f"{folder}/in")
-    out = observe_seals(seal_stream(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), SIZE, 0, SEALED_AT))
+    folder, rows = shared_folder(spark, "counted"), unnumbered_rows(spark, sf_dir).withColumnRenamed("event_id", "order_key")
+    batches = write_arrivals(rows, f"{folder}/in", ["order_key"])
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", 100 + batches)  # totals_of counts what the session keeps
+    out = observe_seals(seal_stream(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), SIZE, 0, SEALED_AT))
     q = out.writeStream.format("noop").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start()
     q.awaitTermination()
     stamps = Counters()

@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import sys
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark import cloudpickle
@@ -26,6 +27,7 @@ from sealwright.operators.segments import sealed_so_far, unsealed
 
 SEALED = "log_id string, kind string, seq long, prev_hash string, chain_hash string, schema string, segment_id long, first_seq long, last_seq long, entry_count long, merkle_root string, prev_merkle_root string, prev_segment_chain_hash string, segment_chain_hash string, head_chain_hash_at_close string, sealed_at string"
 _NAMES = [x.split()[0] for x in SEALED.split(", ")]
+ARRIVE = 1 << 19  # rows of a file of arrivals
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -180,6 +182,23 @@ def resume_state(entries: DataFrame, found: DataFrame) -> DataFrame:
     return both.select("log_id", "chain_hash", "next_seq", or_else("segment_id", 0).cast("long").alias("segment_id"), or_else("merkle_root", EMPTY_ROOT), or_else("segment_chain_hash", SEGMENT_GENESIS), F.coalesce("leaves", F.array().cast("array<binary>")).alias("leaves"))
 
 
+def write_arrivals(rows: DataFrame, path: str, order: list[str], most: int = ARRIVE) -> int:
+    """Writes rows as files of about `most` rows, which arrive in the given order; the number of files that were asked for.
+
+    A stream with maxFilesPerTrigger of 1 takes them up in that order, one batch for each: a task then holds one log's rows of one file.
+    """
+    spark = rows.sparkSession
+    files = max(1, -(-rows.count() // most))
+    rows.repartitionByRange(files, *order).write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted((f.getPath() for f in store.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda x: x.getName())
+    start = int(time.time() - len(found)) * 1000  # a stream goes by the files' times
+    for i, file in enumerate(found):
+        store.setTimes(file, start + i * 1000, -1)
+    return files
+
+
 def seal_stream(entries: DataFrame, size: int = 1000, interval_seconds: int = 0, sealed_at: str = "", initial: DataFrame | None = None) -> DataFrame:
     """Entries (log_id, order_key, timestamp and the chain's fields) of a stream as chained entries and sealed manifests.
 
@@ -187,6 +206,9 @@ def seal_stream(entries: DataFrame, size: int = 1000, interval_seconds: int = 0,
     their arrival. size or interval_seconds of 0 turns that trigger off. sealed_at: a fixed time for
     repeatable runs, else the clock's, which only runs with interval_seconds.
 
+    A task holds what one log has in one batch, so a source with a large backlog should be read with a limit (maxFilesPerTrigger or
+    maxBytesPerTrigger); see write_arrivals.
+
     A row whose boolean column `flush` is true isn't an entry: it closes its log's open segment once the batch's
     entries are in. Send one for each log before a stream is shut down for good.
 

@@ -99,3 +99,33 @@ def test_timer_closes_segments_without_new_rows(spark, tmp_path):
 def test_manifests_need_a_time(spark):
     with pytest.raises(ValueError, match="time"):
         seal_stream(entries(spark, 1), 2)
+
+
+def test_arrivals_come_in_order_and_in_bounded_batches(spark, tmp_path):
+    from sealwright.streaming.sealing import write_arrivals
+
+    rows = entries(spark, 400).withColumn("flush", F.lit(False))
+    ends = rows.select("log_id").distinct().withColumn("flush", F.lit(True))
+    all_rows = rows.repartition(7).unionByName(ends, allowMissingColumns=True)
+    source = str(tmp_path / "in")
+    assert write_arrivals(all_rows, source, ["flush", "order_key"], most=200) == 7
+    stream = spark.readStream.schema(all_rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    q = seal_stream(stream, 7, 0, "t").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    q.awaitTermination()
+    sizes = [p.numInputRows for p in q.recentProgress if p.numInputRows]
+    assert len(sizes) >= 6 and max(sizes) < 400
+    assert manifests(spark, f"{tmp_path}/out") == wanted(segments.manifests(batch(entries(spark, 400)), 7, "t"))
+
+
+def test_queries_seal_backlogs_in_bounded_batches(spark, monkeypatch):
+    """With a bound of 300 rows the query's 1,000 events take several batches, and its manifests are the same."""
+    from sealwright import queries
+    from sealwright.streaming import sealing
+
+    usual = sorted(map(tuple, queries.j5_stream_seal(spark, "/root/testdata/sf0.001").collect()))
+    stated = sorted(map(tuple, queries.j_state_resume(spark, "/root/testdata/sf0.001").collect()))
+    seen, write = [], sealing.write_arrivals
+    monkeypatch.setattr(queries, "write_arrivals", lambda rows, path, order: seen.append(write(rows, path, order, 300)) or seen[-1])
+    assert sorted(map(tuple, queries.j5_stream_seal(spark, "/root/testdata/sf0.001").collect())) == usual
+    assert sorted(map(tuple, queries.j_state_resume(spark, "/root/testdata/sf0.001").collect())) == stated
+    assert len(seen) == 3 and min(seen) > 1
