@@ -1,11 +1,15 @@
 """Rule packs of many rules: a rule's pattern is tried only on texts that hold a literal it can't match without.
 
 One automaton over the literals of all rules reads each text once, in Arrow batches, and hands out the rules that remain; Java's
-engine then tries those, in the same projection. Rules without a sure literal are tried on every text.
+engine then tries those, in the same projection. Rules without a sure literal are tried on every text. Where a pattern is a word between
+word boundaries, the characters beside the literal tell whether it matches, and Java tries it only where these aren't ASCII.
 """
 
 from __future__ import annotations
 
+import json
+import re
+import string
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -21,63 +25,101 @@ from sealwright.plans.dialect import literals, parse
 from sealwright.plans.packs import Pack, compile_pattern
 
 MOST_RULE_BYTES = 64 << 20
-_TRIED = "ord int, rule string, action string, confidence float, validator string, pattern string, gate string"
+_RULES = "array<struct<rule: string, action: string, confidence: double, validator: string, pattern: string, gate: string>>"
+_WORD = re.compile(r"\\b([0-9A-Za-z_]+)\\b")  # patterns whose match its neighbours tell
+_IN_WORD = frozenset(string.ascii_letters + string.digits + "_")
 # Characters beyond ASCII that a pattern of any case takes for a letter of ASCII.
 _ALIKE = {0x17F: "s", 0x212A: "k", 0x131: "i", 0x130: "i"}
 
 
-def finder(keys: list[frozenset[str] | None]) -> Callable[[str], list[int]]:
-    """A function from a text to the places of all keys of which it holds a literal, in order; None is held by every text."""
+def _placed(keys: list[frozenset[str] | None], words: list[str | None]) -> Callable[[str], dict[int, bool]]:
+    """A function from a text to the places of all keys of which it holds a literal, and whether the place's word surely matches.
+
+    words: for each key the word whose pattern it stands for, or None. Where all of a word's occurrences have a word's character of ASCII
+    beside them, its place isn't among those found.
+    """
     always = [i for i, k in enumerate(keys) if k is None]
-    by: dict[str, list[int]] = {}
-    for i, k in enumerate(keys):
-        for text in k or ():
-            by.setdefault(text, []).append(i)
+    by: dict[str, tuple[list[int], list[int]]] = {}
+    for i, (k, w) in enumerate(zip(keys, words)):
+        for text in (k or ()) if w is None else (w.lower(),):
+            by.setdefault(text, ([], []))[w is not None].append(i)
     try:
         import ahocorasick
     except ImportError:
-        found_in = lambda text: (own for literal, own in by.items() if literal in text)
+
+        def found_in(text):
+            for literal, own in by.items():
+                at = text.find(literal)
+                while at >= 0:
+                    yield at + len(literal) - 1, (len(literal), *own)
+                    at = text.find(literal, at + 1) if own[1] else -1
     else:
         automaton = ahocorasick.Automaton()
         for literal, own in by.items():
-            automaton.add_word(literal, own)
+            automaton.add_word(literal, (len(literal), *own))
         automaton.make_automaton()
-        found_in = lambda text: (own for _, own in automaton.iter(text)) if by else ()
-
-    def find(text: str) -> list[int]:
-        low = text.lower() if text.isascii() else text.translate(_ALIKE).lower()
-        met = set(always)
-        for own in found_in(low):
-            met.update(own)
-        return sorted(met)
+        found_in = lambda text: automaton.iter(text) if by else ()
+
+    def find(text: str) -> dict[int, bool]:
+        plain = text.isascii()
+        low = text.lower() if plain else text.translate(_ALIKE).lower()
+        plain = plain or not any(chr(c) in text for c in _ALIKE)
+        met = dict.fromkeys(always, False)
+        for end, (size, own, whole) in found_in(low):
+            for i in own:
+                met.setdefault(i, False)
+            if whole:
+                beside = (low[end - size] if end >= size else " ") + (low[end + 1] if end + 1 < len(low) else " ")
+                if beside[0] in _IN_WORD or beside[1] in _IN_WORD:
+                    if plain:
+                        continue
+                sure = plain and beside.isascii()
+                for i in whole:
+                    met[i] = met.get(i, False) or sure
+        return met
 
     return find
 
 
+def finder(keys: list[frozenset[str] | None]) -> Callable[[str], list[int]]:
+    """A function from a text to the places of all keys of which it holds a literal, in order; None is held by every text."""
+    find = _placed(keys, [None] * len(keys))
+    return lambda text: sorted(find(text))
+
+
 def candidates(packs: dict[str, Pack], policy_set: Column, text: Column) -> Column:
-    """The rules of a row's pack that its text may match, in the pack's order."""
-    rules = {p.name: [(i, r.id, r.action, r.score, r.validator, compile_pattern(r.pattern), r.context and compile_pattern(r.context)) for i, r in enumerate(p.rules)] for p in packs.values()}
-    size = sum(len(str(r)) for own in rules.values() for r in own)
-    if size > MOST_RULE_BYTES:
-        raise ValueError(f"rules of {size} bytes are over {MOST_RULE_BYTES}")
-    keys = {p.name: [literals(parse(r.pattern)) for r in p.rules] for p in packs.values()}
-    kind = pa.list_(pa.struct([("ord", pa.int32()), ("rule", pa.string()), ("action", pa.string()), ("confidence", pa.float32()), ("validator", pa.string()), ("pattern", pa.string()), ("gate", pa.string())]))
-    names = [f.name for f in kind.value_type]
-    ready: dict[str, tuple] = {}  # of a worker
+    """The rules of a row's pack that its text may match, in the pack's order; sure: its pattern is known to match."""
+    rules, keys, words = [], {}, {}
+    first = {}
+    for p in packs.values():
+        first[p.name] = len(rules)
+        rules += [dict(rule=r.id, action=r.action, confidence=r.score, validator=r.validator, pattern=compile_pattern(r.pattern), gate=r.context and compile_pattern(r.context)) for r in p.rules]
+        words[p.name] = [m and m[1] for m in (_WORD.fullmatch(r.pattern) for r in p.rules)]
+        keys[p.name] = [frozenset() if w else literals(parse(r.pattern)) for r, w in zip(p.rules, words[p.name])]
+    table = json.dumps(rules)
+    if len(table) > MOST_RULE_BYTES:
+        raise ValueError(f"rules of {len(table)} bytes are over {MOST_RULE_BYTES}")
+    ready: dict[str, Callable] = {}  # of a worker
 
     def run(sets: pa.Array, texts: pa.Array) -> pa.Array:
         out = []
         for name, t in zip(sets.to_pylist(), texts.to_pylist()):
-            if t is None or name not in rules:
+            if t is None or name not in keys:
                 out.append(None)
                 continue
             if name not in ready:
-                ready[name] = (finder(keys[name]), [dict(zip(names, r)) for r in rules[name]])
-            find, own = ready[name]
-            out.append([own[i] for i in find(t)])
-        return pa.array(out, kind)
+                ready[name] = _placed(keys[name], words[name])
+            met, begin = ready[name](t), first[name]
+            out.append([2 * (begin + i) + met[i] for i in sorted(met)])  # a rule's number, and whether it is sure
+        return pa.array(out, pa.list_(pa.int32()))
+
+    known = F.from_json(F.lit(table), _RULES)  # a constant
+
+    def rule(x: Column) -> Column:
+        r = F.get(known, F.shiftright(x, 1))
+        return F.struct(*(r[n].alias(n) for n in ("rule", "action")), r["confidence"].cast("float").alias("confidence"), *(r[n].alias(n) for n in ("validator", "pattern", "gate")), (x % 2 == 1).alias("sure"))
 
-    return F.arrow_udf(run, f"array<struct<{_TRIED.replace(' ', ':').replace(',:', ',')}>>")(policy_set, text)
+    return F.transform(F.arrow_udf(run, "array<int>")(policy_set, text), rule)
 
 
 def fires(rule: Column, context: Column, text: Column) -> Column:
@@ -86,7 +128,7 @@ def fires(rule: Column, context: Column, text: Column) -> Column:
     checked = F.lit(None).cast("boolean")
     for name, check in VALIDATORS.items():
         checked = F.when(rule["validator"] == name, F.exists(first, check)).otherwise(checked)
-    hit = F.when(rule["validator"].isNull(), F.rlike(text, rule["pattern"])).otherwise(checked)
+    hit = F.when(rule["validator"].isNull(), F.when(rule["sure"], True).otherwise(F.rlike(text, rule["pattern"]))).otherwise(checked)
     return F.coalesce((rule["gate"].isNull() | F.rlike(context, rule["gate"])) & hit, F.lit(False))
 
 

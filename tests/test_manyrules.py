@@ -52,3 +52,18 @@ def test_rules_are_bounded(monkeypatch):
     monkeypatch.setattr(manyrules, "MOST_RULE_BYTES", 10)
     with pytest.raises(ValueError, match="bytes"):
         manyrules.candidates({"p": Pack("p", "1", "h", (Rule("r", "abc", "deny", 1.0),))}, F.lit("p"), F.lit("x"))
+
+
+def test_words_are_decided_by_their_neighbours(spark, monkeypatch):
+    """Java tries a word's pattern only where a character beside it isn't ASCII; the rows are those of all patterns tried."""
+    rules = tuple(Rule(w, rf"\b{w}\b", "review", 0.1, None, g) for w, g in (("ask", None), ("as", None), ("a_1", None), ("Sky", "x"), ("k", None)))
+    texts = ["ask", "asks ask", "tasks", "as-k", "asé", "éas", "aś", "́as", "aſk", "K", "a_1.", "a_12 xa_1", "SKY", "sky2", "", "ask\nas", "\U0001d400as", "as​"]
+    rows = [(i, "Bot" if i % 2 else "x", t, "", "p") for i, t in enumerate([*texts, *(f"é {t}" for t in texts), *(f"{t} as" for t in texts)])]
+    df = spark.createDataFrame(rows, "id long, context string, prompt string, response string, policy_set string")
+    got = same_as_unrolled(df, {"p": Pack("p", "1", "h", rules)})
+    assert {v.rule for r in got for v in r.violations} == {"ask", "as", "a_1", "Sky", "k"}
+    for absent in (False, True):
+        if absent:
+            monkeypatch.setitem(__import__("sys").modules, "ahocorasick", None)
+        find = manyrules._placed([frozenset()] * 2, ["ask", "as"])
+        assert [find(t) for t in ("ask as", "tasks", "asé ask", "aśk as", "aſk")] == [{0: True, 1: True}, {}, {1: False, 0: True}, {1: True}, {0: False, 1: False}]
