@@ -84,8 +84,8 @@ class LogDataWriter(DataSourceWriter):
         out, stream = Staged(), None
         try:
             for row in iterator:
-                lost = [n for n in ("log_id", *_FIELDS) if row[n] is None]
-                if lost:
+                row = row.asDict()  # a Row looks each name up in a list
+                if None in row.values() and (lost := [n for n in ("log_id", *_FIELDS) if row[n] is None]):
                     raise ValueError(f"an entry lacks {', '.join(lost)}: {row}")
                 run = out.runs[-1] if out.runs else None
                 if run is None or run.log_id != row["log_id"] or row["seq"] != run.last_seq + 1:
@@ -222,10 +222,12 @@ class AuditLogs:
         A log's rows get the next numbers in the given order. If another writer has added to one of these logs since it was
         opened, LogHalted's message comes back as an error and nothing is written: open again and append again.
         """
-        self.write(append_chain(rows, order, genesis=self.genesis, heads=self.heads()))
+        self._commit(append_chain(rows, order, genesis=self.genesis, heads=self.heads()))  # comes log by log, in order
 
     def write(self, linked: DataFrame) -> None:
         """Commits entries that are numbered and chained already."""
-        sorted_ = linked.select("log_id", *_FIELDS).repartition("log_id").sortWithinPartitions("log_id", "seq")
-        sorted_.write.format(FORMAT).mode("append").option("path", self.folder).option("genesis", self.genesis).save()
+        self._commit(linked.repartition("log_id").sortWithinPartitions("log_id", "seq"))
+
+    def _commit(self, sorted_: DataFrame) -> None:
+        sorted_.select("log_id", *_FIELDS).write.format(FORMAT).mode("append").option("path", self.folder).option("genesis", self.genesis).save()
 

@@ -107,3 +107,10 @@ def test_what_is_refused(spark, tmp_path):
     with pytest.raises(ValueError, match="mounted"):
         AuditLogs(spark, "s3://x/y")
     assert logs.read().count() == 0 and not glob.glob(str(tmp_path / "a" / "*.jsonl"))
+
+
+def test_appends_shuffle_once(spark, tmp_path, monkeypatch):
+    plans = []
+    monkeypatch.setattr(AuditLogs, "_commit", lambda self, df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()))
+    AuditLogs(spark, str(tmp_path)).append(rows(spark, 3), ["at"])
+    assert [p.count("RepartitionByExpression") for p in plans] == [1]
