@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sealwright.llm.textbuf import buffers
+from sealwright.llm.textbuf import buffers, pieces
 from sealwright.llm.wordbpe import WordBpe
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
+TEXT_PIECE = 4 << 20  # bytes of text that are encoded at once
 _NAMES = [x.split()[0] for x in PIECES.split(", ")]
 _coders: dict[str, WordBpe] = {}
 
@@ -157,7 +158,7 @@ def pack(
     tokenizer: path of a word-level BPE file; every executor must have it. linear, quadratic:
     the cost of a piece of n tokens is linear * n + quadratic * n * n. pool_tokens: how many
     tokens are packed together (at least one sequence's worth); memory follows it and the
-    longest text of a batch.
+    longest text.
 
     Null or empty texts have the one id end_id. Null ids stay null. Repeated rows are packed
     once each. An empty table gives no rows. Other columns are ignored.
@@ -173,13 +174,14 @@ def pack(
         for batch in batches:
             data, off = buffers(batch.column(1))
             doc_ids = batch.column(0).to_pylist()
-            ids, upto = coder.encode(data, off)
-            for i, doc_id in enumerate(doc_ids):
-                own = np.empty(int(upto[i + 1] - upto[i]) + 1, dtype=np.uint16)
-                own[:-1], own[-1] = ids[upto[i] : upto[i + 1]], end_id
-                packer.add(doc_id, own)
-                if packer.held >= packer.pool:
-                    yield from packer.flush()
+            for a, b in pieces(off, TEXT_PIECE):
+                ids, upto = coder.encode(data[off[a] : off[b]], off[a : b + 1] - off[a])
+                for i, doc_id in enumerate(doc_ids[a:b]):
+                    own = np.empty(int(upto[i + 1] - upto[i]) + 1, dtype=np.uint16)
+                    own[:-1], own[-1] = ids[upto[i] : upto[i + 1]], end_id
+                    packer.add(doc_id, own)
+                    if packer.held >= packer.pool:
+                        yield from packer.flush()
         yield from packer.flush(last=True)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)

@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 from sealwright.llm.components import components
 from sealwright.llm.hot import hot_keys, join_hot
 from sealwright.llm.scratch import kept
-from sealwright.llm.textbuf import U64, buffers, shingles, words
+from sealwright.llm.textbuf import U64, buffers, pieces, shingles, words
 
 BASE, RATE, LIMIT = 1.02, 20.0, 4095
 REGISTERS, ROWS = 200, 4
 BLOCK = 4096  # classes of a band that meet in one task
+PIECE = 1 << 20  # bytes of text whose sets a task makes at once
 _STRIP = 1 << 16
 _rng = np.random.Generator(np.random.PCG64(7))
 _MUL = _rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -44,6 +45,15 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int = 5) -> tuple[np.ndar
     return h[new], upto[at]
 
 
+def _sets_of(batches, k: int):
+    """Slices of batches (id, text, ...) of about PIECE bytes of text, one row at least, with their shingle_sets: what a task
+    holds beside a batch doesn't grow with it."""
+    for batch in batches:
+        data, off = buffers(batch.column(1))
+        for a, b in pieces(off, PIECE):
+            yield batch.slice(a, b - a), *shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a], k)
+
+
 def sketch(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Registers (uint16) of the sets h[at[i]:at[i+1]]; an empty set has zeros."""
     n = len(at) - 1
@@ -196,8 +206,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def describe(batches):
-        for batch in batches:
-            h, at = shingle_sets(*buffers(batch.column(1)), k)
+        for batch, h, at in _sets_of(batches, k):
             reg = sketch(h, at)
             size = np.diff(at)
             sums = np.zeros((len(size), 2), dtype=np.uint64)
@@ -232,8 +241,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str
     dealt = dealt.select("doc_id", "cluster", "chunks", "pivot", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk"))
 
     def gather(batches):
-        for batch in batches:
-            h, at = shingle_sets(*buffers(batch.column(1)), k)
+        for batch, h, at in _sets_of(batches, k):
             reg, raw = sketch(h, at).tobytes(), h.tobytes()
             step = REGISTERS * 2
             sets = [raw[8 * a : 8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]

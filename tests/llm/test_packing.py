@@ -43,6 +43,18 @@ def test_every_id_once(spark):
     assert pack(df.limit(0), PATH).count() == 0
 
 
+def test_rows_are_the_same_in_pieces(spark, monkeypatch):
+    """Texts of a batch are encoded a piece at a time, so memory doesn't follow the batch."""
+    from sealwright.llm import packing
+
+    texts = {i: f"thing {i} of the Erüß, weird$$$ {'ab ' * (i % 40)}" for i in range(200)} | {200: None, 201: "word " * 3000}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    whole = pack(df, PATH, room=64, pool_tokens=500).collect()
+    monkeypatch.setattr(packing, "TEXT_PIECE", 300)
+    assert sorted(pack(df, PATH, room=64, pool_tokens=500).collect()) == sorted(whole)
+    reassemble(whole, texts, 64)
+
+
 def test_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a b"), (5, "c"), (5, "c")], "doc_id long, text string").coalesce(1)
     rows = pack(df, PATH).collect()

@@ -105,6 +105,25 @@ def test_blocks_of_a_band(spark, monkeypatch):
     assert sorted(tuple(r) for r in near_duplicates(df, chunk=3).collect()) == brute(texts)
 
 
+def test_sets_are_made_in_pieces(monkeypatch):
+    """A batch of many texts takes no more memory beside it than a piece of it."""
+    import tracemalloc
+
+    from sealwright.llm import setsketch
+
+    monkeypatch.setattr(setsketch, "PIECE", 1 << 16)
+    texts = [" ".join(f"w{i * j % 977}" for j in range(300)) for i in range(1, 3001)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    seen, most = [], 0
+    tracemalloc.start()
+    for part, h, at in setsketch._sets_of([batch], 5):
+        seen += list(zip(part.column(0).to_pylist(), np.diff(at).tolist()))
+        most = max(most, tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert seen == list(enumerate(np.diff(shingle_sets(*buffers(batch.column(1)))[1]).tolist()))
+    assert most < 8 << 20  # of the whole batch: over 30 MB
+
+
 def test_null_ids_and_repeats(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
     got = sorted(map(tuple, near_duplicates(df).collect()), key=repr)
