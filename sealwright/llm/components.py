@@ -1,13 +1,59 @@
-"""Connected components of a large graph by alternating large-star and small-star steps."""
+"""Connected components of a large graph: forests made inside tasks, then alternating steps towards smaller neighbours."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sealwright.llm.hot import hot_keys, join_hot
 from sealwright.llm.scratch import kept
 
+PIECE = 1 << 17  # edges that a task joins at once (2 MB)
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of the edges that isn't the smallest of its component, and that smallest one."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+    below = label != np.arange(len(nodes))
+    return nodes[below], nodes[label[below]]
+
+
+def _forests(edges: DataFrame, piece: int) -> DataFrame:
+    """Edges (u, v) with the same components: each task's, `piece` of them at a time, become forests of stars. So
+    a node is the larger end of one edge at most of each piece, whatever it was before."""
+
+    def join(held):
+        t = pa.Table.from_batches(held)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in forest(t.column(0).to_numpy(), t.column(1).to_numpy())], ["u", "v"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            for a in range(0, batch.num_rows, piece):
+                part = batch.slice(a, piece)
+                if n + part.num_rows > piece:
+                    yield join(held)
+                    held, n = [], 0
+                held.append(part)
+                n += part.num_rows
+        if held:
+            yield join(held)
+
+    return edges.select("u", "v").mapInArrow(run, "u long, v long")
+
 
 def _settled(edges: DataFrame) -> bool:
     """Whether every larger node has one edge, to a node that has no smaller neighbour itself."""
@@ -16,35 +62,31 @@ def _settled(edges: DataFrame) -> bool:
     return not nodes.where("ups > 1 OR (ups = 1 AND least = 0)").limit(1).count()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, piece: int = PIECE) -> DataFrame:
     """(node, component) of every node of edges (columns a, b): component is the smallest node reachable.
 
-    Each round moves every edge towards its nodes' smallest neighbours: all smaller neighbours of
-    a node, then all its larger ones, are joined to the smallest. An edge makes one edge in either step, so their number never
-    grows. Nodes meet their smallest neighbour by a grouped minimum and a join, in which nodes of many edges are salted. (After the first
-    round only a component's smallest node has many, so its smaller-neighbour step is a window over each node.) Rounds
-    end when all edges lead to their component's smallest node; they number about the logarithm of a component's size. No edges,
-    no rows; an edge from a node to itself gives the node its own component.
+    Tasks make forests of the edges they hold; the edges left are at most one for each node and piece. Each round then joins
+    all smaller neighbours of a node to the smallest (a window over the node, which has few), and moves every edge's smaller end to that
+    end's own smallest neighbour (a join, in which nodes of many edges are salted). The number of edges never grows. Rounds end when all
+    edges lead to their component's smallest node, or when no more than `piece` edges are left, which one task ends; they
+    number about the logarithm of a component's size. No edges, no rows; an edge from a node to itself gives the node its own component.
     """
-    loops = edges.where("a = b").select(F.col("a").alias("node"))
-    now = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    for turn in range(most_rounds):
+    loops = edges.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
+    now = kept(_forests(edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")), piece), "edges")
+    for _ in range(most_rounds):
+        rows = now.count()
+        if rows <= piece:
+            now = kept(_forests(now.coalesce(1), piece), "edges")
+            break
         if _settled(now):
             break
-        if turn:
-            met = now.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-        else:
-            low = now.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-            met = join_hot(now, low.drop("n"), "u", "v", hot_keys(low, "u"))
+        met = _forests(now, piece).withColumn("m", F.min("v").over(Window.partitionBy("u")))
         small = kept(met.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")), "edges")
-        both = small.union(small.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = join_hot(both.where("v > u"), low.drop("n"), "u", "v", hot_keys(low, "u", total=2 * small.count()))
-        now = kept(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        low = small.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), "m")
+        hot = hot_keys(small.groupBy("v").agg(F.count("*").alias("n")), "v", total=rows)
+        now = kept(join_hot(small, low, "v", "u", hot, "left").select("u", F.coalesce("m", "v").alias("v")).distinct(), "edges")
     else:
         raise RuntimeError("components did not settle")
     star = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    found = star.union(roots)
-    alone = loops.select("node", F.col("node").alias("component")).distinct().join(found.select("node"), "node", "left_anti")
-    return found.union(alone)
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
+    return star.union(roots).union(loops).groupBy("node").agg(F.min("component").alias("component"))

@@ -227,12 +227,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str
     full = all_.where("n > 0 AND doc_id IS NOT NULL")
     classes = kept(full.groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     alone = full.join(classes.select(F.col("rep").alias("doc_id"), "n", "set_a", "set_b"), ["doc_id", "n", "set_a", "set_b"], "left_semi").dropDuplicates(["doc_id"])
+    alone = kept(alone.select("doc_id", "registers"), "class-sketches")
 
     # candidate clusters
     bands = alone.select("doc_id", F.explode(_band_keys()).alias("key"))
     shared = kept(bands.groupBy("key").agg(F.min("doc_id").alias("center"), F.count("*").alias("n")).where("n > 1"), "bands")
     edges = kept(join_hot(bands, shared, "key", "doc_id", hot_keys(shared, "key")).select("doc_id", "center", "n"), "band-edges")
-    clusters = components(edges.select(F.col("doc_id").alias("a"), F.col("center").alias("b")).where("a <> b").distinct())
+    clusters = components(edges.select(F.col("doc_id").alias("a"), F.col("center").alias("b")).where("a <> b"))
     weight = edges.groupBy("doc_id").agg(F.sum(F.col("n") - 1).alias("weight"))
     nodes = kept(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).join(weight, "doc_id"), "cluster-nodes")
     sizes = nodes.groupBy("cluster").agg(F.count("*").alias("n"), F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("pivot"))
@@ -322,7 +323,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str
     names = ["n", "set_a", "set_b"]
     several = classes.where("copies > 1").select(F.xxhash64(*names).alias("set"), *(F.col(c).alias(f"{c}_") for c in names), "rep", "copies")
     copies = join_hot(full.select("doc_id", *names, F.xxhash64(*names).alias("set")), several.drop("copies"), "set", "doc_id", hot_keys(several, "set", "copies"))
-    copies = copies.where("n = n_ AND set_a = set_a_ AND set_b = set_b_ AND doc_id <> rep").select("doc_id", "rep").distinct()
+    copies = kept(copies.where("n = n_ AND set_a = set_a_ AND set_b = set_b_ AND doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
     reps = copies.select("rep").distinct().join(final, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     counts = copies.groupBy("rep").agg(F.count("*").alias("n"))
     of_copies = join_hot(copies, reps, "rep", "doc_id", hot_keys(counts, "rep")).select("doc_id", "component")

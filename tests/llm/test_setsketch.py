@@ -163,6 +163,43 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def roots_of(edges):
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    return sorted((x, root(x)) for x in parent)
+
+
+@pytest.mark.parametrize("piece", [5, 64])
+def test_components_in_rounds(spark, piece):
+    """More edges than a task joins at once: paths, stars around large and small ids, random ones, loops."""
+    rng = np.random.default_rng(piece)
+    path = rng.permutation(300) + 1000
+    edges = [*zip(path[:-1].tolist(), path[1:].tolist()), *((9000, x) for x in range(5000, 5400)), *((-7, x) for x in range(6000, 6400)), (6001, 5001), (1, 1), (5000, 5000)]
+    edges += rng.integers(20000, 20400, (300, 2)).tolist()
+    got = components(spark.createDataFrame([tuple(e) for e in edges], "a long, b long").repartition(3), piece=piece)
+    assert sorted(map(tuple, got.collect())) == roots_of(edges)
+
+
+def test_components_take_few_jobs(spark):
+    """A long path is joined inside its tasks, not in a dozen jobs for each doubling."""
+    edges = [(i, i + 1) for i in range(1000)]
+    spark.sparkContext.setJobGroup("path", "")
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("path"))
+    spark.sparkContext.setJobGroup("", "")
+    assert sorted(map(tuple, got)) == [(i, 0) for i in range(1001)] and jobs <= 12
+
+
 def test_query_against_sql(spark):
     same(op7_near_dedup(spark, "/root/testdata/sf0.001"), OP7_SQL, "/root/testdata/sf0.001")
 
