@@ -22,7 +22,7 @@ from sealwright.llm.textbuf import buffers, pieces
 from sealwright.llm.wordbpe import WordBpe
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
-TEXT_PIECE = 4 << 20  # bytes of text that are encoded at once
+TEXT_PIECE = 1 << 20  # bytes of text that are encoded at once
 _NAMES = [x.split()[0] for x in PIECES.split(", ")]
 _coders: dict[str, WordBpe] = {}
 

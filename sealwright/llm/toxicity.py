@@ -28,6 +28,7 @@ _ROW = 1024  # most words of a row of the blocked recursion
 SLOTS = 1 << 18
 HEADS = (4, 5, 6)  # bytes of a word's beginnings that are features
 NEAR = 0.3  # value of a neighbour's feature; a word's own have 1
+PIECE = 1 << 20  # bytes of text whose words a task tags at once
 
 
 def _lowered(data: np.ndarray) -> np.ndarray:
@@ -308,6 +309,21 @@ def _spans(data, begin, starts, ends, p, least):
     return [{"begin": int(points[a - begin]), "end": int(points[b - begin]), "marginal": m} for a, b, m in out]
 
 
+def _texts_of(batches, at: int):
+    """Slices of batches of about PIECE bytes of text (column at), one row at least, with that text's bytes and offsets: what a
+    task holds and gives back at once doesn't grow with a batch."""
+    for batch in batches:
+        data, off = buffers(batch.column(at))
+        for a, b in pieces(off, PIECE):
+            yield batch.slice(a, b - a), data[off[a] : off[b]], off[a : b + 1] - off[a]
+
+
+def _sift(batches, at: int, model: ToxicityModel, below: float):
+    """Rows whose text (column at) scores under below."""
+    for rows, data, off in _texts_of(batches, at):
+        yield rows.filter(pa.array(model.tag(data, off)[0] < below))
+
+
 SCORED = "doc_id long, score double, toxic_words double, spans array<struct<begin:long,end:long,marginal:double>>"
 
 
@@ -322,22 +338,14 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = buffers(batch.column(1))
-            for a, b in pieces(off, 4 << 20):
-                raw, o = data[off[a] : off[b]], off[a : b + 1] - off[a]
-                score, starts, ends, p, first = model.tag(raw, o)
-                total = np.bincount(np.repeat(np.arange(b - a), np.diff(first)), weights=p, minlength=b - a)
-                spans = [_spans(raw, int(o[i]), starts[x:y], ends[x:y], p[x:y], least) if total[i] >= least else [] for i, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(score), pa.array(total), pa.array(spans, kind)], ["doc_id", "score", "toxic_words", "spans"])
-
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = buffers(batch.column(text_at))
-            score = [model.tag(data[off[a] : off[b]], off[a : b + 1] - off[a])[0] for a, b in pieces(off, 4 << 20)]
-            yield batch.filter(pa.array(np.concatenate(score) < below)) if score else batch
+        for rows, data, off in _texts_of(batches, 1):
+            n = rows.num_rows
+            score, starts, ends, p, first = model.tag(data, off)
+            total = np.bincount(np.repeat(np.arange(n), np.diff(first)), weights=p, minlength=n)
+            spans = [_spans(data, int(off[i]), starts[x:y], ends[x:y], p[x:y], least) if total[i] >= least else [] for i, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist()))]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(score), pa.array(total), pa.array(spans, kind)], ["doc_id", "score", "toxic_words", "spans"])
 
     if keep_rows:
         text_at = docs.columns.index(text_col)
-        return docs.mapInArrow(sift, docs.schema)
+        return docs.mapInArrow(lambda batches: _sift(batches, text_at, model, below), docs.schema)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCORED)

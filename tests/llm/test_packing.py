@@ -55,6 +55,27 @@ def test_rows_are_the_same_in_pieces(spark, monkeypatch):
     reassemble(whole, texts, 64)
 
 
+def test_encoding_takes_little_beside_a_batch():
+    """A piece's words and ids take under 40 MB (18 by 1 MB of text, 70 by 4 MB)."""
+    import tracemalloc
+
+    import numpy as np
+
+    from sealwright.llm.packing import TEXT_PIECE
+    from sealwright.llm.textbuf import pieces
+    from sealwright.llm.wordbpe import WordBpe
+
+    coder = WordBpe(PATH)
+    data = np.frombuffer(b"some plain words and then " * (1 << 18), np.uint8)
+    off = np.arange(0, len(data) + 1, 26, dtype=np.int64)
+    a, b = next(pieces(off, TEXT_PIECE))
+    tracemalloc.start()
+    ids, upto = coder.encode(data[off[a] : off[b]], off[a : b + 1] - off[a])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(upto) == b - a + 1 and len(ids) >= 5 * (b - a) and most < 40 << 20
+
+
 def test_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a b"), (5, "c"), (5, "c")], "doc_id long, text string").coalesce(1)
     rows = pack(df, PATH).collect()

@@ -155,6 +155,30 @@ def test_toxicity_generalises_and_gives_offsets(spark):
     assert score_toxicity(df.limit(0), model).count() == 0
 
 
+def test_texts_are_tagged_in_pieces(monkeypatch):
+    """A batch of many texts takes no more memory beside it than a piece of it, and goes back a piece at a time."""
+    import tracemalloc
+
+    from sealwright.llm import toxicity
+
+    model = toxicity.ToxicityModel(Chain(np.array([0.0, -3.0]), np.array([[0.0, -3.0], [0.0, -1.0]]), 0.0), np.sin(np.arange(SLOTS + 1.0)), np.array([-1.0, 1.0, 1.0, 0.0]))
+    model.weights[SLOTS] = 0
+    lines = [" ".join(f"w{i * j % 977}" for j in range(i % 400)) for i in range(1, 4001)] + [None, "", "x" * 200_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(lines), pa.array(range(len(lines)))], ["text", "doc_id"])
+    score = model.tag(*buffers(batch.column(0)))[0]
+    cut = float(np.median(score)) + 1e-9
+    monkeypatch.setattr(toxicity, "PIECE", 1 << 16)
+    ids, rows, most = [], 0, 0
+    tracemalloc.start()
+    for part in toxicity._sift([batch], 0, model, cut):
+        ids += part.column(1).to_pylist()
+        rows = max(rows, part.num_rows)
+        most = max(most, tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert ids == np.flatnonzero(score < cut).tolist() and 0 < len(ids) < len(lines)
+    assert rows < 1000 and most < 24 << 20  # 8 MB; of the whole batch 157 MB
+
+
 def test_models_without_labels():
     none = train(*buffers(pa.array([], pa.string())), np.zeros(0, int))
     assert none.tag(*buffers(pa.array(["a b"])))[0][0] == 0.5
